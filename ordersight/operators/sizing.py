@@ -1,0 +1,25 @@
+"""Size-checked broadcast.
+
+A side is broadcast only when a bounded count proves it small; beyond the
+bound the join is left to the planner (sort-merge, or a runtime broadcast chosen
+by AQE from real shuffle statistics, with skew-join splitting of hot keys).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_BROADCAST_ROWS = 100_000
+
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> int:
+    """Count rows but stop after ``max_rows + 1``; the cost is bounded by the limit."""
+    return df.limit(max_rows + 1).count()
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Return ``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``."""
+    if row_count_at_most(df, max_rows) <= max_rows:
+        return F.broadcast(df)
+    return df

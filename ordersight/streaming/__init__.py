@@ -1,0 +1 @@
+"""No streaming: the reference only has batch jobs ("late" always means a late delivery)."""
