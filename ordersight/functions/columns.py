@@ -162,7 +162,11 @@ def calendar_days(end: str | Column, start: str | Column) -> Column:
     return F.datediff(col(end), col(start))
 
 
-def elapsed_days(end: str | Column, start: str | Column) -> Column:
-    """Whole elapsed days, floored (pandas ``(end - start).dt.days``)."""
-    secs = F.timestampdiff("SECOND", col(start), col(end))
+def elapsed_days(end: str, start: str) -> Column:
+    """Whole elapsed days, floored (pandas ``(end - start).dt.days``).
+
+    ``timestampdiff`` on ``timestamp_ntz`` values counts wall-clock seconds, so
+    the result does not depend on the session time zone.
+    """
+    secs = F.expr(f"timestampdiff(SECOND, `{start}`, `{end}`)")
     return F.floor(secs / F.lit(86400)).cast("int")
