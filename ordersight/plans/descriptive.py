@@ -139,3 +139,26 @@ def order_complexity_late(mart: DataFrame) -> DataFrame:
         )
     )
     return out.orderBy("item_complexity", "delivery_status")
+
+
+def delay_population(mart: DataFrame) -> DataFrame:
+    """H1 test population: delivered, reviewed, with delay days and a lateness flag."""
+    return delivered_reviewed(mart).where(
+        F.col("delivery_delay_days").isNotNull() & F.col("is_late_delivery").isNotNull()
+    )
+
+
+def h1_rate_table(mart: DataFrame) -> DataFrame:
+    """Q35 (H1 part): delay bucket x low review counts with the low-review rate."""
+    t = (
+        delay_population(mart)
+        .withColumn("delay_bucket", delay_bucket("delivery_delay_days"))
+        .groupBy("delay_bucket")
+        .agg(
+            F.count_if(F.col("is_low_review") == 0).alias("not_low_orders"),
+            F.count_if(F.col("is_low_review") == 1).alias("low_orders"),
+        )
+    )
+    return t.withColumn(
+        "low_review_rate_pct", rate_pct("low_orders", F.col("low_orders") + F.col("not_low_orders"))
+    ).orderBy(label_ordinal("delay_bucket", DELAY_BUCKETS))

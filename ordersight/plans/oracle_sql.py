@@ -162,3 +162,60 @@ def q(body: str) -> str:
 def q_plain(body: str) -> str:
     """A query whose body starts with SELECT (no extra CTEs)."""
     return f"WITH {ADAPTER}\n{body.strip()}"
+
+
+def chi2_ctes(cells: str) -> str:
+    """CTEs computing Pearson chi-square (Yates when dof = 1) from ``cells(r, c, o)``.
+
+    Textbook form: complete the r x k grid, E = R * C / N, sum (O - E)^2 / E.
+    Produces ``{cells}_stat(n, nr, nc, dof, chi2, chi2_raw, cramers_v)``.
+    """
+    return f"""
+{cells}_rt AS (SELECT r, sum(o) AS rt FROM {cells} GROUP BY r HAVING sum(o) > 0),
+{cells}_ct AS (SELECT c, sum(o) AS ct FROM {cells} GROUP BY c HAVING sum(o) > 0),
+{cells}_tot AS (SELECT sum(rt) AS n FROM {cells}_rt),
+{cells}_grid AS (
+    SELECT rt.r, ct.c, coalesce(x.o, 0) AS o, CAST(rt.rt AS DOUBLE) * ct.ct / tot.n AS e, tot.n
+    FROM {cells}_rt rt JOIN {cells}_ct ct ON TRUE JOIN {cells}_tot tot ON TRUE
+    LEFT JOIN {cells} x ON x.r = rt.r AND x.c = ct.c
+),
+{cells}_sums AS (
+    SELECT max(n) AS n, count(DISTINCT r) AS nr, count(DISTINCT c) AS nc,
+           sum(pow(o - e, 2) / e) AS chi2_raw,
+           sum(pow(abs(o - e) - least(0.5, abs(o - e)), 2) / e) AS chi2_yates
+    FROM {cells}_grid
+),
+{cells}_stat AS (
+    SELECT CAST(n AS BIGINT) AS n, nr, nc, CAST((nr - 1) * (nc - 1) AS INTEGER) AS dof,
+           CASE WHEN (nr - 1) * (nc - 1) = 1 THEN chi2_yates ELSE chi2_raw END AS chi2,
+           chi2_raw, sqrt(chi2_raw / (n * (least(nr, nc) - 1))) AS cramers_v
+    FROM {cells}_sums
+)"""
+
+
+def trend_ctes(levels: str) -> str:
+    """Cochran-Armitage z from ``levels(t, x, m)`` (score, events, total)."""
+    return f"""
+{levels}_agg AS (
+    SELECT sum(x * t) AS sxt, sum(m * t) AS snt, sum(m * t * t) AS sntt,
+           CAST(sum(m) AS DOUBLE) AS n, CAST(sum(x) AS DOUBLE) AS x
+    FROM {levels}
+),
+{levels}_z AS (
+    SELECT (sxt - (x / n) * snt) / sqrt((x / n) * (1 - x / n) * (sntt - snt * snt / n)) AS trend_z
+    FROM {levels}_agg
+)"""
+
+
+def mh_ctes(strata: str) -> str:
+    """Mantel-Haenszel statistic and pooled OR from ``strata(a, b, c, d)``."""
+    return f"""
+{strata}_d AS (SELECT CAST(a AS DOUBLE) a, CAST(b AS DOUBLE) b, CAST(c AS DOUBLE) c, CAST(d AS DOUBLE) d,
+                      CAST(a + b + c + d AS DOUBLE) AS n FROM {strata}),
+{strata}_mh AS (
+    SELECT pow(sum(a - (a + b) * (a + c) / n), 2) / sum((a + b) * (a + c) * (b + d) * (c + d) / (n * n * (n - 1)))
+               AS mh_statistic,
+           sum(a * d / n) / sum(b * c / n) AS pooled_odds_ratio,
+           count(*) AS strata
+    FROM {strata}_d
+)"""
