@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from ordersight.operators.mart import product_categories
 
-DELIVERED = F.col("order_status") == "delivered"
+
+def _delivered():
+    return F.col("order_status") == "delivered"
 
 
 def order_review_stats(reviews: DataFrame) -> DataFrame:
@@ -43,7 +45,7 @@ def order_review_stats(reviews: DataFrame) -> DataFrame:
 def delivered_orders_with_dates(orders: DataFrame, on_time_only: bool = False) -> DataFrame:
     """Delivered orders with both delivery dates; ``is_late`` 0/1."""
     d, e = F.col("order_delivered_customer_date"), F.col("order_estimated_delivery_date")
-    o = orders.where(DELIVERED & d.isNotNull() & e.isNotNull())
+    o = orders.where(_delivered() & d.isNotNull() & e.isNotNull())
     if on_time_only:
         o = o.where(d <= e)
     return o.select("order_id", (d > e).cast("int").alias("is_late"))
@@ -73,7 +75,7 @@ def category_item_review_totals(raw: dict[str, DataFrame], on_time_only: bool) -
     if on_time_only:
         orders = delivered_orders_with_dates(raw["orders"], on_time_only=True).select("order_id")
     else:
-        orders = raw["orders"].where(DELIVERED).select("order_id")
+        orders = raw["orders"].where(_delivered()).select("order_id")
     counts = category_item_counts(raw["order_items"], raw["products"], raw["category_translation"], True)
     rev = order_review_stats(raw["order_reviews"])
     j = counts.join(orders, "order_id", "left_semi").join(rev, "order_id", "inner")

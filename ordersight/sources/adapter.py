@@ -44,9 +44,9 @@ DRIVER_TABLES = [
     "lineitem",
 ]
 
-NULL_TS = F.lit(None).cast("timestamp_ntz")
-NULL_STR = F.lit(None).cast("string")
-NULL_INT = F.lit(None).cast("int")
+
+def _null(type_name: str):
+    return F.lit(None).cast(type_name)
 
 
 def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,7 @@ def adapt_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     o = orders.join(first_ship, orders.o_orderkey == first_ship.l_orderkey, "left")
     gap = F.pmod(F.datediff(F.col("_ms"), F.col("o_orderdate")), F.lit(36))
     key = F.col("o_orderkey")
-    delivered = F.when((key % 97 == 0) | gap.isNull(), NULL_TS).otherwise(
+    delivered = F.when((key % 97 == 0) | gap.isNull(), _null("timestamp_ntz")).otherwise(
         F.col("o_orderdate")
         + F.make_dt_interval(gap.cast("int"), ((key * 7) % 24).cast("int"), F.lit(30), F.lit(0))
     )
@@ -103,8 +103,8 @@ def adapt_reviews(orders_with_priority: DataFrame) -> DataFrame:
         .otherwise(F.least(F.lit(5), F.col("_s1") + 1))
         .cast("int")
         .alias("review_score"),
-        NULL_TS.alias("review_creation_date"),
-        NULL_TS.alias("review_answer_timestamp"),
+        _null("timestamp_ntz").alias("review_creation_date"),
+        _null("timestamp_ntz").alias("review_answer_timestamp"),
     )
 
 
@@ -132,8 +132,8 @@ def adapt_customers(customer: DataFrame, nation: DataFrame) -> DataFrame:
     return c.select(
         cid.alias("customer_id"),
         F.expr("(c_custkey * 20 + _k) div 2").alias("customer_unique_id"),
-        NULL_STR.alias("customer_zip_code_prefix"),
-        NULL_STR.alias("customer_city"),
+        _null("string").alias("customer_zip_code_prefix"),
+        _null("string").alias("customer_city"),
         F.col("customer_state"),
     )
 
@@ -148,7 +148,7 @@ def adapt_products(part: DataFrame) -> DataFrame:
         F.col("p_partkey").alias("product_id"),
         cat.alias("product_category_name"),
         *[
-            NULL_INT.alias(c)
+            _null("int").alias(c)
             for c in [
                 "product_name_lenght",
                 "product_description_lenght",
