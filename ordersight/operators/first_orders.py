@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ordersight.functions.columns import calendar_days, elapsed_days
 from ordersight.operators.mart import delivered_orders
+from ordersight.operators.shared import shared
 
 CUSTOMER = "customer_unique_id"
 TS = "order_purchase_timestamp"
@@ -48,7 +49,7 @@ def first_reviewed_orders(mart: DataFrame, cutoff: str) -> DataFrame:
     unreviewed first order disqualifies the customer, it does not promote the
     second order.
     """
-    f = first_two_orders(mart)
+    f = shared(mart, "first_two_orders", lambda: first_two_orders(mart))
     cut = F.lit(cutoff).cast("timestamp_ntz")
     f = f.where(F.col("review_score").isNotNull() & (F.col(TS) < cut))
     has_next = F.col("next_order_id").isNotNull()

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordersight.operators.mart import product_categories
+from ordersight.operators.shared import shared
 
 
 def _delivered():
@@ -67,6 +68,18 @@ def category_item_counts(items: DataFrame, products: DataFrame, translation: Dat
     return it.groupBy("order_id", "category").agg(F.count(F.lit(1)).alias("n_items"))
 
 
+def review_stats(raw: dict[str, DataFrame]) -> DataFrame:
+    return shared(raw, "review_stats", lambda: order_review_stats(raw["order_reviews"]))
+
+
+def category_counts(raw: dict[str, DataFrame], keep_orphans: bool) -> DataFrame:
+    return shared(
+        raw,
+        f"category_counts_{keep_orphans}",
+        lambda: category_item_counts(raw["order_items"], raw["products"], raw["category_translation"], keep_orphans),
+    )
+
+
 def category_item_review_totals(raw: dict[str, DataFrame], on_time_only: bool) -> DataFrame:
     """Item x review grain per category, without materialising the fan-out.
 
@@ -76,8 +89,8 @@ def category_item_review_totals(raw: dict[str, DataFrame], on_time_only: bool) -
         orders = delivered_orders_with_dates(raw["orders"], on_time_only=True).select("order_id")
     else:
         orders = raw["orders"].where(_delivered()).select("order_id")
-    counts = category_item_counts(raw["order_items"], raw["products"], raw["category_translation"], True)
-    rev = order_review_stats(raw["order_reviews"])
+    counts = category_counts(raw, True)
+    rev = review_stats(raw)
     j = counts.join(orders, "order_id", "left_semi").join(rev, "order_id", "inner")
     return j.groupBy("category").agg(
         F.sum(F.col("n_items") * F.col("n_rev")).alias("rows"),
@@ -88,10 +101,13 @@ def category_item_review_totals(raw: dict[str, DataFrame], on_time_only: bool) -
 
 def seller_order_grain(raw: dict[str, DataFrame]) -> DataFrame:
     """One row per (seller, delivered order with dates): item count, lateness, review stats."""
-    items = raw["order_items"].groupBy("seller_id", "order_id").agg(F.count(F.lit(1)).alias("n_items"))
-    orders = delivered_orders_with_dates(raw["orders"])
-    rev = order_review_stats(raw["order_reviews"])
-    return items.join(orders, "order_id", "inner").join(rev, "order_id", "inner")
+
+    def build() -> DataFrame:
+        items = raw["order_items"].groupBy("seller_id", "order_id").agg(F.count(F.lit(1)).alias("n_items"))
+        orders = delivered_orders_with_dates(raw["orders"])
+        return items.join(orders, "order_id", "inner").join(review_stats(raw), "order_id", "inner")
+
+    return shared(raw, "seller_order_grain", build)
 
 
 def on_time_item_grain(raw: dict[str, DataFrame]) -> DataFrame:
@@ -100,8 +116,8 @@ def on_time_item_grain(raw: dict[str, DataFrame]) -> DataFrame:
     Items of unknown products are dropped; '' / missing categories read 'unknown'.
     """
     orders = delivered_orders_with_dates(raw["orders"], on_time_only=True).select("order_id")
-    counts = category_item_counts(raw["order_items"], raw["products"], raw["category_translation"], False)
-    rev = order_review_stats(raw["order_reviews"]).select(
+    counts = category_counts(raw, False)
+    rev = review_stats(raw).select(
         "order_id", "mean_score", (F.col("mean_score") <= 2).cast("int").alias("is_low_review")
     )
     return counts.join(orders, "order_id", "left_semi").join(rev, "order_id", "inner")

@@ -21,20 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordersight.functions.columns import calendar_days, late_flag, low_review_flag
-from ordersight.operators.sizing import broadcast_if_small
 from ordersight.schemas import MART_COLUMNS
 
 UNKNOWN = "unknown"
 MONEY_SUM = "decimal(38,2)"
-TRANSLATION_MAX_ROWS = 100_000
 
 
 def product_categories(products: DataFrame, translation: DataFrame) -> DataFrame:
     """product_id -> english name, else native name (NULL when neither exists)."""
-    tr = broadcast_if_small(
-        translation.select("product_category_name", "product_category_name_english"),
-        TRANSLATION_MAX_ROWS,
-    )
+    # A size-checked broadcast hint on ``translation`` (see plans.context) is kept;
+    # without one, AQE broadcasts the side at runtime when its shuffle output is small.
+    tr = translation.select("product_category_name", "product_category_name_english")
     p = products.select("product_id", "product_category_name")
     return p.join(tr, "product_category_name", "left").select(
         "product_id",

@@ -13,13 +13,16 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ordersight.operators.mart import build_mart
+from ordersight.operators.shared import register_anchor
+from ordersight.operators.sizing import broadcast_if_small
 from ordersight.sources.readers import load_raw_tables
 
 _CACHE: dict[tuple, "Workspace"] = {}
 
 # Raw tables worth keeping: they are derived by aggregation/joins in the adapter
 # and read by many analyses.  Items are a plain projection of a Parquet scan.
-_PERSISTED_RAW = ("orders", "order_reviews", "customers")
+_PERSISTED_RAW = ("orders", "order_reviews", "customers", "category_translation")
+TRANSLATION_MAX_ROWS = 100_000
 
 
 @dataclass
@@ -38,6 +41,9 @@ class Workspace:
             if self.persist:
                 for name in _PERSISTED_RAW:
                     raw[name] = raw[name].persist(StorageLevel.MEMORY_AND_DISK)
+                # The category dictionary is checked once; broadcast only under the bound.
+                raw["category_translation"] = broadcast_if_small(raw["category_translation"], TRANSLATION_MAX_ROWS)
+                register_anchor(raw)
             self._raw = raw
         return self._raw
 
@@ -47,6 +53,7 @@ class Workspace:
             mart = build_mart(self.raw)
             if self.persist:
                 mart = mart.persist(StorageLevel.MEMORY_AND_DISK)
+                register_anchor(mart)
             self._mart = mart
         return self._mart
 

@@ -19,6 +19,7 @@ from ordersight.functions.columns import (
     tercile_label,
 )
 from ordersight.operators.mart import delivered_reviewed
+from ordersight.operators.shared import shared
 from ordersight.operators.tiles import add_tiles
 from ordersight.plans.descriptive import avg_score_2dp, flag_rate_2dp
 
@@ -42,9 +43,16 @@ def with_terciles(base: DataFrame, method: str) -> DataFrame:
     return add_tiles(base, [F.col("freight_ratio"), F.col("order_id")], 3, method, "freight_ratio_tercile")
 
 
+def terciles(mart: DataFrame, method: str, late_known: bool = False) -> DataFrame:
+    """Freight base with exact terciles, built once per persisted mart."""
+    return shared(
+        mart, f"terciles_{method}_{late_known}", lambda: with_terciles(freight_base(mart, late_known), method)
+    )
+
+
 def freight_terciles(mart: DataFrame) -> DataFrame:
     """Q15: NTILE(3) terciles of the freight ratio."""
-    t = with_terciles(freight_base(mart), "ntile")
+    t = terciles(mart, "ntile")
     out = t.groupBy("freight_ratio_tercile").agg(
         F.count(F.lit(1)).alias("orders"),
         round_half_up(F.avg("freight_ratio"), 3).alias("avg_freight_ratio"),
@@ -76,18 +84,18 @@ def _crosstab(t: DataFrame) -> DataFrame:
 
 def freight_late_crosstab(mart: DataFrame) -> DataFrame:
     """Q16: tercile x lateness, tiles computed after the lateness filter (SQL)."""
-    return _crosstab(with_terciles(freight_base(mart, late_known=True), "ntile"))
+    return _crosstab(terciles(mart, "ntile", late_known=True))
 
 
 def freight_late_crosstab_pretiled(mart: DataFrame) -> DataFrame:
     """Tercile x lateness, qcut tiles computed before the lateness filter (pandas)."""
-    t = with_terciles(freight_base(mart), "qcut").where(F.col("is_late_delivery").isNotNull())
+    t = terciles(mart, "qcut").where(F.col("is_late_delivery").isNotNull())
     return _crosstab(t)
 
 
 def freight_tercile_counts(mart: DataFrame) -> DataFrame:
     """Per qcut tercile: orders, low-review orders (input of the H6 tests and chart)."""
-    t = with_terciles(freight_base(mart), "qcut")
+    t = terciles(mart, "qcut")
     return t.groupBy("freight_ratio_tercile").agg(
         F.count(F.lit(1)).alias("orders"),
         F.count_if(F.col("is_low_review") == 1).alias("low_orders"),

@@ -35,7 +35,7 @@ from ordersight.operators.grains import on_time_item_grain, seller_order_grain
 from ordersight.operators.mart import delivered_reviewed
 from ordersight.operators.ranks import rank_tests
 from ordersight.plans.descriptive import delay_population
-from ordersight.plans.freight import freight_base, with_terciles
+from ordersight.plans.freight import terciles
 from ordersight.plans.retention import repeaters_elapsed
 
 
@@ -134,7 +134,7 @@ def h5b_stats(mart: DataFrame, min_orders: int, min_stratum_n: int) -> DataFrame
 
 def h6_stats(mart: DataFrame) -> DataFrame:
     """qcut freight-ratio tercile (scores 1..3) vs low review."""
-    t = with_terciles(freight_base(mart), "qcut")
+    t = terciles(mart, "qcut")
     return chi2_two_column(two_column_counts(t, "freight_ratio_tercile", "is_low_review"), score="row")
 
 

@@ -186,7 +186,7 @@ def chi2_ctes(cells: str) -> str:
     FROM {cells}_grid
 ),
 {cells}_stat AS (
-    SELECT CAST(n AS BIGINT) AS n, nr, nc, CAST((nr - 1) * (nc - 1) AS INTEGER) AS dof,
+    SELECT CAST(n AS BIGINT) AS n, nr, nc, CASE WHEN nr > 0 THEN CAST((nr - 1) * (nc - 1) AS INTEGER) END AS dof,
            CASE WHEN (nr - 1) * (nc - 1) = 1 THEN chi2_yates ELSE chi2_raw END AS chi2,
            chi2_raw, sqrt(chi2_raw / (n * (least(nr, nc) - 1))) AS cramers_v
     FROM {cells}_sums
