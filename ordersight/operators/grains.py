@@ -100,10 +100,13 @@ def category_item_review_totals(raw: dict[str, DataFrame], on_time_only: bool) -
 
 
 def seller_order_grain(raw: dict[str, DataFrame]) -> DataFrame:
-    """One row per (seller, delivered order with dates): item count, lateness, review stats."""
+    """One row per (seller, delivered order with dates): item count, smallest item id,
+    lateness, review stats."""
 
     def build() -> DataFrame:
-        items = raw["order_items"].groupBy("seller_id", "order_id").agg(F.count(F.lit(1)).alias("n_items"))
+        items = raw["order_items"].groupBy("seller_id", "order_id").agg(
+            F.count(F.lit(1)).alias("n_items"), F.min("order_item_id").alias("first_item_id")
+        )
         orders = delivered_orders_with_dates(raw["orders"])
         return items.join(orders, "order_id", "inner").join(review_stats(raw), "order_id", "inner")
 

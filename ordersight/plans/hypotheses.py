@@ -79,14 +79,8 @@ def h12_orders(raw: dict[str, DataFrame], min_orders: int, min_on_time: int) ->
         .where((F.col("n") >= min_orders) & (F.col("n_ot") >= min_on_time))
         .select("seller_id")
     )
-    on_time = so.where(F.col("is_late") == 0).select("seller_id", "order_id", "mean_score")
-    cand = (
-        raw["order_items"]
-        .select("order_id", "order_item_id", "seller_id")
-        .join(eligible, "seller_id", "left_semi")
-        .join(on_time, ["seller_id", "order_id"], "inner")
-    )
-    first = cand.groupBy("order_id").agg(F.min(F.struct("order_item_id", "seller_id", "mean_score")).alias("_k"))
+    cand = so.where(F.col("is_late") == 0).join(eligible, "seller_id", "left_semi")
+    first = cand.groupBy("order_id").agg(F.min(F.struct("first_item_id", "seller_id", "mean_score")).alias("_k"))
     return first.select(
         "order_id",
         F.col("_k.seller_id").alias("seller_id"),

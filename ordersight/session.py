@@ -52,8 +52,9 @@ def get_spark(
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting one only if none exists.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
-    Only when it is unset (local tests) a fresh scratch folder is created.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is;
+    a cluster session without it is an error.  Only in local mode, when it is
+    unset (tests), a fresh scratch folder is created.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -63,6 +64,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
+    if not sc.master.startswith("local"):
+        raise RuntimeError(
+            f"set {CHECKPOINT_CONF} to a folder shared by all executors (e.g. on the cluster file system)"
+        )
     local_dir = tempfile.mkdtemp(prefix="ordersight-ckpt-")
     sc.setCheckpointDir(local_dir)
     return sc.getCheckpointDir()
