@@ -81,6 +81,11 @@ def read_raw_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     return normalize_empty_strings(df.select(*kept))
 
 
+def read_result_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Re-read an exported result table (S13) with its declared schema."""
+    return spark.read.schema(schema).option("header", "true").option("escape", '"').csv(path)
+
+
 def read_raw_csv_dir(spark: SparkSession, raw_dir: str) -> dict[str, DataFrame]:
     base = raw_dir.rstrip("/")
     return {t: read_raw_csv(spark, f"{base}/{name}", t) for t, name in CSV_FILES.items()}

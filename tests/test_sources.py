@@ -59,3 +59,30 @@ def test_result_csv_sink(spark):
     files = [f for f in os.listdir(out) if f.endswith(".csv")]
     assert len(files) == 1
     assert spark.read.option("header", "true").csv(out).count() == 4
+
+
+def test_result_round_trip_with_schema(spark):
+    from ordersight.sources.readers import read_result_csv
+
+    raw = raw_tables_from_testdata(spark, SF001)
+    out = os.path.join(tempfile.mkdtemp(prefix="ordersight-result-"), "delay")
+    res = descriptive.delay_bucket_reviews(build_mart(raw))
+    write_result_csv(res, out)
+    back = read_result_csv(spark, out, res.schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, res.collect()))
+
+
+def test_public_api(spark):
+    from ordersight import api
+
+    raw = raw_tables_from_testdata(spark, SF001)
+    mart = api.build_mart_order_fact(raw)
+    counts = api.contingency_counts(
+        api.delivered_reviewed(mart).where(F.col("delivery_delay_days").isNotNull())
+        .withColumn("b", api.delay_bucket("delivery_delay_days")),
+        "b",
+        "is_low_review",
+    )
+    assert 0 < api.cramers_v(counts).first().cramers_v < 1
+    cells = spark.createDataFrame([(2542, 6986, 9695, 76609)], "a long, b long, c long, d long")
+    assert round(api.odds_ratio_2x2(cells).first().odds_ratio, 3) == 2.875
