@@ -14,15 +14,9 @@ from pyspark.sql.types import StringType, StructField, StructType, TimestampNTZT
 
 from ordersight.schemas import RAW_SCHEMAS
 
-# The file names of the marketplace CSV export.
-CSV_FILES = {
-    "orders": "olist_orders_dataset.csv",
-    "order_items": "olist_order_items_dataset.csv",
-    "order_reviews": "olist_order_reviews_dataset.csv",
-    "customers": "olist_customers_dataset.csv",
-    "products": "olist_products_dataset.csv",
-    "category_translation": "product_category_name_translation.csv",
-}
+# Default file (or directory) name per raw table; pass ``file_names`` to read an
+# export that names its files differently.
+CSV_FILES = {table: f"{table}.csv" for table in RAW_SCHEMAS}
 
 # Column layout of the files that hold more fields than the stored table.
 _ORDERS_FILE = StructType(
@@ -86,9 +80,12 @@ def read_result_csv(spark: SparkSession, path: str, schema: StructType | str) ->
     return spark.read.schema(schema).option("header", "true").option("escape", '"').csv(path)
 
 
-def read_raw_csv_dir(spark: SparkSession, raw_dir: str) -> dict[str, DataFrame]:
+def read_raw_csv_dir(
+    spark: SparkSession, raw_dir: str, file_names: dict[str, str] | None = None
+) -> dict[str, DataFrame]:
     base = raw_dir.rstrip("/")
-    return {t: read_raw_csv(spark, f"{base}/{name}", t) for t, name in CSV_FILES.items()}
+    names = {**CSV_FILES, **(file_names or {})}
+    return {t: read_raw_csv(spark, f"{base}/{names[t]}", t) for t in RAW_SCHEMAS}
 
 
 def read_raw_parquet_dir(spark: SparkSession, raw_dir: str) -> dict[str, DataFrame]:
