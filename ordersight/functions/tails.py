@@ -111,3 +111,23 @@ def mann_whitney_p_udf(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Seri
         [mann_whitney_p(_nan(a), _nan(b), _nan(c), _nan(d)) for a, b, c, d in zip(u, n1, n2, ties)],
         dtype="float64",
     )
+
+
+def p_value(kind: str, a: float, b: float, c: float, d: float) -> float:
+    """Dispatch on the kind of test: 'chi2' (a=statistic, b=dof), 'trend' (a=z),
+    'mw' (a=U, b=n1, c=n2, d=tie sum); anything else -> NaN."""
+    if kind == "chi2":
+        return chi2_sf(a, b)
+    if kind == "trend":
+        return two_sided_from_cdf(a)
+    if kind == "mw":
+        return mann_whitney_p(a, b, c, d)
+    return float("nan")
+
+
+@F.pandas_udf(DoubleType())
+def p_value_udf(kind: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    return pd.Series(
+        [p_value(k, _nan(w), _nan(x), _nan(y), _nan(z)) for k, w, x, y, z in zip(kind, a, b, c, d)],
+        dtype="float64",
+    )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordersight.functions.columns import ALPHA, round_half_up
-from ordersight.functions.tails import chi2_sf_udf, mann_whitney_p_udf, trend_p_udf
+from ordersight.functions.tails import p_value_udf
 from ordersight.operators.contingency import chi2_two_column
 from ordersight.plans import hypotheses as h
 
@@ -64,31 +64,42 @@ def _row(
     stats: DataFrame,
     ids: tuple,
     statistic: Column,
-    p_value: Column,
+    p_test: tuple,
     trend_z: Column,
-    trend_p: Column,
+    trend_test: tuple,
     effect: Column,
     note: Column,
     both_p: bool = False,
-    alpha: float = ALPHA,
 ) -> DataFrame:
+    """One summary row with the arguments of its p-values (computed later, together).
+
+    ``p_test`` / ``trend_test`` are ``(kind, a, b, c, d)`` as understood by
+    ``functions.tails.p_value``; kind ``None`` means no p-value.
+    """
+
+    def args(prefix: str, test: tuple) -> list[Column]:
+        kind, *vals = test
+        vals = list(vals) + [None] * (4 - len(vals))
+        cols = [F.lit(kind).cast("string").alias(f"{prefix}_kind")]
+        for name, v in zip("abcd", vals):
+            col = v if isinstance(v, Column) else (F.col(v) if isinstance(v, str) else F.lit(v))
+            cols.append(col.cast("double").alias(f"{prefix}_{name}"))
+        return cols
+
     hyp, question, test, label = ids[0], ids[1], ids[2], ids[3]
-    pre = stats.select(
+    return stats.select(
         F.lit(hyp).alias("hypothesis"),
         F.lit(question).alias("question"),
         F.lit(test).alias("test"),
         statistic.cast("double").alias("statistic"),
-        p_value.cast("double").alias("p_value"),
         trend_z.cast("double").alias("trend_z"),
-        trend_p.cast("double").alias("trend_p_value"),
         effect.cast("double").alias("effect_size"),
         F.lit(label).alias("effect_label"),
         note.alias("note"),
+        F.lit(both_p).alias("_both"),
+        *args("_p", p_test),
+        *args("_t", trend_test),
     )
-    sig = F.col("p_value") < alpha
-    if both_p:
-        sig = sig & (F.col("trend_p_value") < alpha)
-    return pre.withColumn("significant_0_05", sig).select(*SUMMARY_COLUMNS)
 
 
 def hypothesis_summary(
@@ -102,28 +113,28 @@ def hypothesis_summary(
     min_seller_on_time: int = 30,
     alpha: float = ALPHA,
 ) -> DataFrame:
+    """All tests in one table; the nine rows are assembled first and the
+    p-values are then computed in a single vectorised UDF pass."""
     r = round_half_up
-    _NULL = F.lit(None).cast("double")
+    null = F.lit(None).cast("double")
+    none = (None,)
     rows = []
 
     s = h.h1_stats(mart)
-    rows.append(
-        _row(s, H1, r(F.col("chi2"), 3), chi2_sf_udf("chi2", "dof"), r(F.col("trend_z"), 3), trend_p_udf("trend_z"),
-             r(F.col("cramers_v"), 4), F.lit(H1[4]), both_p=True, alpha=alpha)
-    )
+    rows.append(_row(s, H1, r(F.col("chi2"), 3), ("chi2", "chi2", "dof"), r(F.col("trend_z"), 3),
+                     ("trend", "trend_z"), r(F.col("cramers_v"), 4), F.lit(H1[4]), both_p=True))
     s = h.h5_stats(mart, min_state_orders)
-    rows.append(_row(s, H5, r(F.col("chi2"), 3), chi2_sf_udf("chi2", "dof"), _NULL, _NULL, r(F.col("cramers_v"), 4),
-                     F.lit(H5[4]), alpha=alpha))
+    rows.append(_row(s, H5, r(F.col("chi2"), 3), ("chi2", "chi2", "dof"), null, none, r(F.col("cramers_v"), 4),
+                     F.lit(H5[4])))
     s = h.h5b_stats(mart, min_state_orders, min_stratum_n)
-    rows.append(_row(s, H5B, r(F.col("mh_statistic"), 3), chi2_sf_udf("mh_statistic", F.lit(1.0)), _NULL, _NULL,
-                     r(F.col("pooled_odds_ratio"), 3), F.lit(H5B[4]), alpha=alpha))
+    rows.append(_row(s, H5B, r(F.col("mh_statistic"), 3), ("chi2", "mh_statistic", 1.0), null, none,
+                     r(F.col("pooled_odds_ratio"), 3), F.lit(H5B[4])))
     s = h.h6_stats(mart)
-    rows.append(_row(s, H6, r(F.col("chi2"), 3), chi2_sf_udf("chi2", "dof"), r(F.col("trend_z"), 3),
-                     trend_p_udf("trend_z"), r(F.col("cramers_v"), 4), F.lit(H6[4]), alpha=alpha))
+    rows.append(_row(s, H6, r(F.col("chi2"), 3), ("chi2", "chi2", "dof"), r(F.col("trend_z"), 3),
+                     ("trend", "trend_z"), r(F.col("cramers_v"), 4), F.lit(H6[4])))
     s = h.h8_stats(mart)
-    rows.append(_row(s, H8, r(F.col("chi2"), 3), chi2_sf_udf("chi2", "dof"), r(F.col("mh_statistic"), 3),
-                     chi2_sf_udf("mh_statistic", F.lit(1.0)), r(F.col("odds_ratio"), 3), F.lit(H8[4]),
-                     both_p=True, alpha=alpha))
+    rows.append(_row(s, H8, r(F.col("chi2"), 3), ("chi2", "chi2", "dof"), r(F.col("mh_statistic"), 3),
+                     ("chi2", "mh_statistic", 1.0), r(F.col("odds_ratio"), 3), F.lit(H8[4]), both_p=True))
     # H9: the omnibus test and the FDR count come from the same per-category table.
     t9 = h.category_vs_rest_fdr(raw, min_category_items, alpha).select(
         F.col("category").alias("row"), F.col("b").alias("o0"), F.col("a").alias("o1"), "reject"
@@ -135,17 +146,22 @@ def hypothesis_summary(
             (F.lit(100.0) * F.sum("o1") / F.sum(F.col("o0") + F.col("o1"))).alias("overall_pct"),
         ),
     )
-    rows.append(_row(s9, H9, r(F.col("chi2"), 3), chi2_sf_udf("chi2", "dof"), F.col("n_sig"), _NULL,
-                     r(F.col("cramers_v"), 4), F.format_string(H9[4], F.col("n_sig"), F.col("overall_pct")),
-                     alpha=alpha))
+    rows.append(_row(s9, H9, r(F.col("chi2"), 3), ("chi2", "chi2", "dof"), F.col("n_sig"), none,
+                     r(F.col("cramers_v"), 4), F.format_string(H9[4], F.col("n_sig"), F.col("overall_pct"))))
     s = h.h12_stats(raw, min_seller_orders, min_seller_on_time)
-    rows.append(_row(s, H12, r(F.col("chi2"), 3), chi2_sf_udf("chi2", "dof"), _NULL, _NULL, r(F.col("cramers_v"), 4),
-                     F.lit(H12[4]), alpha=alpha))
+    rows.append(_row(s, H12, r(F.col("chi2"), 3), ("chi2", "chi2", "dof"), null, none, r(F.col("cramers_v"), 4),
+                     F.lit(H12[4])))
     s = h.h10_stats(mart, cutoff)
-    rows.append(_row(s, H10, r(F.col("chi2"), 3), chi2_sf_udf("chi2", "dof"), _NULL, _NULL, r(F.col("delta_pp"), 3),
-                     F.format_string(H10[4], F.col("rate_high") * 100, F.col("rate_low") * 100), alpha=alpha))
+    rows.append(_row(s, H10, r(F.col("chi2"), 3), ("chi2", "chi2", "dof"), null, none, r(F.col("delta_pp"), 3),
+                     F.format_string(H10[4], F.col("rate_high") * 100, F.col("rate_low") * 100)))
     s = h.h11_stats(mart, cutoff)
-    rows.append(_row(s, H11, r(F.col("kw_h"), 3), chi2_sf_udf("kw_h", F.col("groups") - 1), r(F.col("mw_u"), 3),
-                     mann_whitney_p_udf("mw_u", "n1", "n2", "mw_tie_sum"), r(F.col("cliffs_delta"), 4),
-                     F.lit(H11[4]), alpha=alpha))
-    return reduce(DataFrame.unionByName, rows)
+    rows.append(_row(s, H11, r(F.col("kw_h"), 3), ("chi2", "kw_h", F.col("groups") - 1), r(F.col("mw_u"), 3),
+                     ("mw", "mw_u", "n1", "n2", "mw_tie_sum"), r(F.col("cliffs_delta"), 4), F.lit(H11[4])))
+
+    u = reduce(DataFrame.unionByName, rows).coalesce(1)
+    with_p = u.withColumn("p_value", p_value_udf("_p_kind", "_p_a", "_p_b", "_p_c", "_p_d")).withColumn(
+        "trend_p_value", p_value_udf("_t_kind", "_t_a", "_t_b", "_t_c", "_t_d")
+    )
+    sig = F.col("p_value") < alpha
+    sig = F.when(F.col("_both"), sig & (F.col("trend_p_value") < alpha)).otherwise(sig)
+    return with_p.withColumn("significant_0_05", sig).select(*SUMMARY_COLUMNS)
