@@ -1,8 +1,13 @@
 """Shared inputs of the analyses: raw tables and the order mart per data location.
 
-Several analyses share the mart, so it is persisted (memory, spilling to disk)
-once per session and location.  A lost executor only drops cached blocks,
-which Spark recomputes from the lineage.
+Several analyses share the mart, so it is materialised once per session and
+location, in one of two ways:
+
+- ``persist`` (default): memory, spilling to disk.  A lost executor only drops
+  cached blocks, which Spark recomputes from the lineage.
+- ``table``: written as Parquet under the shared ``spark.checkpoint.dir`` and
+  read back.  Lineage is cut, lost executors cost nothing, and later scans get
+  column pruning and filter pushdown - the better choice for very large inputs.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ordersight.operators.mart import build_mart
 from ordersight.operators.shared import register_anchor
 from ordersight.operators.sizing import broadcast_if_small
+from ordersight.session import ensure_checkpoint_dir
 from ordersight.sources.readers import load_raw_tables
 
 _CACHE: dict[tuple, "Workspace"] = {}
@@ -31,6 +37,7 @@ class Workspace:
     location: str
     source: str = "testdata"
     persist: bool = True
+    materialize: str = "persist"
     _raw: dict | None = field(default=None, repr=False)
     _mart: DataFrame | None = field(default=None, repr=False)
 
@@ -52,16 +59,28 @@ class Workspace:
         if self._mart is None:
             mart = build_mart(self.raw)
             if self.persist:
-                mart = mart.persist(StorageLevel.MEMORY_AND_DISK)
+                mart = self._materialize(mart, "mart_order_fact")
                 register_anchor(mart)
             self._mart = mart
         return self._mart
 
 
-def workspace(spark: SparkSession, location: str, source: str = "testdata", persist: bool = True) -> Workspace:
-    key = (id(spark), spark.sparkContext.applicationId, location, source, persist)
+    def _materialize(self, df: DataFrame, name: str) -> DataFrame:
+        if self.materialize == "table":
+            base = ensure_checkpoint_dir(self.spark).rstrip("/")
+            app = self.spark.sparkContext.applicationId
+            path = f"{base}/ordersight-tables/{app}/{abs(hash(self.location))}/{name}"
+            df.write.mode("overwrite").parquet(path)
+            return self.spark.read.parquet(path)
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def workspace(
+    spark: SparkSession, location: str, source: str = "testdata", persist: bool = True, materialize: str = "persist"
+) -> Workspace:
+    key = (id(spark), spark.sparkContext.applicationId, location, source, persist, materialize)
     ws = _CACHE.get(key)
     if ws is None:
-        ws = Workspace(spark, location, source, persist)
+        ws = Workspace(spark, location, source, persist, materialize)
         _CACHE[key] = ws
     return ws

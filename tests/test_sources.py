@@ -86,3 +86,14 @@ def test_public_api(spark):
     assert 0 < api.cramers_v(counts).first().cramers_v < 1
     cells = spark.createDataFrame([(2542, 6986, 9695, 76609)], "a long, b long, c long, d long")
     assert round(api.odds_ratio_2x2(cells).first().odds_ratio, 3) == 2.875
+
+
+def test_workspace_table_materialisation(spark):
+    from ordersight.plans.context import workspace
+
+    a = workspace(spark, SF001, materialize="table").mart
+    b = workspace(spark, SF001).mart
+    assert a.count() == b.count() == 1500
+    assert sorted(map(tuple, descriptive.delay_bucket_reviews(a).collect())) == sorted(
+        map(tuple, descriptive.delay_bucket_reviews(b).collect())
+    )
