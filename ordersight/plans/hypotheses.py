@@ -34,6 +34,7 @@ from ordersight.operators.first_orders import first_reviewed_orders
 from ordersight.operators.grains import on_time_item_grain, seller_order_grain
 from ordersight.operators.mart import delivered_reviewed
 from ordersight.operators.ranks import rank_tests
+from ordersight.operators.shared import shared
 from ordersight.plans.descriptive import delay_population
 from ordersight.plans.freight import terciles
 from ordersight.plans.retention import repeaters_elapsed
@@ -99,12 +100,20 @@ def h10_first_orders(mart: DataFrame, cutoff: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 def h1_stats(mart: DataFrame) -> DataFrame:
     """Delay bucket (ordinal 0..3) vs low review: chi2, dof, V, Cochran-Armitage z."""
-    counts = two_column_counts(delay_population(mart), delay_bucket_ordinal("delivery_delay_days"), "is_low_review")
-    return chi2_two_column(counts, score="row")
+
+    def build() -> DataFrame:
+        counts = two_column_counts(delay_population(mart), delay_bucket_ordinal("delivery_delay_days"), "is_low_review")
+        return chi2_two_column(counts, score="row")
+
+    return shared(mart, "h1_stats", build)
 
 
 def h5_stats(mart: DataFrame, min_orders: int) -> DataFrame:
-    return chi2_two_column(two_column_counts(state_population(mart, min_orders), "customer_state", "is_low_review"))
+
+    def build() -> DataFrame:
+        return chi2_two_column(two_column_counts(state_population(mart, min_orders), "customer_state", "is_low_review"))
+
+    return shared(mart, f"h5_stats_{min_orders}", build)
 
 
 def h5b_strata(mart: DataFrame, min_orders: int) -> DataFrame:
@@ -123,13 +132,21 @@ def h5b_strata(mart: DataFrame, min_orders: int) -> DataFrame:
 
 
 def h5b_stats(mart: DataFrame, min_orders: int, min_stratum_n: int) -> DataFrame:
-    return mantel_haenszel(h5b_strata(mart, min_orders), min_stratum_n)
+
+    def build() -> DataFrame:
+        return mantel_haenszel(h5b_strata(mart, min_orders), min_stratum_n)
+
+    return shared(mart, f"h5b_stats_{min_orders}_{min_stratum_n}", build)
 
 
 def h6_stats(mart: DataFrame) -> DataFrame:
     """qcut freight-ratio tercile (scores 1..3) vs low review."""
-    t = terciles(mart, "qcut")
-    return chi2_two_column(two_column_counts(t, "freight_ratio_tercile", "is_low_review"), score="row")
+
+    def build() -> DataFrame:
+        t = terciles(mart, "qcut")
+        return chi2_two_column(two_column_counts(t, "freight_ratio_tercile", "is_low_review"), score="row")
+
+    return shared(mart, "h6_stats", build)
 
 
 def h8_stats(mart: DataFrame) -> DataFrame:
@@ -139,52 +156,72 @@ def h8_stats(mart: DataFrame) -> DataFrame:
     aggregate: whole-table cells sum over all strata, the MH sums skip the
     unknown one.
     """
-    comp = delivered_reviewed(mart).where(F.col("item_count").isNotNull())
-    multi, low = (F.col("item_count") > 1).cast("int"), F.col("is_low_review")
-    strata = comp.groupBy("is_late_delivery").agg(
-        F.count_if((multi == 0) & (low == 0)).cast("double").alias("a"),
-        F.count_if((multi == 0) & (low == 1)).cast("double").alias("b"),
-        F.count_if((multi == 1) & (low == 0)).cast("double").alias("c"),
-        F.count_if((multi == 1) & (low == 1)).cast("double").alias("d"),
-    )
-    agg = strata.agg(
-        *[F.sum(x).alias(f"t_{x}") for x in "abcd"],
-        *mh_aggregates(F.col("is_late_delivery").isNotNull()),
-    )
-    # Odds ratio with rows [multi=1, multi=0] x columns [low=1, low=0].
-    return agg.select(
-        (F.col("t_a") + F.col("t_b") + F.col("t_c") + F.col("t_d")).cast("long").alias("n"),
-        F.lit(1).alias("dof"),
-        chi2_2x2_expr("t_a", "t_b", "t_c", "t_d", yates=True).alias("chi2"),
-        odds_ratio_expr("t_d", "t_c", "t_b", "t_a").alias("odds_ratio"),
-        mh_statistic().alias("mh_statistic"),
-        mh_pooled_odds_ratio().alias("mh_pooled_odds_ratio"),
-    )
+
+    def build() -> DataFrame:
+        comp = delivered_reviewed(mart).where(F.col("item_count").isNotNull())
+        multi, low = (F.col("item_count") > 1).cast("int"), F.col("is_low_review")
+        strata = comp.groupBy("is_late_delivery").agg(
+            F.count_if((multi == 0) & (low == 0)).cast("double").alias("a"),
+            F.count_if((multi == 0) & (low == 1)).cast("double").alias("b"),
+            F.count_if((multi == 1) & (low == 0)).cast("double").alias("c"),
+            F.count_if((multi == 1) & (low == 1)).cast("double").alias("d"),
+        )
+        agg = strata.agg(
+            *[F.sum(x).alias(f"t_{x}") for x in "abcd"],
+            *mh_aggregates(F.col("is_late_delivery").isNotNull()),
+        )
+        # Odds ratio with rows [multi=1, multi=0] x columns [low=1, low=0].
+        return agg.select(
+            (F.col("t_a") + F.col("t_b") + F.col("t_c") + F.col("t_d")).cast("long").alias("n"),
+            F.lit(1).alias("dof"),
+            chi2_2x2_expr("t_a", "t_b", "t_c", "t_d", yates=True).alias("chi2"),
+            odds_ratio_expr("t_d", "t_c", "t_b", "t_a").alias("odds_ratio"),
+            mh_statistic().alias("mh_statistic"),
+            mh_pooled_odds_ratio().alias("mh_pooled_odds_ratio"),
+        )
+
+    return shared(mart, "h8_stats", build)
 
 
 def h9_stats(raw: dict[str, DataFrame], min_items: int) -> DataFrame:
-    counts = h9_counts(raw, min_items)
-    overall = (F.lit(100.0) * F.sum("o1") / F.sum(F.col("o0") + F.col("o1"))).alias("overall_low_review_rate_pct")
-    return chi2_two_column(counts, extra=(overall,))
+
+    def build() -> DataFrame:
+        counts = h9_counts(raw, min_items)
+        overall = (F.lit(100.0) * F.sum("o1") / F.sum(F.col("o0") + F.col("o1"))).alias("overall_low_review_rate_pct")
+        return chi2_two_column(counts, extra=(overall,))
+
+    return shared(raw, f"h9_stats_{min_items}", build)
 
 
 def h12_stats(raw: dict[str, DataFrame], min_orders: int, min_on_time: int) -> DataFrame:
-    return chi2_two_column(two_column_counts(h12_orders(raw, min_orders, min_on_time), "seller_id", "is_low"))
+
+    def build() -> DataFrame:
+        return chi2_two_column(two_column_counts(h12_orders(raw, min_orders, min_on_time), "seller_id", "is_low"))
+
+    return shared(raw, f"h12_stats_{min_orders}_{min_on_time}", build)
 
 
 def h10_stats(mart: DataFrame, cutoff: str) -> DataFrame:
-    counts = two_column_counts(h10_first_orders(mart, cutoff), "review_group", "has_repeat")
-    rates = [
-        F.max(F.when(F.col("row") == g, F.col("o1") / (F.col("o0") + F.col("o1")))).alias(f"rate_{g.lower()}")
-        for g in SHORT_REVIEW_GROUPS
-    ]
-    return chi2_two_column(counts, extra=tuple(rates)).withColumn(
-        "delta_pp", F.lit(100.0) * (F.col("rate_high") - F.col("rate_low"))
-    )
+
+    def build() -> DataFrame:
+        counts = two_column_counts(h10_first_orders(mart, cutoff), "review_group", "has_repeat")
+        rates = [
+            F.max(F.when(F.col("row") == g, F.col("o1") / (F.col("o0") + F.col("o1")))).alias(f"rate_{g.lower()}")
+            for g in SHORT_REVIEW_GROUPS
+        ]
+        return chi2_two_column(counts, extra=tuple(rates)).withColumn(
+            "delta_pp", F.lit(100.0) * (F.col("rate_high") - F.col("rate_low"))
+        )
+
+    return shared(mart, f"h10_stats_{cutoff}", build)
 
 
 def h11_stats(mart: DataFrame, cutoff: str) -> DataFrame:
-    return rank_tests(repeaters_elapsed(mart, cutoff), "days_to_next", "review_group", "Low", "High")
+
+    def build() -> DataFrame:
+        return rank_tests(repeaters_elapsed(mart, cutoff), "days_to_next", "review_group", "Low", "High")
+
+    return shared(mart, f"h11_stats_{cutoff}", build)
 
 
 # ---------------------------------------------------------------------------
@@ -264,9 +301,13 @@ def test_category_vs_rest(raw: dict[str, DataFrame], min_items: int = 100) -> Da
 
 def category_vs_rest_fdr(raw: dict[str, DataFrame], min_items: int = 100, alpha: float = ALPHA) -> DataFrame:
     """Q29 with p-values and the Benjamini-Hochberg adjustment."""
-    t = category_vs_rest(raw, min_items).withColumn("p_value", chi2_sf_udf(F.col("_chi2"), F.lit(1.0)))
-    out = benjamini_hochberg(t, "p_value", "category", alpha)
-    return out.select("category", "a", "b", "c", "d", _r("_chi2", 3).alias("chi2"), "p_value", "p_adjusted", "reject")
+
+    def build() -> DataFrame:
+        t = category_vs_rest(raw, min_items).withColumn("p_value", chi2_sf_udf(F.col("_chi2"), F.lit(1.0)))
+        out = benjamini_hochberg(t, "p_value", "category", alpha)
+        return out.select("category", "a", "b", "c", "d", _r("_chi2", 3).alias("chi2"), "p_value", "p_adjusted", "reject")
+
+    return shared(raw, f"category_vs_rest_fdr_{min_items}_{alpha}", build)
 
 
 def test_h12_seller(raw: dict[str, DataFrame], min_orders: int = 50, min_on_time: int = 30) -> DataFrame:
