@@ -38,13 +38,14 @@ class Workspace:
     source: str = "testdata"
     persist: bool = True
     materialize: str = "persist"
+    collation: str | None = None
     _raw: dict | None = field(default=None, repr=False)
     _mart: DataFrame | None = field(default=None, repr=False)
 
     @property
     def raw(self) -> dict[str, DataFrame]:
         if self._raw is None:
-            raw = load_raw_tables(self.spark, self.source, self.location)
+            raw = load_raw_tables(self.spark, self.source, self.location, self.collation)
             if self.persist:
                 for name in _PERSISTED_RAW:
                     raw[name] = raw[name].persist(StorageLevel.MEMORY_AND_DISK)
@@ -76,11 +77,16 @@ class Workspace:
 
 
 def workspace(
-    spark: SparkSession, location: str, source: str = "testdata", persist: bool = True, materialize: str = "persist"
+    spark: SparkSession,
+    location: str,
+    source: str = "testdata",
+    persist: bool = True,
+    materialize: str = "persist",
+    collation: str | None = None,
 ) -> Workspace:
-    key = (id(spark), spark.sparkContext.applicationId, location, source, persist, materialize)
+    key = (id(spark), spark.sparkContext.applicationId, location, source, persist, materialize, collation)
     ws = _CACHE.get(key)
     if ws is None:
-        ws = Workspace(spark, location, source, persist, materialize)
+        ws = Workspace(spark, location, source, persist, materialize, collation)
         _CACHE[key] = ws
     return ws

@@ -58,6 +58,37 @@ def normalize_empty_strings(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+# Key-like string columns that a case-insensitive collation applies to.
+COLLATED_KEYS = (
+    "order_id",
+    "customer_id",
+    "customer_unique_id",
+    "product_id",
+    "seller_id",
+    "review_id",
+    "order_status",
+    "customer_state",
+    "customer_city",
+)
+
+
+def apply_collation(df: DataFrame, collation: str | None, columns: tuple[str, ...] = COLLATED_KEYS) -> DataFrame:
+    """Give key string columns a collation (D18), e.g. ``UTF8_LCASE`` or
+    ``UNICODE_CI_AI``, so joins, filters and groupings on them compare
+    case-insensitively as a case-insensitive database collation does.
+    ``None`` keeps binary strings.  Category names stay binary: they feed the
+    sorted distinct category list, which needs binary strings."""
+    if not collation:
+        return df
+    cols = []
+    for field in df.schema.fields:
+        if isinstance(field.dataType, StringType) and field.name in columns:
+            cols.append(F.collate(F.col(field.name), collation).alias(field.name))
+        else:
+            cols.append(F.col(field.name))
+    return df.select(*cols)
+
+
 def read_raw_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Read one raw table from CSV with an explicit schema (no inference)."""
     file_schema = _FILE_SCHEMAS.get(table, RAW_SCHEMAS[table])
@@ -122,14 +153,18 @@ def read_jdbc_table(
     return reader.load()
 
 
-def load_raw_tables(spark: SparkSession, source: str, location: str) -> dict[str, DataFrame]:
-    """Source switch (S15): ``testdata`` | ``csv`` | ``parquet``."""
+def load_raw_tables(
+    spark: SparkSession, source: str, location: str, collation: str | None = None
+) -> dict[str, DataFrame]:
+    """Source switch (S15): ``testdata`` | ``csv`` | ``parquet``; optional key collation."""
     if source == "testdata":
         from ordersight.sources.adapter import raw_tables_from_testdata
 
-        return raw_tables_from_testdata(spark, location)
-    if source == "csv":
-        return read_raw_csv_dir(spark, location)
-    if source == "parquet":
-        return read_raw_parquet_dir(spark, location)
-    raise ValueError(f"unknown source {source!r}")
+        tables = raw_tables_from_testdata(spark, location)
+    elif source == "csv":
+        tables = read_raw_csv_dir(spark, location)
+    elif source == "parquet":
+        tables = read_raw_parquet_dir(spark, location)
+    else:
+        raise ValueError(f"unknown source {source!r}")
+    return {name: apply_collation(df, collation) for name, df in tables.items()}

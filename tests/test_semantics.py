@@ -199,3 +199,20 @@ def test_tile_sizes(spark, n, ntile, qcut):
         t = add_tiles(base, [F.col("x"), F.col("order_id")], 3, method)
         sizes = {r.tile: r["count"] for r in t.groupBy("tile").count().collect()}
         assert [sizes.get(i, 0) for i in (1, 2, 3)] == expected
+
+
+def test_case_insensitive_collation_groups_keys(spark):
+    from ordersight.sources.readers import apply_collation
+
+    t = tables(
+        spark,
+        [order("o1", "c1"), order("o2", "c2")],
+        [item("o1", 1), item("o2", 1)],
+        [review("r1", "o1", 5), review("r2", "o2", 1)],
+        [customer("c1", "u1", "SP"), customer("c2", "u2", "sp")],
+        [product("p1", "cat")],
+    )
+    binary = descriptive.region_reviews(build_mart(t), min_orders=1).count()
+    folded = {k: apply_collation(v, "UTF8_LCASE") for k, v in t.items()}
+    ci = descriptive.region_reviews(build_mart(folded), min_orders=1).collect()
+    assert binary == 2 and len(ci) == 1 and ci[0].orders == 2

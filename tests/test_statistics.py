@@ -161,3 +161,28 @@ def test_chi2_sf_against_numeric_integration(x, k):
         if term < 1e-18:
             break
     assert abs(chi2_sf(x, k) - (1 - lower)) < 1e-10
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.floats(min_value=0.0, max_value=1.0, allow_nan=False), min_size=1, max_size=12))
+def test_bh_adjusted_values_are_monotone_and_bounded(spark, ps):
+    t = spark.createDataFrame([(f"k{i:02d}", p) for i, p in enumerate(ps)], "k string, p double")
+    rows = sorted(benjamini_hochberg(t, "p", "k").collect(), key=lambda r: (r.p, r.k))
+    adj = [r.p_adjusted for r in rows]
+    assert all(a <= b + 1e-15 for a, b in zip(adj, adj[1:]))
+    assert all(r.p - 1e-15 <= r.p_adjusted <= 1.0 for r in rows)
+
+
+def test_mart_grain_and_bucket_population(spark):
+    import __spark_entry__ as entry
+    from conftest import SF01
+
+    q = entry.queries()
+    g = q["dq_granularity"](spark, SF01).first()
+    assert g.duplicate_rows == 0 and g.all_rows == g.unique_orders
+    buckets = sum(r.orders for r in q["delay_bucket_reviews"](spark, SF01).collect())
+    mart = q["mart_order_fact"](spark, SF01)
+    population = mart.where(
+        "order_status = 'delivered' AND review_score IS NOT NULL AND delivery_delay_days IS NOT NULL"
+    ).count()
+    assert buckets == population
