@@ -73,10 +73,40 @@ def two_sided_sf(z: float) -> float:
     return min(1.0, math.erfc(abs(z) * _SQRT_HALF))
 
 
+def _u_counts(n1: int, n2: int) -> list[int]:
+    """Number of arrangements giving each U = 0..n1*n2 (no ties)."""
+    # f[i][j] = counts for samples of sizes i and j; f(i, j, u) = f(i-1, j, u-j) + f(i, j-1, u).
+    f = [[None] * (n2 + 1) for _ in range(n1 + 1)]
+    for i in range(n1 + 1):
+        for j in range(n2 + 1):
+            if i == 0 or j == 0:
+                f[i][j] = [1]
+                continue
+            a, b = f[i - 1][j], f[i][j - 1]
+            out = [0] * (i * j + 1)
+            for u, c in enumerate(a):
+                out[u + j] += c
+            for u, c in enumerate(b):
+                out[u] += c
+            f[i][j] = out
+    return f[n1][n2]
+
+
+def mann_whitney_exact_p(u1: float, n1: int, n2: int) -> float:
+    """Exact two-sided p for small samples without ties: 2 * P(U >= max(U1, U2))."""
+    counts = _u_counts(n1, n2)
+    u = int(round(max(u1, n1 * n2 - u1)))
+    total = sum(counts)
+    return min(1.0, 2.0 * sum(counts[u:]) / total)
+
+
 def mann_whitney_p(u1: float, n1: float, n2: float, tie_sum: float) -> float:
-    """Asymptotic two-sided Mann-Whitney p with tie and continuity corrections."""
+    """Two-sided Mann-Whitney p: exact when both samples have at most 8 values and
+    there are no ties, otherwise asymptotic with tie and continuity corrections."""
     if any(v is None or math.isnan(v) for v in (u1, n1, n2, tie_sum)):
         return float("nan")
+    if n1 <= 8 and n2 <= 8 and tie_sum == 0:
+        return mann_whitney_exact_p(u1, int(n1), int(n2))
     n = n1 + n2
     u = max(u1, n1 * n2 - u1)
     s = math.sqrt(n1 * n2 / 12.0 * ((n + 1) - tie_sum / (n * (n - 1))))

@@ -186,3 +186,10 @@ def test_mart_grain_and_bucket_population(spark):
         "order_status = 'delivered' AND review_score IS NOT NULL AND delivery_delay_days IS NOT NULL"
     ).count()
     assert buckets == population
+
+
+def test_mann_whitney_exact_small_samples():
+    # Completely separated samples of three: exact two-sided p = 2 / C(6, 3).
+    assert abs(mann_whitney_p(0.0, 3.0, 3.0, 0.0) - 0.1) < 1e-12
+    # With ties the asymptotic form is used.
+    assert 0.0 < mann_whitney_p(1.0, 3.0, 2.0, 6.0) < 1.0
