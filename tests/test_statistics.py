@@ -193,3 +193,30 @@ def test_mann_whitney_exact_small_samples():
     assert abs(mann_whitney_p(0.0, 3.0, 3.0, 0.0) - 0.1) < 1e-12
     # With ties the asymptotic form is used.
     assert 0.0 < mann_whitney_p(1.0, 3.0, 2.0, 6.0) < 1.0
+
+
+# Published state x lateness table (state, late orders, late low-review %,
+# on-time orders, on-time low-review %).
+STATE_LATENESS = [
+    ("AL", 92, 60.87, 302, 8.94), ("BA", 443, 53.72, 2786, 11.2), ("CE", 194, 63.4, 1079, 8.8),
+    ("DF", 147, 59.86, 1923, 9.46), ("ES", 234, 50.0, 1735, 8.88), ("GO", 155, 52.26, 1791, 9.72),
+    ("MA", 137, 58.39, 575, 10.78), ("MG", 622, 49.84, 10663, 9.48), ("MS", 81, 51.85, 618, 8.25),
+    ("MT", 58, 48.28, 821, 10.23), ("PA", 111, 66.67, 822, 11.31), ("PB", 55, 58.18, 457, 9.63),
+    ("PE", 168, 64.29, 1411, 8.93), ("PI", 75, 57.33, 396, 8.33), ("PR", 241, 43.98, 4659, 9.12),
+    ("RJ", 1623, 66.85, 10588, 10.85), ("RN", 50, 66.0, 421, 6.65), ("RO", 7, 57.14, 235, 10.64),
+    ("RS", 378, 55.56, 4948, 8.55), ("SC", 339, 51.62, 3180, 8.9), ("SE", 50, 68.0, 284, 10.21),
+    ("SP", 2349, 44.57, 37917, 8.54), ("TO", 35, 37.14, 238, 8.4),
+]
+
+
+def test_h5b_published_mantel_haenszel(spark):
+    rows = []
+    for _, late, late_pct, on_time, on_time_pct in STATE_LATENESS:
+        low_late, low_on_time = round(late * late_pct / 100), round(on_time * on_time_pct / 100)
+        # rows late 0/1 x columns low 0/1
+        rows.append((on_time - low_on_time, low_on_time, late - low_late, low_late))
+    strata = spark.createDataFrame(rows, "a long, b long, c long, d long")
+    r = mantel_haenszel(strata, min_stratum_n=20).collect()[0]
+    assert r.strata == 23
+    assert round(r.mh_statistic, 3) == 11479.747
+    assert round(r.pooled_odds_ratio, 2) == 11.28
