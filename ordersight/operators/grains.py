@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordersight.operators.mart import product_categories
+from ordersight.operators.categories import category_counts
 from ordersight.operators.shared import shared
 
 
@@ -52,34 +52,10 @@ def delivered_orders_with_dates(orders: DataFrame, on_time_only: bool = False) -
     return o.select("order_id", (d > e).cast("int").alias("is_late"))
 
 
-def category_item_counts(items: DataFrame, products: DataFrame, translation: DataFrame, keep_orphans: bool) -> DataFrame:
-    """Per (order, category): number of items.
-
-    ``keep_orphans=True``: SQL form, an unknown product falls back to 'unknown'.
-    ``keep_orphans=False``: pandas form, items of unknown products are dropped (D4).
-    """
-    cats = product_categories(products, translation).withColumn(
-        "category", F.coalesce(F.col("product_category"), F.lit("unknown"))
-    )
-    how = "left" if keep_orphans else "inner"
-    it = items.select("order_id", "product_id").join(cats.select("product_id", "category"), "product_id", how)
-    if keep_orphans:
-        it = it.withColumn("category", F.coalesce(F.col("category"), F.lit("unknown")))
-    return it.groupBy("order_id", "category").agg(F.count(F.lit(1)).alias("n_items"))
-
-
 def review_stats(raw: dict[str, DataFrame]) -> DataFrame:
     return shared(raw, "review_stats", lambda: order_review_stats(raw["order_reviews"]))
 
 
-def category_counts(raw: dict[str, DataFrame], keep_orphans: bool) -> DataFrame:
-    return shared(
-        raw,
-        f"category_counts_{keep_orphans}",
-        lambda: category_item_counts(raw["order_items"], raw["products"], raw["category_translation"], keep_orphans),
-    )
-
-
 def category_item_review_totals(raw: dict[str, DataFrame], on_time_only: bool) -> DataFrame:
     """Item x review grain per category, without materialising the fan-out.
 
@@ -89,7 +65,7 @@ def category_item_review_totals(raw: dict[str, DataFrame], on_time_only: bool) -
         orders = delivered_orders_with_dates(raw["orders"], on_time_only=True).select("order_id")
     else:
         orders = raw["orders"].where(_delivered()).select("order_id")
-    counts = category_counts(raw, True)
+    counts = category_counts(raw)
     rev = review_stats(raw)
     j = counts.join(orders, "order_id", "left_semi").join(rev, "order_id", "inner")
     return j.groupBy("category").agg(
@@ -119,7 +95,7 @@ def on_time_item_grain(raw: dict[str, DataFrame]) -> DataFrame:
     Items of unknown products are dropped; '' / missing categories read 'unknown'.
     """
     orders = delivered_orders_with_dates(raw["orders"], on_time_only=True).select("order_id")
-    counts = category_counts(raw, False)
+    counts = category_counts(raw).where(~F.col("orphan"))
     rev = review_stats(raw).select(
         "order_id", "mean_score", (F.col("mean_score") <= 2).cast("int").alias("is_low_review")
     )

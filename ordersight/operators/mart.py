@@ -2,17 +2,17 @@
 
 Plan shape (one row per order):
 
-    order_items --(left, product_id)--> product categories   (dimension side
-        |                                 size-checked / AQE-broadcast)
-        groupBy(order_id): counts, distinct sellers, money sums, sorted
-        distinct category list                  -- one shuffle of the items
-    order_reviews groupBy(order_id): avg score  -- partial + final aggregate
-    orders left-join both on order_id           -- sides already hashed on order_id
+    order_items groupBy(order_id): counts, distinct sellers (via a partial
+        (order, seller) aggregate), money sums      -- no product lookup
+    category grain (order, category, orphan)        -- the one item -> product
+        groupBy(order_id): sorted distinct list        join, shared with the
+                                                       category analyses
+    order_reviews groupBy(order_id): avg score
+    orders left-join the three on order_id          -- sides already hashed on order_id
     inner-join customers on customer_id
 
-Items and categories are aggregated in a single ``groupBy`` (one shuffle
-instead of two), and both pre-aggregated sides are already partitioned by
-``order_id`` when they meet the orders.
+Every side meeting the orders is pre-aggregated to one row per order, so the
+joins are one-to-one and the fact table never multiplies rows.
 """
 
 from __future__ import annotations
@@ -21,41 +21,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordersight.functions.columns import calendar_days, late_flag, low_review_flag
+from ordersight.operators.categories import category_counts
 from ordersight.schemas import MART_COLUMNS
 
-UNKNOWN = "unknown"
 MONEY_SUM = "decimal(38,2)"
 
 
-def product_categories(products: DataFrame, translation: DataFrame) -> DataFrame:
-    """product_id -> english name, else native name (NULL when neither exists)."""
-    # A size-checked broadcast hint on ``translation`` (see plans.context) is kept;
-    # without one, AQE broadcasts the side at runtime when its shuffle output is small.
-    tr = translation.select("product_category_name", "product_category_name_english")
-    p = products.select("product_id", "product_category_name")
-    return p.join(tr, "product_category_name", "left").select(
-        "product_id",
-        F.coalesce("product_category_name_english", "product_category_name").alias("product_category"),
-    )
-
-
-def items_with_category(items: DataFrame, products: DataFrame, translation: DataFrame) -> DataFrame:
-    """Items with ``category`` = english, native or 'unknown' (orphans included)."""
-    cats = product_categories(products, translation)
-    return items.join(cats, "product_id", "left").withColumn(
-        "category", F.coalesce(F.col("product_category"), F.lit(UNKNOWN))
-    )
-
-
-def order_item_aggregates(items: DataFrame, products: DataFrame, translation: DataFrame) -> DataFrame:
-    it = items_with_category(items, products, translation)
-    return it.groupBy("order_id").agg(
+def order_item_aggregates(items: DataFrame) -> DataFrame:
+    """Per order: item count, distinct sellers, money sums (no product lookup needed)."""
+    return items.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("item_count"),
         F.count_distinct("seller_id").alias("seller_count"),
         F.sum("price").cast(MONEY_SUM).alias("item_revenue"),
         F.sum("freight_value").cast(MONEY_SUM).alias("freight_revenue"),
         F.sum(F.col("price") + F.col("freight_value")).cast(MONEY_SUM).alias("order_gmv"),
-        F.array_join(F.array_sort(F.collect_set("category")), ", ").alias("categories"),
+    )
+
+
+def order_category_lists(counts: DataFrame) -> DataFrame:
+    """Per order: sorted distinct categories joined by ', ' (from the category grain)."""
+    return counts.groupBy("order_id").agg(
+        F.array_join(F.array_sort(F.collect_set("category")), ", ").alias("categories")
     )
 
 
@@ -67,12 +53,14 @@ def order_review_aggregates(reviews: DataFrame) -> DataFrame:
 def build_mart(raw: dict[str, DataFrame]) -> DataFrame:
     """``mart_order_fact``: the 18-column order-level fact table."""
     orders = raw["orders"]
-    item_agg = order_item_aggregates(raw["order_items"], raw["products"], raw["category_translation"])
+    item_agg = order_item_aggregates(raw["order_items"])
+    category_agg = order_category_lists(category_counts(raw))
     review_agg = order_review_aggregates(raw["order_reviews"])
     customers = raw["customers"].select("customer_id", "customer_unique_id", "customer_state")
 
     joined = (
         orders.join(item_agg, "order_id", "left")
+        .join(category_agg, "order_id", "left")
         .join(review_agg, "order_id", "left")
         .join(customers, "customer_id", "inner")
     )
