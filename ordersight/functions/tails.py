@@ -15,11 +15,17 @@ underflow cleanly to 0.0 instead of overflowing.
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+# The UDFs below are shipped to Python workers by value (code and helpers), so
+# executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _SQRT_HALF = math.sqrt(0.5)
 
 
