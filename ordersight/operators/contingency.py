@@ -105,16 +105,6 @@ def cochran_armitage(counts: DataFrame, score: str | Column) -> DataFrame:
     return chi2_two_column(counts, score=score).select("trend_z")
 
 
-def two_by_two_cells(df: DataFrame, exposure: Column, outcome: Column) -> list[Column]:
-    """Aggregates (a, b, c, d) of a 2 x 2 table with rows [exposure=1, 0] x cols [outcome=1, 0]."""
-    return [
-        F.count_if((exposure == 1) & (outcome == 1)).alias("a"),
-        F.count_if((exposure == 1) & (outcome == 0)).alias("b"),
-        F.count_if((exposure == 0) & (outcome == 1)).alias("c"),
-        F.count_if((exposure == 0) & (outcome == 0)).alias("d"),
-    ]
-
-
 def odds_ratio_expr(a="a", b="b", c="c", d="d") -> Column:
     """a*d / (b*c); NULL when b*c = 0."""
     bc = F.col(b).cast("double") * F.col(c)

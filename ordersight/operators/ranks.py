@@ -31,65 +31,6 @@ def midranks(hist: DataFrame, value: str) -> DataFrame:
     )
 
 
-def rank_sums(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Per group: n, rank sum and its share of the tie term.
-
-    Summed over groups, ``tie_part`` gives sum over values of (t^3 - t), because
-    the rows of one value carry counts that add up to its total ``t``.
-    """
-    hist = value_histogram(df, value, group)
-    mr = midranks(hist, value)
-    return (
-        hist.join(mr, value)
-        .groupBy(group)
-        .agg(
-            F.sum("cnt").alias("n_g"),
-            F.sum(F.col("cnt") * F.col("midrank")).alias("rank_sum"),
-            F.sum(F.col("cnt").cast("double") * (F.col("t").cast("double") * F.col("t") - F.lit(1.0))).alias(
-                "tie_part"
-            ),
-        )
-    )
-
-
-def kruskal_wallis(df: DataFrame, value: str, group: str) -> DataFrame:
-    """One row: H (tie-corrected), number of groups, N."""
-    g = rank_sums(df, value, group).agg(
-        F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n_g")).alias("s"),
-        F.count(F.lit(1)).alias("k"),
-        F.sum("n_g").cast("double").alias("N"),
-        F.sum("tie_part").alias("tie_sum"),
-    )
-    n = F.col("N")
-    h = (F.lit(12.0) / (n * (n + 1)) * F.col("s") - F.lit(3.0) * (n + 1)) / (
-        F.lit(1.0) - F.col("tie_sum") / (n * n * n - n)
-    )
-    return g.select(h.alias("kw_h"), F.col("k").cast("int").alias("groups"), n.cast("long").alias("n"))
-
-
-def mann_whitney(df: DataFrame, value: str, group: str, first: str, second: str) -> DataFrame:
-    """One row: U of the first sample, n1, n2, tie sum and Cliff's delta (first vs second).
-
-    Ranks are taken within the two samples only.
-    """
-    two = df.where(F.col(group).isin(first, second))
-    g = rank_sums(two, value, group).agg(
-        F.max(F.when(F.col(group) == first, F.col("rank_sum"))).alias("r1"),
-        F.max(F.when(F.col(group) == first, F.col("n_g"))).cast("double").alias("n1"),
-        F.max(F.when(F.col(group) == second, F.col("n_g"))).cast("double").alias("n2"),
-        F.sum("tie_part").alias("tie_sum"),
-    )
-    n1, n2 = F.col("n1"), F.col("n2")
-    u1 = F.col("r1") - n1 * (n1 + 1) / F.lit(2.0)
-    return g.select(
-        u1.alias("mw_u"),
-        n1.cast("long").alias("n1"),
-        n2.cast("long").alias("n2"),
-        F.col("tie_sum"),
-        (F.lit(2.0) * u1 / (n1 * n2) - F.lit(1.0)).alias("cliffs_delta"),
-    )
-
-
 def rank_tests(df: DataFrame, value: str, group: str, first: str, second: str) -> DataFrame:
     """Kruskal-Wallis over all groups and Mann-Whitney (first vs second) in one plan.
 
