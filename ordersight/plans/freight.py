@@ -50,9 +50,9 @@ def terciles(mart: DataFrame, method: str, late_known: bool = False) -> DataFram
     )
 
 
-def freight_terciles(mart: DataFrame) -> DataFrame:
-    """Q15: NTILE(3) terciles of the freight ratio."""
-    t = terciles(mart, "ntile")
+def freight_terciles(mart: DataFrame, method: str = "ntile") -> DataFrame:
+    """Q15: terciles of the freight ratio - SQL NTILE(3), or ``method="qcut"`` as the pandas export."""
+    t = terciles(mart, method)
     out = t.groupBy("freight_ratio_tercile").agg(
         F.count(F.lit(1)).alias("orders"),
         round_half_up(F.avg("freight_ratio"), 3).alias("avg_freight_ratio"),

@@ -8,6 +8,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from conftest import SF001
+from conftest import SF01 as SF01_DIR
 from ordersight.operators.mart import build_mart
 from ordersight.plans import descriptive
 from ordersight.sources.adapter import raw_tables_from_testdata
@@ -97,3 +98,19 @@ def test_workspace_table_materialisation(spark):
     assert sorted(map(tuple, descriptive.delay_bucket_reviews(a).collect())) == sorted(
         map(tuple, descriptive.delay_bucket_reviews(b).collect())
     )
+
+
+def test_export_results(spark):
+    from ordersight.plans.exports import EXPORT_FILES, export_results
+
+    out = tempfile.mkdtemp(prefix="ordersight-export-")
+    paths = export_results(spark, SF01_DIR, out, "2000-07-01")
+    assert len(paths) == len(EXPORT_FILES) == 15
+    first_lines = {}
+    for p in paths:
+        csv = [f for f in os.listdir(p) if f.endswith(".csv")]
+        assert len(csv) == 1
+        with open(os.path.join(p, csv[0])) as fh:
+            first_lines[os.path.basename(p)] = fh.readline().strip()
+    assert first_lines["delivery_review_analysis"] == "delivery_bucket,orders,avg_review_score,low_review_rate_pct"
+    assert first_lines["hypothesis_test_summary"].startswith("hypothesis,question,test,statistic,p_value")
