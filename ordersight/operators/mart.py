@@ -66,8 +66,7 @@ def build_mart(raw: dict[str, DataFrame]) -> DataFrame:
     )
     delivered = F.col("order_delivered_customer_date")
     return joined.select(
-        *MART_COLUMNS[:7],
-        *MART_COLUMNS[7:14],
+        *MART_COLUMNS[:14],
         calendar_days(delivered, "order_purchase_timestamp").alias("delivery_days"),
         calendar_days(delivered, "order_estimated_delivery_date").alias("delivery_delay_days"),
         late_flag(delivered, "order_estimated_delivery_date").alias("is_late_delivery"),
