@@ -35,6 +35,9 @@ def get_spark(
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Coalesce post-shuffle partitions to the advisory size (64 MB) rather than
+        # keeping the default parallelism: fewer tiny tasks, same plans at scale.
+        .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("ORDERSIGHT_DRIVER_MEMORY", "8g"))
