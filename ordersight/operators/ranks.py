@@ -4,31 +4,30 @@ Kruskal-Wallis and Mann-Whitney need mid-ranks with ties.  Instead of sorting
 all observations, the data is reduced to a histogram ``(value, group) -> count``
 (partial aggregation before the shuffle).  Mid-ranks then come from a running
 sum over the *distinct values*: ``rank(v) = below(v) + (t_v + 1) / 2``.  The
-window runs over one row per distinct value - day counts between two orders -
-whose number is bounded by the span of dates, not by the number of customers.
+running sum is itself distributed (range-sorted positions plus per-partition
+offsets, see ``tiles.global_running_sums``), so even a value table as large as
+the data never lands in one task.
 
 Cliff's delta follows from U without any pairwise work: delta = 2U/(n1 n2) - 1.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ordersight.operators.tiles import global_running_sums
+
 
 def value_histogram(df: DataFrame, value: str, group: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(value, group).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def midranks(hist: DataFrame, value: str) -> DataFrame:
-    """Per distinct value: total count ``t`` and mid-rank."""
+    """Per distinct value: total count ``t`` and mid-rank ``below + (t + 1) / 2``."""
     per_value = hist.groupBy(value).agg(F.sum("cnt").alias("t"))
-    w = Window.orderBy(value)
-    return per_value.select(
-        value,
-        "t",
-        (F.sum("t").over(w) - F.col("t") + (F.col("t") + 1) / F.lit(2.0)).alias("midrank"),
-    )
+    run = global_running_sums(per_value, [F.col(value)], ["t"])
+    return run.select(value, "t", (F.col("cum_t") - F.col("t") + (F.col("t") + 1) / F.lit(2.0)).alias("midrank"))
 
 
 def rank_tests(df: DataFrame, value: str, group: str, first: str, second: str) -> DataFrame:
@@ -42,13 +41,13 @@ def rank_tests(df: DataFrame, value: str, group: str, first: str, second: str) -
     per_value = hist.groupBy(value).agg(
         F.sum("cnt").alias("t"), F.sum(F.when(in_two, F.col("cnt")).otherwise(F.lit(0))).alias("t2")
     )
-    w = Window.orderBy(value)
-    mr = per_value.select(
+    run = global_running_sums(per_value, [F.col(value)], ["t", "t2"])
+    mr = run.select(
         value,
         "t",
         "t2",
-        (F.sum("t").over(w) - F.col("t") + (F.col("t") + 1) / F.lit(2.0)).alias("mid"),
-        (F.sum("t2").over(w) - F.col("t2") + (F.col("t2") + 1) / F.lit(2.0)).alias("mid2"),
+        (F.col("cum_t") - F.col("t") + (F.col("t") + 1) / F.lit(2.0)).alias("mid"),
+        (F.col("cum_t2") - F.col("t2") + (F.col("t2") + 1) / F.lit(2.0)).alias("mid2"),
     )
     cnt = F.col("cnt").cast("double")
     per_group = (

@@ -220,3 +220,16 @@ def test_h5b_published_mantel_haenszel(spark):
     assert r.strata == 23
     assert round(r.mh_statistic, 3) == 11479.747
     assert round(r.pooled_odds_ratio, 2) == 11.28
+
+
+def test_global_running_sums_match_cumsum(spark):
+    from ordersight.operators.tiles import global_running_sums
+
+    rng = random.Random(11)
+    rows = [(i, rng.randint(0, 9), rng.randint(0, 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, a long, b long").repartition(7)
+    got = {r.k: (r.cum_a, r.cum_b) for r in global_running_sums(df, [F.col("k")], ["a", "b"]).collect()}
+    ca = cb = 0
+    for k, a, b in rows:
+        ca, cb = ca + a, cb + b
+        assert got[k] == (ca, cb)
