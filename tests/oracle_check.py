@@ -65,6 +65,30 @@ def _norm(v):
     return v
 
 
+# Spark simpleString -> DuckDB type name considered the same column type.
+TYPE_PAIRS = {
+    ("int", "INTEGER"),
+    ("bigint", "BIGINT"),
+    ("double", "DOUBLE"),
+    ("string", "VARCHAR"),
+    ("timestamp_ntz", "TIMESTAMP"),
+    ("boolean", "BOOLEAN"),
+    ("decimal(38,2)", "DECIMAL(38,2)"),
+}
+
+
+def type_mismatches(spark_df, con, sql: str) -> dict[str, tuple]:
+    """Columns whose Spark and DuckDB types differ (by the pairs above)."""
+    stypes = {f.name: f.dataType.simpleString() for f in spark_df.schema.fields}
+    rel = con.sql(sql)
+    dtypes = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    return {
+        c: (stypes.get(c), dtypes.get(c))
+        for c in sorted(set(stypes) | set(dtypes))
+        if (stypes.get(c), dtypes.get(c)) not in TYPE_PAIRS
+    }
+
+
 def canon(df: pd.DataFrame) -> list[tuple]:
     cols = sorted(df.columns)
     rows = [tuple(_norm(v) for v in r) for r in df[cols].itertuples(index=False, name=None)]
@@ -80,7 +104,8 @@ def compare(spark, sf_dir: str, names: list[str] | None = None, verbose: bool =
     for name in names or list(qs):
         t0 = time.time()
         try:
-            sdf = qs[name](spark, sf_dir).toPandas()
+            spark_df = qs[name](spark, sf_dir)
+            sdf = spark_df.toPandas()
         except Exception as ex:  # pragma: no cover - reported
             results[name] = f"SPARK ERROR {type(ex).__name__}: {str(ex)[:300]}"
             print(name, results[name])
@@ -97,6 +122,7 @@ def compare(spark, sf_dir: str, names: list[str] | None = None, verbose: bool =
             print(name, results[name])
             continue
         status = "OK"
+        types = type_mismatches(spark_df, con, sqls[name])
         if sorted(sdf.columns) != sorted(odf.columns):
             status = f"COLUMNS spark={sorted(sdf.columns)} oracle={sorted(odf.columns)}"
         elif len(sdf) != len(odf):
@@ -106,6 +132,8 @@ def compare(spark, sf_dir: str, names: list[str] | None = None, verbose: bool =
             if a != b:
                 diffs = [(x, y) for x, y in zip(a, b) if x != y][:3]
                 status = f"VALUES differ e.g. {diffs}"
+            elif types:
+                status = f"TYPES differ {types}"
         results[name] = status
         if verbose:
             print(f"{name:40s} {status[:600]}  rows={len(sdf)} {ts:.1f}s")
