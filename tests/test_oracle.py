@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF001, SF01
-from oracle_check import canon, duck
+from oracle_check import canon, duck, type_mismatches
 
 KEYS = sorted(entry.oracle_sql())
 # Keys with a statistic that depends on the data volume are also checked at sf0.01.
@@ -24,9 +24,11 @@ def con01():
 
 
 def _check(spark, con, sf, name):
-    got = entry.queries()[name](spark, sf).toPandas()
+    df = entry.queries()[name](spark, sf)
+    got = df.toPandas()
     want = con.execute(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
+    assert not type_mismatches(df, con, entry.oracle_sql()[name])
     assert len(got) == len(want)
     assert canon(got) == canon(want)
 
