@@ -34,3 +34,12 @@ def shared(anchor: object, key: str, build: Callable[[], DataFrame]) -> DataFram
         df = build().persist(StorageLevel.MEMORY_AND_DISK)
         _MEMO[k] = df
     return df
+
+
+def release_anchor(anchor: object) -> int:
+    """Unpersist every intermediate built for ``anchor`` and forget it; returns the count."""
+    keys = [k for k in _MEMO if k[0] == id(anchor)]
+    for k in keys:
+        _MEMO.pop(k).unpersist()
+    _ANCHORS.pop(id(anchor), None)
+    return len(keys)

@@ -18,7 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ordersight.operators.mart import build_mart
-from ordersight.operators.shared import register_anchor
+from ordersight.operators.shared import register_anchor, release_anchor
 from ordersight.operators.sizing import broadcast_if_small
 from ordersight.session import ensure_checkpoint_dir
 from ordersight.sources.readers import load_raw_tables
@@ -66,6 +66,18 @@ class Workspace:
         return self._mart
 
 
+    def release(self) -> None:
+        """Unpersist the mart, the persisted raw tables and every shared grain."""
+        if self._mart is not None:
+            release_anchor(self._mart)
+            self._mart.unpersist()
+            self._mart = None
+        if self._raw is not None:
+            release_anchor(self._raw)
+            for df in self._raw.values():
+                df.unpersist()
+            self._raw = None
+
     def _materialize(self, df: DataFrame, name: str) -> DataFrame:
         if self.materialize == "table":
             base = ensure_checkpoint_dir(self.spark).rstrip("/")
@@ -90,3 +102,11 @@ def workspace(
         ws = Workspace(spark, location, source, persist, materialize, collation)
         _CACHE[key] = ws
     return ws
+
+
+def release_workspaces(spark: SparkSession) -> int:
+    """Release every workspace of ``spark``; returns how many were released."""
+    keys = [k for k, ws in _CACHE.items() if ws.spark is spark]
+    for k in keys:
+        _CACHE.pop(k).release()
+    return len(keys)

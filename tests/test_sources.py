@@ -114,3 +114,14 @@ def test_export_results(spark):
             first_lines[os.path.basename(p)] = fh.readline().strip()
     assert first_lines["delivery_review_analysis"] == "delivery_bucket,orders,avg_review_score,low_review_rate_pct"
     assert first_lines["hypothesis_test_summary"].startswith("hypothesis,question,test,statistic,p_value")
+
+
+def test_release_workspace(spark):
+    from ordersight.plans.context import release_workspaces, workspace
+
+    ws = workspace(spark, SF001)
+    n = descriptive.delay_bucket_reviews(ws.mart).count()
+    assert n == 4 and ws.mart.is_cached
+    assert release_workspaces(spark) >= 1
+    again = workspace(spark, SF001)
+    assert again is not ws and descriptive.delay_bucket_reviews(again.mart).count() == 4
