@@ -1,28 +1,29 @@
 """Benjamini-Hochberg false-discovery-rate adjustment.
 
-Input: one row per test (here: per product category passing the volume
-threshold), so the windows below run over a table whose size is bounded by the
-category dimension, not by the data volume.
-
     adjusted p_(i) = min_{j >= i} p_(j) * m / j, capped at 1
     reject          = adjusted p <= alpha   (same set as the step-up rule)
+
+Both steps are distributed: the ranks come from range-sorted global positions
+and the minimum over all later ranks is a running minimum in descending rank
+order, carried across range partitions by their per-partition minima.  No step
+collects the table of tests into one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ordersight.operators.tiles import global_ranks, global_running
+
 
 def benjamini_hochberg(tests: DataFrame, p_col: str, key_col: str, alpha: float = 0.05) -> DataFrame:
-    by_p = Window.orderBy(F.col(p_col).asc(), F.col(key_col).asc())
-    whole = by_p.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = tests.withColumn("_i", F.row_number().over(by_p)).withColumn("_m", F.count(F.lit(1)).over(whole))
+    """Add ``p_adjusted`` and ``reject``; ``key_col`` breaks ties between equal p-values."""
+    ranked = global_ranks(tests, [F.col(p_col).asc(), F.col(key_col).asc()], "_i", "_m")
     ranked = ranked.withColumn("_raw", F.col(p_col) * F.col("_m") / F.col("_i"))
-    tail = Window.orderBy("_i").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    adj = F.least(F.min("_raw").over(tail), F.lit(1.0))
+    adj = global_running(ranked, [F.col("_i").desc()], ["_raw"], "min", prefix="_min")
     return (
-        ranked.withColumn("p_adjusted", adj)
+        adj.withColumn("p_adjusted", F.least(F.col("_min_raw"), F.lit(1.0)))
         .withColumn("reject", F.col("p_adjusted") <= F.lit(alpha))
-        .drop("_i", "_m", "_raw")
+        .drop("_i", "_m", "_raw", "_min_raw")
     )

@@ -55,32 +55,45 @@ def global_ranks(df: DataFrame, order_cols: list[str | Column], rank_col: str =
     return ranked.drop("_mid", "_pid", "_loc", "_off")
 
 
-def global_running_sums(
-    df: DataFrame, order_cols: list[str | Column], value_cols: list[str], prefix: str = "cum_"
+def global_running(
+    df: DataFrame,
+    order_cols: list[str | Column],
+    value_cols: list[str],
+    how: str = "sum",
+    prefix: str = "cum_",
 ) -> DataFrame:
-    """Add inclusive running sums of ``value_cols`` in ``order_cols`` order (must be unique).
+    """Add inclusive running ``sum`` or ``min`` of ``value_cols`` in ``order_cols`` order.
 
-    Same positions as ``global_ranks``; within each range partition the running
-    sum is a window partitioned by that partition (bounded by the range
-    partition size), and the partition offsets come from the small table of
-    per-partition totals.
+    ``order_cols`` must give a total order.  Same positions as ``global_ranks``;
+    within each range partition the running value is a window partitioned by
+    that partition (bounded by the range partition size), and the carry-in from
+    earlier partitions comes from the small table of per-partition totals.
     """
+    agg = {"sum": F.sum, "min": F.min}[how]
     ensure_checkpoint_dir(df.sparkSession)
     ordered = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
     ordered = ordered.checkpoint(eager=True)
     pos = ordered.withColumn("_pid", F.shiftright("_mid", _POS_BITS))
-    totals = pos.groupBy("_pid").agg(*[F.sum(c).alias(f"_tot_{c}") for c in value_cols])
-    by_pid = Window.orderBy("_pid")
-    offsets = totals.select(
-        "_pid", *[(F.sum(f"_tot_{c}").over(by_pid) - F.col(f"_tot_{c}")).alias(f"_off_{c}") for c in value_cols]
-    )
+    totals = pos.groupBy("_pid").agg(*[agg(c).alias(f"_tot_{c}") for c in value_cols])
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *[agg(f"_tot_{c}").over(before).alias(f"_off_{c}") for c in value_cols])
     within = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = pos.join(F.broadcast(offsets), "_pid")
     for c in value_cols:
-        out = out.withColumn(f"{prefix}{c}", F.col(f"_off_{c}") + F.sum(c).over(within))
+        run = agg(c).over(within)
+        carry = F.col(f"_off_{c}")
+        value = F.coalesce(carry, F.lit(0)) + run if how == "sum" else F.least(carry, run)
+        out = out.withColumn(f"{prefix}{c}", value)
     return out.drop("_mid", "_pid", *[f"_off_{c}" for c in value_cols])
 
 
+def global_running_sums(
+    df: DataFrame, order_cols: list[str | Column], value_cols: list[str], prefix: str = "cum_"
+) -> DataFrame:
+    """Inclusive running sums (see ``global_running``)."""
+    return global_running(df, order_cols, value_cols, "sum", prefix)
+
+
 def ntile_from_rank(rank: str, total: str, k: int) -> Column:
     """SQL NTILE(k) of 1-based ``rank`` among ``total`` rows."""
     base = f"({total} div {k})"

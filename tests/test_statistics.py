@@ -233,3 +233,25 @@ def test_global_running_sums_match_cumsum(spark):
     for k, a, b in rows:
         ca, cb = ca + a, cb + b
         assert got[k] == (ca, cb)
+
+
+def test_global_running_min_and_bh_on_many_tests(spark):
+    from ordersight.operators.tiles import global_running
+
+    rng = random.Random(5)
+    rows = [(i, rng.random()) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, p double").repartition(9)
+    got = {r.k: r.cum_p for r in global_running(df, [F.col("k").desc()], ["p"], "min").collect()}
+    running = float("inf")
+    for k, p in sorted(rows, reverse=True):
+        running = min(running, p)
+        assert got[k] == running
+    # BH against a direct computation on 400 tests.
+    out = {r.k: r.p_adjusted for r in benjamini_hochberg(df.withColumn("k", F.col("k").cast("string")), "p", "k").collect()}
+    order = sorted(rows, key=lambda r: (r[1], str(r[0])))
+    m, best, want = len(order), 1.0, {}
+    for i in range(m, 0, -1):
+        k, p = order[i - 1]
+        best = min(best, p * m / i)
+        want[str(k)] = best
+    assert all(abs(out[k] - v) < 1e-12 for k, v in want.items())
