@@ -1,4 +1,7 @@
-"""Exact global tiles without a single-partition window.
+"""Exact global positions without a single-partition window.
+
+Used for tiles (NTILE / qcut), and for running sums and minima over a global
+order (mid-ranks of the rank tests, the Benjamini-Hochberg adjustment).
 
 ``NTILE(k) OVER (ORDER BY x)`` with no PARTITION BY makes Spark move every row
 into one partition.  Here the exact global position of each row is derived
