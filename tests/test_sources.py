@@ -125,3 +125,17 @@ def test_release_workspace(spark):
     assert release_workspaces(spark) >= 1
     again = workspace(spark, SF001)
     assert again is not ws and descriptive.delay_bucket_reviews(again.mart).count() == 4
+
+
+def test_parquet_source_round_trip(spark):
+    from ordersight.sources.readers import load_raw_tables
+    from ordersight.sources.sinks import write_table_parquet
+
+    raw = raw_tables_from_testdata(spark, SF001)
+    out = tempfile.mkdtemp(prefix="ordersight-parquet-")
+    for name, df in raw.items():
+        write_table_parquet(df, os.path.join(out, name))
+    back = load_raw_tables(spark, "parquet", out)
+    a = descriptive.delay_bucket_reviews(build_mart(raw)).collect()
+    b = descriptive.delay_bucket_reviews(build_mart(back)).collect()
+    assert [tuple(r) for r in a] == [tuple(r) for r in b]
