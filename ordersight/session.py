@@ -40,6 +40,8 @@ def get_spark(
         .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Remove checkpoint files (tile / running-aggregate positions) once unreferenced.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("ORDERSIGHT_DRIVER_MEMORY", "8g"))
     )
     if shuffle_partitions is not None:
