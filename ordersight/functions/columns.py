@@ -56,11 +56,6 @@ def low_review_flag(score: str | Column) -> Column:
     return F.when(s.isNull(), F.lit(None).cast("int")).when(s <= 2, F.lit(1)).otherwise(F.lit(0))
 
 
-def low_flag_2state(score: str | Column) -> Column:
-    """Item-grain flag with ``ELSE 0`` (NULL scores are filtered out beforehand)."""
-    return F.when(col(score) <= 2, F.lit(1)).otherwise(F.lit(0))
-
-
 # ---------------------------------------------------------------------------
 # Labels (P6 - P10)
 # ---------------------------------------------------------------------------

@@ -131,24 +131,6 @@ def chi2_sf_udf(x: pd.Series, k: pd.Series) -> pd.Series:
     return pd.Series([chi2_sf(_nan(a), _nan(b)) for a, b in zip(x, k)], dtype="float64")
 
 
-@F.pandas_udf(DoubleType())
-def trend_p_udf(z: pd.Series) -> pd.Series:
-    return pd.Series([two_sided_from_cdf(_nan(v)) for v in z], dtype="float64")
-
-
-@F.pandas_udf(DoubleType())
-def normal_two_sided_udf(z: pd.Series) -> pd.Series:
-    return pd.Series([two_sided_sf(_nan(v)) for v in z], dtype="float64")
-
-
-@F.pandas_udf(DoubleType())
-def mann_whitney_p_udf(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
-    return pd.Series(
-        [mann_whitney_p(_nan(a), _nan(b), _nan(c), _nan(d)) for a, b, c, d in zip(u, n1, n2, ties)],
-        dtype="float64",
-    )
-
-
 def p_value(kind: str, a: float, b: float, c: float, d: float) -> float:
     """Dispatch on the kind of test: 'chi2' (a=statistic, b=dof), 'trend' (a=z),
     'mw' (a=U, b=n1, c=n2, d=tie sum); anything else -> NaN."""

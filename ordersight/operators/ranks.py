@@ -23,13 +23,6 @@ def value_histogram(df: DataFrame, value: str, group: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(value, group).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def midranks(hist: DataFrame, value: str) -> DataFrame:
-    """Per distinct value: total count ``t`` and mid-rank ``below + (t + 1) / 2``."""
-    per_value = hist.groupBy(value).agg(F.sum("cnt").alias("t"))
-    run = global_running_sums(per_value, [F.col(value)], ["t"])
-    return run.select(value, "t", (F.col("cum_t") - F.col("t") + (F.col("t") + 1) / F.lit(2.0)).alias("midrank"))
-
-
 def rank_tests(df: DataFrame, value: str, group: str, first: str, second: str) -> DataFrame:
     """Kruskal-Wallis over all groups and Mann-Whitney (first vs second) in one plan.
 

@@ -87,6 +87,8 @@ def test_public_api(spark):
     assert 0 < api.cramers_v(counts).first().cramers_v < 1
     cells = spark.createDataFrame([(2542, 6986, 9695, 76609)], "a long, b long, c long, d long")
     assert round(api.odds_ratio_2x2(cells).first().odds_ratio, 3) == 2.875
+    samples = spark.createDataFrame([("x", 1), ("x", 2), ("x", 2), ("y", 2), ("y", 3)], "g string, v int")
+    assert abs(api.cliff_delta(samples, "v", "g", "x", "y").first().cliffs_delta + 2 / 3) < 1e-12
 
 
 def test_workspace_table_materialisation(spark):
