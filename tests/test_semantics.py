@@ -216,3 +216,17 @@ def test_case_insensitive_collation_groups_keys(spark):
     folded = {k: apply_collation(v, "UTF8_LCASE") for k, v in t.items()}
     ci = descriptive.region_reviews(build_mart(folded), min_orders=1).collect()
     assert binary == 2 and len(ci) == 1 and ci[0].orders == 2
+
+
+def test_exact_half_up_rounding(spark):
+    from ordersight.functions.columns import rate_pct, round_half_up, round_ratio
+
+    df = spark.createDataFrame([(107, 40), (1, 8), (1, 3), (5, 2), (0, 0)], "n long, d long")
+    rows = df.select(
+        round_ratio("n", "d", 2).alias("r2"), rate_pct("n", "d").alias("pct"), round_ratio("n", "d", 0).alias("r0")
+    ).collect()
+    # 107/40 = 2.675 exactly: half up gives 2.68 (a binary double of 2.675 would round down).
+    assert [r.r2 for r in rows] == [2.68, 0.13, 0.33, 2.5, None]
+    assert [r.pct for r in rows] == [267.5, 12.5, 33.33, 250.0, None]
+    assert [r.r0 for r in rows] == [3.0, 0.0, 0.0, 3.0, None]
+    assert spark.range(1).select(round_half_up(F.lit(-0.0004), 3).alias("x")).first().x == 0.0
