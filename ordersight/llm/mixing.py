@@ -53,16 +53,14 @@ def source_slots(
         weight = F.lit(float(default_weight))
         for name, value in weights.items():
             weight = F.when(F.col("source") == name, F.lit(float(value))).otherwise(weight)
-    rows = rows.withColumn("weight", weight)
-    total = rows.agg(F.sum("weight").alias("total"))
-    share = F.col("weight") / F.nullif(F.col("total"), F.lit(0.0))
-    slots = F.greatest(F.lit(1), F.round(F.coalesce(share, F.lit(0.0)) * resolution)).cast("int")
-    # one total row, by an equality with a constant
-    return (
-        rows.withColumn("one", F.lit(1))
-        .join(F.broadcast(total.withColumn("one", F.lit(1))), "one")
-        .select("source", "n_rows", share.alias("weight"), slots.alias("slots"))
+    # the sources fold into one row with their total and unfold again, so no join brings the total in
+    one = rows.withColumn("weight", weight).agg(
+        F.collect_list(F.struct("source", "n_rows", "weight")).alias("s"), F.sum("weight").alias("total")
     )
+    x = one.select(F.explode("s").alias("x"), "total")
+    share = F.coalesce(F.col("x")["weight"] / F.nullif(F.col("total"), F.lit(0.0)), F.lit(0.0))
+    slots = F.greatest(F.lit(1), F.round(share * resolution)).cast("int")
+    return x.select("x.source", "x.n_rows", share.alias("weight"), slots.alias("slots"))
 
 
 def period_schedule(sources: DataFrame) -> DataFrame:
