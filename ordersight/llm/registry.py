@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ordersight.llm import exact_dedup, mixing, quality_rules, url_filters
+from ordersight.llm import bpe, exact_dedup, html_text, mixing, quality_rules, resampling, secrets, url_filters
 from ordersight.llm.common import table
 from ordersight.llm.oracles import ORACLE  # noqa: F401
 
@@ -30,15 +31,41 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract_text(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summary(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_source_mixing, op6_url_filter, op10_exact_dedup)
+    for f in (
+        op1_quality_rules,
+        op2_source_mixing,
+        op3_html_text,
+        op5_importance_resampling,
+        op6_url_filter,
+        op7_secret_scan,
+        op9_byte_bpe,
+        op10_exact_dedup,
+    )
 }
