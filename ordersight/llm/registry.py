@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordersight.llm import bpe, exact_dedup, html_text, mixing, quality_rules, resampling, secrets, url_filters
+from ordersight.llm import bpe, exact_dedup, html_text, mixing, ngram_join, quality_rules, resampling, secrets, url_filters
 from ordersight.llm.common import table
 from ordersight.llm.oracles import ORACLE  # noqa: F401
 
@@ -36,6 +36,10 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
         op1_quality_rules,
         op2_source_mixing,
         op3_html_text,
+        op4_ngram_join,
         op5_importance_resampling,
         op6_url_filter,
         op7_secret_scan,
