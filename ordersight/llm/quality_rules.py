@@ -189,7 +189,9 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, limits:
         (F.col("n_words") - F.col("removed_words") < limits.min_words)
         | (100 * F.col("removed_words") > limits.max_removed_pct * F.col("n_words"))
     )
-    return d.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    # one expression over both sides of the join: as a filter it stays above the join, where
+    # the metrics are columns; split, its base part would be pushed down and computed again
+    return d.withColumn("kept", F.greatest(F.col("base_failed").cast("int"), depleted.cast("int")) == 0)
 
 
 def quality_rules(
