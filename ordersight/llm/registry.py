@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordersight.llm import bpe, exact_dedup, html_text, mixing, ngram_join, quality_rules, resampling, secrets, url_filters
+from ordersight.llm import bpe, exact_dedup, html_text, mixing, ngram_join, passages, quality_rules, resampling, secrets, url_filters
 from ordersight.llm.common import table
 from ordersight.llm.oracles import ORACLE  # noqa: F401
 
@@ -52,6 +52,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summary(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Query] = {
         op5_importance_resampling,
         op6_url_filter,
         op7_secret_scan,
+        op8_passage_dedup,
         op9_byte_bpe,
         op10_exact_dedup,
     )
