@@ -9,7 +9,6 @@ Layout
                 histogram ranks, contingency statistics, FDR, first/next order)
 - ``plans``     the analyses themselves (quality checks, descriptive tables,
                 hypothesis tests, summary, chart inputs)
-- ``streaming`` intentionally empty: every analysis is a batch job
 """
 
 from ordersight.session import get_spark, ensure_checkpoint_dir

@@ -32,7 +32,7 @@ def cramers_v(counts: DataFrame) -> DataFrame:
 
 
 def cochran_armitage(counts: DataFrame, score: str = "row") -> DataFrame:
-    """One row: two-sided Cochran-Armitage trend z (``o1`` = outcome of interest)."""
+    """One row: two-sided Cochran-Armitage ``trend_z`` and ``p_value`` (``o1`` = outcome of interest)."""
     return _trend(counts, score)
 
 

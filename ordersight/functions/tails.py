@@ -4,12 +4,11 @@ Spark SQL has no incomplete-gamma or error function, so these are vectorised
 (Arrow-batched) pandas UDFs.  They run on the one-row-per-test result frames
 only, never on the data.
 
-For integer degrees of freedom k the chi-square survival function has a closed
-series (regularised upper incomplete gamma at half-integer / integer order):
-    k even: Q = exp(-y) * sum_{j<k/2} y^j / j!
-    k odd : Q = erfc(sqrt(y)) + exp(-y) * sum_{j<(k-1)/2} y^(j+1/2) / Gamma(j+3/2)
-with y = x / 2; the sums are evaluated in log space, so extreme tails
-underflow cleanly to 0.0 instead of overflowing.
+The chi-square survival function is the regularised upper incomplete gamma
+function Q(k/2, x/2): the power series of the lower tail below the mean, the
+continued fraction above it, both run until they converge (a number of steps that
+grows with the square root of the degrees of freedom, in constant memory).  The
+scale is kept in log space, so extreme tails underflow cleanly to 0.0.
 """
 
 from __future__ import annotations
@@ -29,31 +28,42 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _SQRT_HALF = math.sqrt(0.5)
 
 
-def _log_sum_exp(logs: list[float]) -> float:
-    top = max(logs)
-    return top + math.log(math.fsum(math.exp(v - top) for v in logs))
-
-
 def chi2_sf(x: float, k: float) -> float:
     """P(X > x) for X ~ chi-square with integer ``k`` degrees of freedom."""
     if x is None or k is None or (isinstance(x, float) and math.isnan(x)) or (isinstance(k, float) and math.isnan(k)):
         return float("nan")
     k = int(round(k))
-    if k <= 0:
-        return 1.0
-    if x <= 0:
+    if k <= 0 or x <= 0:
         return 1.0
-    y = x / 2.0
-    log_y = math.log(y)
-    if k % 2 == 0:
-        logs = [j * log_y - math.lgamma(j + 1) for j in range(k // 2)]
-        return min(1.0, math.exp(_log_sum_exp(logs) - y))
-    base = math.erfc(math.sqrt(y))
-    m = (k - 1) // 2
-    if m == 0:
-        return min(1.0, base)
-    logs = [(j + 0.5) * log_y - math.lgamma(j + 1.5) for j in range(m)]
-    return min(1.0, base + math.exp(_log_sum_exp(logs) - y))
+    a, y = k / 2.0, x / 2.0
+    scale = a * math.log(y) - y - math.lgamma(a)  # log of y^a e^-y / Gamma(a)
+    if y < a + 1.0:
+        # lower tail: sum of y^j / (a (a+1) ... (a+j))
+        term = total = 1.0 / a
+        j = a
+        while term > total * 1e-17:
+            j += 1.0
+            term *= y / j
+            total += term
+        return min(1.0, max(0.0, 1.0 - total * math.exp(scale)))
+    # upper tail: continued fraction, evaluated forwards until a factor is 1
+    tiny = 1e-300
+    b = y + 1.0 - a
+    c, d = 1.0 / tiny, 1.0 / b
+    h = d
+    i = 0
+    while True:
+        i += 1
+        an = -i * (i - a)
+        b += 2.0
+        d = an * d + b
+        d = 1.0 / (d if abs(d) > tiny else tiny)
+        c = b + an / c
+        c = c if abs(c) > tiny else tiny
+        h *= c * d
+        if abs(c * d - 1.0) < 1e-15:
+            break
+    return min(1.0, math.exp(scale + math.log(h)))
 
 
 def normal_cdf(z: float) -> float:
@@ -79,43 +89,40 @@ def two_sided_sf(z: float) -> float:
     return min(1.0, math.erfc(abs(z) * _SQRT_HALF))
 
 
-def _u_counts(n1: int, n2: int) -> list[int]:
-    """Number of arrangements giving each U = 0..n1*n2 (no ties)."""
-    # f[i][j] = counts for samples of sizes i and j; f(i, j, u) = f(i-1, j, u-j) + f(i, j-1, u).
-    f = [[None] * (n2 + 1) for _ in range(n1 + 1)]
-    for i in range(n1 + 1):
-        for j in range(n2 + 1):
-            if i == 0 or j == 0:
-                f[i][j] = [1]
-                continue
-            a, b = f[i - 1][j], f[i][j - 1]
-            out = [0] * (i * j + 1)
-            for u, c in enumerate(a):
-                out[u + j] += c
-            for u, c in enumerate(b):
-                out[u] += c
-            f[i][j] = out
-    return f[n1][n2]
-
-
 def mann_whitney_exact_p(u1: float, n1: int, n2: int) -> float:
-    """Exact two-sided p for small samples without ties: 2 * P(U >= max(U1, U2))."""
-    counts = _u_counts(n1, n2)
+    """Exact two-sided p without ties: 2 * P(U >= max(U1, U2)).
+
+    The counts of U are the coefficients of the Gaussian binomial
+    prod_i (1 - q^(n2+i)) / (1 - q^i): one list of n1 * n2 + 1 integers.
+    """
+    small, large = sorted((int(n1), int(n2)))
+    counts = [1] + [0] * (small * large)
+    for i in range(1, small + 1):
+        up = large + i
+        for u in range(len(counts) - 1, up - 1, -1):
+            counts[u] -= counts[u - up]
+        for u in range(i, len(counts)):
+            counts[u] += counts[u - i]
     u = int(round(max(u1, n1 * n2 - u1)))
-    total = sum(counts)
-    return min(1.0, 2.0 * sum(counts[u:]) / total)
+    return min(1.0, 2.0 * sum(counts[u:]) / sum(counts))
 
 
-def mann_whitney_p(u1: float, n1: float, n2: float, tie_sum: float) -> float:
-    """Two-sided Mann-Whitney p: exact when both samples have at most 8 values and
-    there are no ties, otherwise asymptotic with tie and continuity corrections."""
-    if any(v is None or math.isnan(v) for v in (u1, n1, n2, tie_sum)):
+def mann_whitney_p(u1: float, n1: float, n2: float, tie_sum: float, method: str = "asymptotic") -> float:
+    """Two-sided Mann-Whitney p.
+
+    ``asymptotic`` (default, at every sample size): normal with tie and continuity
+    corrections.  ``exact``: the distribution of U without ties, on request only;
+    with ties it does not hold and gives NaN.
+    """
+    if method not in ("asymptotic", "exact"):
+        raise ValueError(f"unknown method {method!r}")
+    if any(v is None or math.isnan(v) for v in (u1, n1, n2, tie_sum)) or n1 < 1 or n2 < 1:
         return float("nan")
-    if n1 <= 8 and n2 <= 8 and tie_sum == 0:
-        return mann_whitney_exact_p(u1, int(n1), int(n2))
+    if method == "exact":
+        return mann_whitney_exact_p(u1, int(n1), int(n2)) if tie_sum == 0 else float("nan")
     n = n1 + n2
     u = max(u1, n1 * n2 - u1)
-    s = math.sqrt(n1 * n2 / 12.0 * ((n + 1) - tie_sum / (n * (n - 1))))
+    s = math.sqrt(max(0.0, n1 * n2 / 12.0 * ((n + 1) - tie_sum / (n * (n - 1)))))
     if s == 0:
         return float("nan")
     z = (u - n1 * n2 / 2.0 - 0.5) / s
@@ -126,6 +133,11 @@ def _nan(v) -> float:
     return float("nan") if v is None or pd.isna(v) else float(v)
 
 
+@F.pandas_udf(DoubleType())
+def two_sided_udf(z: pd.Series) -> pd.Series:
+    return pd.Series([two_sided_from_cdf(_nan(v)) for v in z], dtype="float64")
+
+
 @F.pandas_udf(DoubleType())
 def chi2_sf_udf(x: pd.Series, k: pd.Series) -> pd.Series:
     return pd.Series([chi2_sf(_nan(a), _nan(b)) for a, b in zip(x, k)], dtype="float64")

@@ -4,13 +4,13 @@ Counting runs distributed over the data; each statistic is then one global
 aggregate over the small long table of counts, so no contingency table is ever
 collected to the driver and no table of totals has to be joined back.
 
-Pearson chi-square of an r x 2 table (rows i, outcome columns 0/1) is computed
-in the algebraically equivalent form
+Pearson chi-square of an r x 2 table (rows i, outcome columns 0/1) is the sum of
+centred terms
 
-    chi2 = N * (sum_i o0_i^2 / R_i / C0 + sum_i o1_i^2 / R_i / C1) - N
+    chi2 = sum_i (o1_i - R_i p)^2 / (R_i p (1 - p)),   p = C1 / N
 
-which needs only per-row terms and column totals, both produced by a single
-partial/final aggregate.  For a 2 x 2 table the Yates continuity correction is
+with p from a scalar subquery over the same counts, so that large counts do not
+cancel.  For a 2 x 2 table the Yates continuity correction is
 applied as the library default does when dof = 1 (each |O - E| is reduced by
 min(0.5, |O - E|)); Cramér's V always uses the uncorrected statistic.
 """
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ordersight.functions.tails import two_sided_udf
+
 
 def two_column_counts(df: DataFrame, row: str | Column, flag: str | Column, row_name: str = "row") -> DataFrame:
     """Long counts: one row per level of ``row`` with outcome counts ``o0`` and ``o1``."""
@@ -48,12 +50,14 @@ def chi2_two_column(
     the same single aggregation.
     """
     t = counts.withColumn("_R", F.col("o0") + F.col("o1")).where(F.col("_R") > 0)
+    # share of outcome 1 over all levels, taken first: deviations from it are summed below
+    share = t.agg(F.try_divide(F.sum("o1").cast("double"), F.sum("_R").cast("double"))).scalar()
+    off = F.col("o1") - F.col("_R") * share
     aggs = [
         F.sum("_R").cast("double").alias("n"),
         F.sum("o0").cast("double").alias("c0"),
         F.sum("o1").cast("double").alias("c1"),
-        F.sum(F.col("o0").cast("double") * F.col("o0") / F.col("_R")).alias("a0"),
-        F.sum(F.col("o1").cast("double") * F.col("o1") / F.col("_R")).alias("a1"),
+        F.sum(off * off / F.col("_R")).alias("dev"),
         F.count(F.lit(1)).alias("rows"),
         F.min_by(F.struct("o0", "o1"), row_name).alias("_x"),
         F.max_by(F.struct("o0", "o1"), row_name).alias("_y"),
@@ -68,16 +72,14 @@ def chi2_two_column(
     agg = t.agg(*aggs, *extra)
     n, c0, c1 = F.col("n"), F.col("c0"), F.col("c1")
     cols = (c0 > 0).cast("int") + (c1 > 0).cast("int")
-    term0 = F.when(c0 > 0, F.col("a0") / c0).otherwise(F.lit(0.0))
-    term1 = F.when(c1 > 0, F.col("a1") / c1).otherwise(F.lit(0.0))
-    raw_chi2 = n * (term0 + term1) - n
+    raw_chi2 = F.when((c0 > 0) & (c1 > 0), F.col("dev") * (n / c0) * (n / c1)).otherwise(F.lit(0.0))
     dof = (F.col("rows") - 1) * (cols - 1)
     # 2 x 2: |ad - bc| / n is the common |O - E| of all four cells.
     x0, x1 = F.col("_x.o0").cast("double"), F.col("_x.o1").cast("double")
     y0, y1 = F.col("_y.o0").cast("double"), F.col("_y.o1").cast("double")
-    delta = F.abs(x0 * y1 - x1 * y0) / n
+    delta = F.try_divide(F.abs(x0 * y1 - x1 * y0), n)
     shrink = F.least(F.lit(0.5), delta)
-    inv_e_sum = n * n * n / ((x0 + x1) * (y0 + y1) * c0 * c1)
+    inv_e_sum = F.try_divide(n * n * n, (x0 + x1) * (y0 + y1) * c0 * c1)
     yates_chi2 = (delta - shrink) * (delta - shrink) * inv_e_sum
     use_yates = F.lit(bool(yates)) & (dof == 1)
     chi2 = F.when(dof <= 0, F.lit(0.0)).when(use_yates, yates_chi2).otherwise(raw_chi2)
@@ -92,17 +94,17 @@ def chi2_two_column(
         v.alias("cramers_v"),
     ]
     if score is not None:
-        p = c1 / n
+        p = F.try_divide(c1, n)
         numer = F.col("_sxt") - p * F.col("_snt")
-        denom = F.sqrt(p * (F.lit(1.0) - p) * (F.col("_sntt") - F.col("_snt") * F.col("_snt") / n))
+        denom = F.sqrt(p * (F.lit(1.0) - p) * (F.col("_sntt") - F.try_divide(F.col("_snt") * F.col("_snt"), n)))
         out.append(F.when(denom > 0, numer / denom).alias("trend_z"))
-    names = [c for c in agg.columns if c not in {"n", "c0", "c1", "a0", "a1", "rows", "_x", "_y", "_sxt", "_snt", "_sntt"}]
+    names = [c for c in agg.columns if c not in {"n", "c0", "c1", "dev", "rows", "_x", "_y", "_sxt", "_snt", "_sntt"}]
     return agg.select(*out, *names)
 
 
 def cochran_armitage(counts: DataFrame, score: str | Column) -> DataFrame:
-    """Two-sided Cochran-Armitage trend z over per-level counts (``o0``, ``o1``) and scores."""
-    return chi2_two_column(counts, score=score).select("trend_z")
+    """Two-sided Cochran-Armitage trend z and its p-value over per-level counts (``o0``, ``o1``) and scores."""
+    return chi2_two_column(counts, score=score).select("trend_z", two_sided_udf("trend_z").alias("p_value"))
 
 
 def odds_ratio_expr(a="a", b="b", c="c", d="d") -> Column:

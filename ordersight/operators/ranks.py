@@ -55,9 +55,9 @@ def rank_tests(df: DataFrame, value: str, group: str, first: str, second: str) -
         )
     )
     g = per_group.agg(
-        F.sum(F.col("rs") * F.col("rs") / F.col("n_g")).alias("s"),
+        F.collect_list(F.struct("n_g", "rs")).alias("by_group"),  # one entry per group label
         F.count(F.lit(1)).alias("k"),
-        F.sum("n_g").cast("double").alias("N"),
+        F.coalesce(F.sum("n_g"), F.lit(0)).cast("double").alias("N"),
         F.sum("tie").alias("tie_sum"),
         F.max(F.when(F.col(group) == first, F.col("rs2"))).alias("r1"),
         F.max(F.when(F.col(group) == first, F.col("n_g"))).cast("double").alias("n1"),
@@ -65,9 +65,15 @@ def rank_tests(df: DataFrame, value: str, group: str, first: str, second: str) -
         F.sum("tie2").alias("mw_tie_sum"),
     )
     n, n1, n2 = F.col("N"), F.col("n1"), F.col("n2")
-    h = (F.lit(12.0) / (n * (n + 1)) * F.col("s") - F.lit(3.0) * (n + 1)) / (
-        F.lit(1.0) - F.col("tie_sum") / (n * n * n - n)
+    # spread of the groups' mean ranks around the overall mean rank: no difference of large sums
+    between = F.aggregate(
+        "by_group",
+        F.lit(0.0),
+        lambda acc, x: acc + x["n_g"] * F.pow(F.try_divide(x["rs"], x["n_g"]) - (n + 1) / F.lit(2.0), F.lit(2.0)),
     )
+    untied = F.lit(1.0) - F.try_divide(F.col("tie_sum"), n * n * n - n)
+    # NULL where the statistic is undefined: no rows, a single row, all values tied
+    h = F.try_divide(F.try_divide(F.lit(12.0) * between, n * (n + 1)), F.when(untied > 0, untied))
     u1 = F.col("r1") - n1 * (n1 + 1) / F.lit(2.0)
     return g.select(
         n.cast("long").alias("n"),
@@ -77,5 +83,5 @@ def rank_tests(df: DataFrame, value: str, group: str, first: str, second: str) -
         n1.cast("long").alias("n1"),
         n2.cast("long").alias("n2"),
         F.col("mw_tie_sum"),
-        (F.lit(2.0) * u1 / (n1 * n2) - F.lit(1.0)).alias("cliffs_delta"),
+        (F.try_divide(F.lit(2.0) * u1, n1 * n2) - F.lit(1.0)).alias("cliffs_delta"),
     )

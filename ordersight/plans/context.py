@@ -12,6 +12,7 @@ location, in one of two ways:
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -19,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ordersight.operators.mart import build_mart
 from ordersight.operators.shared import register_anchor, release_anchor
-from ordersight.operators.sizing import broadcast_if_small
 from ordersight.session import ensure_checkpoint_dir
 from ordersight.sources.readers import load_raw_tables
 
@@ -28,7 +28,6 @@ _CACHE: dict[tuple, "Workspace"] = {}
 # Raw tables worth keeping: they are derived by aggregation/joins in the adapter
 # and read by many analyses.  Items are a plain projection of a Parquet scan.
 _PERSISTED_RAW = ("orders", "order_reviews", "customers", "category_translation")
-TRANSLATION_MAX_ROWS = 100_000
 
 
 @dataclass
@@ -49,8 +48,6 @@ class Workspace:
             if self.persist:
                 for name in _PERSISTED_RAW:
                     raw[name] = raw[name].persist(StorageLevel.MEMORY_AND_DISK)
-                # The category dictionary is checked once; broadcast only under the bound.
-                raw["category_translation"] = broadcast_if_small(raw["category_translation"], TRANSLATION_MAX_ROWS)
                 register_anchor(raw)
             self._raw = raw
         return self._raw
@@ -65,7 +62,6 @@ class Workspace:
             self._mart = mart
         return self._mart
 
-
     def release(self) -> None:
         """Unpersist the mart, the persisted raw tables and every shared grain."""
         if self._mart is not None:
@@ -82,7 +78,9 @@ class Workspace:
         if self.materialize == "table":
             base = ensure_checkpoint_dir(self.spark).rstrip("/")
             app = self.spark.sparkContext.applicationId
-            path = f"{base}/ordersight-tables/{app}/{abs(hash(self.location))}/{name}"
+            key = "|".join(str(x) for x in (self.location, self.source, self.collation))
+            digest = hashlib.sha256(key.encode()).hexdigest()[:16]
+            path = f"{base}/ordersight-tables/{app}/{digest}/{name}"
             df.write.mode("overwrite").parquet(path)
             return self.spark.read.parquet(path)
         return df.persist(StorageLevel.MEMORY_AND_DISK)

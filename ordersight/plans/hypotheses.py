@@ -8,7 +8,7 @@ does.  The summary with p-values lives in ``plans.summary``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordersight.functions.columns import (
@@ -47,11 +47,14 @@ def _r(c: str | Column, d: int) -> Column:
 # ---------------------------------------------------------------------------
 # Populations
 # ---------------------------------------------------------------------------
-def state_population(mart: DataFrame, min_orders: int) -> DataFrame:
-    """Delay population restricted to states with at least ``min_orders`` orders in it."""
-    pop = delay_population(mart)
-    states = pop.groupBy("customer_state").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_orders)
-    return pop.join(states.select("customer_state"), "customer_state", "left_semi")
+def h5_counts(mart: DataFrame, min_orders: int) -> DataFrame:
+    """State x low-review counts of the states with at least ``min_orders`` orders."""
+    counts = delay_population(mart).where(F.col("customer_state").isNotNull()).groupBy(F.col("customer_state").alias("row"))
+    low = F.col("is_low_review")
+    counts = counts.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(low == 0).alias("o0"), F.count_if(low == 1).alias("o1")
+    )
+    return counts.where(F.col("n") >= min_orders).drop("n")
 
 
 def h9_counts(raw: dict[str, DataFrame], min_items: int) -> DataFrame:
@@ -111,7 +114,7 @@ def h1_stats(mart: DataFrame) -> DataFrame:
 def h5_stats(mart: DataFrame, min_orders: int) -> DataFrame:
 
     def build() -> DataFrame:
-        return chi2_two_column(two_column_counts(state_population(mart, min_orders), "customer_state", "is_low_review"))
+        return chi2_two_column(h5_counts(mart, min_orders))
 
     return shared(mart, f"h5_stats_{min_orders}", build)
 
@@ -120,14 +123,17 @@ def h5b_strata(mart: DataFrame, min_orders: int) -> DataFrame:
     """Per state 2 x 2: rows late 0/1, columns low 0/1 -> a=(0,0) b=(0,1) c=(1,0) d=(1,1)."""
     late, low = F.col("is_late_delivery"), F.col("is_low_review")
     return (
-        state_population(mart, min_orders)
+        delay_population(mart)
+        .where(F.col("customer_state").isNotNull())
         .groupBy("customer_state")
         .agg(
+            F.count(F.lit(1)).alias("n"),
             F.count_if((late == 0) & (low == 0)).alias("a"),
             F.count_if((late == 0) & (low == 1)).alias("b"),
             F.count_if((late == 1) & (low == 0)).alias("c"),
             F.count_if((late == 1) & (low == 1)).alias("d"),
         )
+        .where(F.col("n") >= min_orders)
     )
 
 
@@ -280,17 +286,16 @@ def test_h9_category(raw: dict[str, DataFrame], min_items: int = 100) -> DataFra
 def category_vs_rest(raw: dict[str, DataFrame], min_items: int = 100) -> DataFrame:
     """Q29: per category 2 x 2 (category vs all other tested categories), Yates chi-square.
 
-    The totals come from a window over the category table (one row per
-    category passing the volume threshold, bounded by the category dimension).
+    The totals are scalar subqueries over the category table.
     """
     counts = h9_counts(raw, min_items)
-    whole = Window.orderBy("row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    all_low, all_not_low = counts.agg(F.sum("o1")).scalar(), counts.agg(F.sum("o0")).scalar()
     t = counts.select(
         F.col("row").alias("category"),
         F.col("o1").alias("a"),
         F.col("o0").alias("b"),
-        (F.sum("o1").over(whole) - F.col("o1")).alias("c"),
-        (F.sum("o0").over(whole) - F.col("o0")).alias("d"),
+        (all_low - F.col("o1")).alias("c"),
+        (all_not_low - F.col("o0")).alias("d"),
     )
     return t.withColumn("_chi2", chi2_2x2_expr(yates=True))
 

@@ -31,7 +31,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordersight.operators.sizing import broadcast_if_small
 from ordersight.sources.readers import normalize_empty_strings
 
 DRIVER_TABLES = [
@@ -123,9 +122,7 @@ def adapt_items(lineitem: DataFrame) -> DataFrame:
 
 
 def adapt_customers(customer: DataFrame, nation: DataFrame) -> DataFrame:
-    nations = broadcast_if_small(
-        nation.select(F.col("n_nationkey"), F.col("n_name").alias("customer_state")), max_rows=10_000
-    )
+    nations = nation.select(F.col("n_nationkey"), F.col("n_name").alias("customer_state"))
     c = customer.select("c_custkey", "c_nationkey").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(19))))
     c = c.join(nations, c.c_nationkey == nations.n_nationkey, "inner")
     cid = F.col("c_custkey") * 20 + F.col("_k")

@@ -44,6 +44,9 @@ _REVIEWS_FILE = StructType(
     ]
 )
 
+# Tables whose fields may hold line breaks.
+_FREE_TEXT = frozenset({"order_reviews"})
+
 _FILE_SCHEMAS = {"orders": _ORDERS_FILE, "order_reviews": _REVIEWS_FILE}
 
 
@@ -89,16 +92,21 @@ def apply_collation(df: DataFrame, collation: str | None, columns: tuple[str, ..
     return df.select(*cols)
 
 
-def read_raw_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Read one raw table from CSV with an explicit schema (no inference)."""
+def read_raw_csv(spark: SparkSession, path: str, table: str, mode: str = "FAILFAST") -> DataFrame:
+    """Read one raw table from CSV with an explicit schema (no inference).
+
+    A malformed row fails the read; ``mode`` "PERMISSIVE" turns its fields into
+    NULL, "DROPMALFORMED" leaves it out.  Only reviews hold line breaks inside
+    fields; the other files are split over tasks.
+    """
     file_schema = _FILE_SCHEMAS.get(table, RAW_SCHEMAS[table])
     df = (
         spark.read.schema(file_schema)
         .option("header", "true")
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", "true")
-        .option("mode", "PERMISSIVE")
+        .option("multiLine", str(table in _FREE_TEXT).lower())
+        .option("mode", mode)
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
         .csv(path)
     )
@@ -108,7 +116,7 @@ def read_raw_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 def read_result_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Re-read an exported result table (S13) with its declared schema."""
-    return spark.read.schema(schema).option("header", "true").option("escape", '"').csv(path)
+    return spark.read.schema(schema).option("header", "true").option("escape", '"').option("multiLine", "true").csv(path)
 
 
 def read_raw_csv_dir(

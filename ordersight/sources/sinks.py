@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 def write_result_csv(df: DataFrame, path: str) -> None:
     """Small result table -> one CSV file with a header, replacing what was there."""
-    df.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    df.coalesce(1).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
 def write_table_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+import itertools
 import math
 import random
 
@@ -190,9 +192,43 @@ def test_mart_grain_and_bucket_population(spark):
 
 def test_mann_whitney_exact_small_samples():
     # Completely separated samples of three: exact two-sided p = 2 / C(6, 3).
-    assert abs(mann_whitney_p(0.0, 3.0, 3.0, 0.0) - 0.1) < 1e-12
-    # With ties the asymptotic form is used.
+    assert abs(mann_whitney_p(0.0, 3.0, 3.0, 0.0, "exact") - 0.1) < 1e-12
+    # Unequal samples: enumerate all arrangements.
+    ranks = range(17)
+    n = hits = 0
+    for chosen in itertools.combinations(ranks, 5):
+        u = sum(chosen) - 10
+        n += 1
+        hits += max(u, 60 - u) >= 50
+    assert abs(mann_whitney_p(10.0, 5.0, 12.0, 0.0, "exact") - hits / n) < 1e-12
+    # The method does not depend on the sample size; ties rule the exact form out.
+    assert abs(mann_whitney_p(10.0, 5.0, 12.0, 0.0) - 0.0398) < 5e-4
     assert 0.0 < mann_whitney_p(1.0, 3.0, 2.0, 6.0) < 1.0
+    assert math.isnan(mann_whitney_p(1.0, 3.0, 2.0, 6.0, "exact"))
+
+
+def test_rank_tests_degenerate_input(spark):
+    schema = "v double, g string"
+    for rows in ([], [(1.0, "Low")], [(2.0, "Low"), (2.0, "High"), (2.0, "High")]):
+        r = rank_tests(spark.createDataFrame(rows, schema), "v", "g", "Low", "High").collect()[0]
+        assert r.kw_h is None and r.n == len(rows)
+
+
+def test_chi_square_large_counts(spark):
+    cells = [("a", 10**11 + 100_000, 10**11), ("b", 10**11, 10**11 + 100_000)]
+    r = chi2_two_column(spark.createDataFrame(cells, "row string, o0 long, o1 long"), yates=False).collect()[0]
+    n, total = sum(a + b for _, a, b in cells), 0
+    for _, a, b in cells:
+        for o, c in ((a, sum(x for _, x, _ in cells)), (b, sum(x for _, _, x in cells))):
+            e = Fraction((a + b) * c, n)
+            total += (o - e) ** 2 / e
+    assert abs(r.chi2_uncorrected - float(total)) < 1e-6
+
+
+def test_chi_square_tail_large_dof():
+    assert abs(chi2_sf(100_000.0, 100_000) - 0.4994) < 1e-3
+    assert chi2_sf(1e6, 3) == 0.0
+    assert abs(chi2_sf(5.281, 2) - math.exp(-5.281 / 2)) < 1e-15
 
 
 # Published state x lateness table (state, late orders, late low-review %,
