@@ -433,8 +433,8 @@ def representatives(
     stay = classes.select(F.col("keeper.id").alias("k_id"), F.col("keeper.sig").alias("k_sig")).distinct()
     alone = base.where("n = 0").select(F.col("id").alias("k_id"), F.col("sig").alias("k_sig"))
     stay = stay.unionByName(alone)
-    rows = _rows(docs, id_col, text_col, packed(docs).alias("row"))
+    empty = F.length(F.btrim("text", F.lit(SPACE_CHARS))) == 0
+    rows = _rows(docs, id_col, text_col, packed(docs).alias("row")).select("row", "id", "sig", empty.alias("empty"))
     rows = rows.join(stay, rows["id"].eqNullSafe(stay["k_id"]) & (rows["sig"] == stay["k_sig"]), "left_semi")
     first = F.row_number().over(Window.partitionBy("id", "sig").orderBy(F.lit(0)))
-    rows = rows.select("row", "id", "sig", (F.length(F.btrim("text", F.lit(SPACE_CHARS))) == 0).alias("empty"), first.alias("copy"))
-    return rows.where("copy = 1 or empty").select("row.*")
+    return rows.withColumn("copy", first).where("copy = 1 or empty").select("row.*")
