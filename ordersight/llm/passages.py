@@ -59,6 +59,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _anchors(s: np.ndarray, span: int) -> np.ndarray:
+    """Positions of the smallest value in any ``span`` consecutive ones (by its upper bits, then the first)."""
+    bits = np.uint64(max(1, int(len(s) - 1).bit_length()))
+    keys = ((s >> bits) << bits) | np.arange(len(s), dtype=np.uint64)  # distinct, ordered by value and place
+    if len(s) <= span:
+        return np.array([int(keys.min() & ((np.uint64(1) << bits) - np.uint64(1)))])
+    # minimum of every window from running minima of blocks of ``span``, forwards and backwards
+    blocks = -(-len(s) // span)
+    padded = np.full(blocks * span, np.iinfo(np.uint64).max, np.uint64)
+    padded[: len(s)] = keys
+    grid = padded.reshape(blocks, span)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(back[: len(s) - span + 1], ahead[span - 1 : len(s)])
+    least = least[np.concatenate([[True], least[1:] != least[:-1]])]
+    return (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
 def paragraphs(text: str, words: int, span: int) -> tuple[np.ndarray, np.ndarray]:
     """Word positions of the paragraphs of a text, and their shingle hashes, one row each."""
     import xxhash
@@ -73,11 +91,7 @@ def paragraphs(text: str, words: int, span: int) -> tuple[np.ndarray, np.ndarray
     s = h[:size]
     for k in range(1, SHINGLE):
         s = _mix(s * np.uint64(0x9E3779B97F4A7C15) + h[k : k + size])
-    if size <= span:
-        anchors = np.array([int(np.argmin(s))])
-    else:
-        windows = np.lib.stride_tricks.sliding_window_view(s, span)
-        anchors = np.unique(np.argmin(windows, axis=1) + np.arange(len(windows)))
+    anchors = _anchors(s, span)
     anchors = anchors[anchors + width <= size]
     return anchors, s[anchors[:, None] + np.arange(width)]
 
