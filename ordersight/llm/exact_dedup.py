@@ -62,12 +62,15 @@ def kept_rows(
     """The input rows that stay, with all their columns.
 
     The whole rows meet the keepers on (id, hashes), a key without hot values;
-    the texts of copies that go are never brought together.
+    the texts of copies that go are never brought together.  The key is one
+    struct, in which null ids are equal, so that numbering repeated rows keeps the
+    join's partitioning and the rows are shuffled once.
     """
     text = F.coalesce(col(text_col), F.lit(""))
-    keepers = _groups(docs, id_col, text_col, keep, content_hash).select(F.col("keep_id").alias("id"), "h", "sha")
-    rows = docs.select(packed(docs).alias("row"), col(id_col).alias("id"), content_hash(text).alias("h"), F.sha2(text, 256).alias("sha"))
-    same = [rows[c].eqNullSafe(keepers[c]) for c in ("id", "h", "sha")]
-    stay = rows.join(keepers, same, "left_semi")
-    first = F.row_number().over(Window.partitionBy("id", "h", "sha").orderBy(F.lit(0)))
+    keepers = _groups(docs, id_col, text_col, keep, content_hash)
+    key_type = f"struct<id:{docs.schema[id_col].dataType.simpleString()},h:binary,sha:string>"
+    keepers = keepers.select(F.struct("keep_id", "h", "sha").cast(key_type).alias("key"))
+    key = F.struct(col(id_col), content_hash(text), F.sha2(text, 256)).cast(key_type)
+    stay = docs.select(packed(docs).alias("row"), key.alias("key")).join(keepers, "key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
     return stay.withColumn("copy", first).where("copy = 1").select("row.*")
