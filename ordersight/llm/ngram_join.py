@@ -430,11 +430,12 @@ def representatives(
 ) -> DataFrame:
     """The input rows that stay, one per component (the smallest id), with all their columns."""
     base, classes = _linked(docs, id_col, text_col, n, percent, block_grams)
-    stay = classes.select(F.col("keeper.id").alias("k_id"), F.col("keeper.sig").alias("k_sig")).distinct()
-    alone = base.where("n = 0").select(F.col("id").alias("k_id"), F.col("sig").alias("k_sig"))
-    stay = stay.unionByName(alone)
+    # one struct as key: null ids are equal in it, and the numbering below keeps the join's partitioning
+    key_type = f"struct<id:{base.schema['id'].dataType.simpleString()},sig:bigint>"
+    stay = classes.select(F.struct("keeper.id", "keeper.sig").cast(key_type).alias("key")).distinct()
+    stay = stay.unionByName(base.where("n = 0").select(F.struct("id", "sig").cast(key_type).alias("key")))
     empty = F.length(F.btrim("text", F.lit(SPACE_CHARS))) == 0
-    rows = _rows(docs, id_col, text_col, packed(docs).alias("row")).select("row", "id", "sig", empty.alias("empty"))
-    rows = rows.join(stay, rows["id"].eqNullSafe(stay["k_id"]) & (rows["sig"] == stay["k_sig"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy("id", "sig").orderBy(F.lit(0)))
+    rows = _rows(docs, id_col, text_col, packed(docs).alias("row")).select("row", F.struct("id", "sig").cast(key_type).alias("key"), empty.alias("empty"))
+    rows = rows.join(stay, "key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
     return rows.withColumn("copy", first).where("copy = 1 or empty").select("row.*")
