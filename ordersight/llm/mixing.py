@@ -109,6 +109,8 @@ def _numbered(rows: DataFrame, sources: DataFrame, buckets: int) -> DataFrame:
 
     ``sources`` may be as large as the table's number of sources; it meets the
     rows only through the (source, bucket) counts they are joined with anyway.
+    The key is one struct, in which null sources are equal, so the join keeps the
+    window's partitioning and the rows are shuffled once.
     """
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     counts = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
@@ -116,15 +118,15 @@ def _numbered(rows: DataFrame, sources: DataFrame, buckets: int) -> DataFrame:
     counts = counts.withColumn("before", F.coalesce(before, F.lit(0)))
     sources = sources.select(F.col("source").alias("m_source"), "slots")
     counts = counts.join(sources, F.col("source").eqNullSafe(F.col("m_source"))).select(
-        F.col("source").alias("c_source"), F.col("bucket").alias("c_bucket"), "before", "slots"
+        F.struct("source", "bucket").alias("key"), "before", "slots"
     )
-    inside = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h", "id")) - 1
-    same = F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bucket") == F.col("c_bucket"))
+    inside = F.row_number().over(Window.partitionBy("key").orderBy("h", "id")) - 1
     return (
-        rows.withColumn("inside", inside)
-        .join(counts, same)
+        rows.withColumn("key", F.struct("source", "bucket"))
+        .withColumn("inside", inside)
+        .join(counts, "key")
         .withColumn("rank", F.col("inside") + F.col("before"))
-        .drop("h", "bucket", "inside", "before", "c_source", "c_bucket")
+        .drop("h", "bucket", "inside", "before", "key")
     )
 
 
