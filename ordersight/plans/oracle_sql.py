@@ -193,6 +193,25 @@ def chi2_ctes(cells: str) -> str:
 )"""
 
 
+def tail_ctes(tests: str, key: str) -> str:
+    """CTE ``{tests}_p(key, p)``: P(X > x) for chi-square from ``tests(key, x, dof)``.
+
+    With a = dof / 2 and y = x / 2 the lower tail is the sum over j of
+    exp((a + j) ln y - y - lgamma(a + j + 1)).  All terms are positive and their mass lies
+    around j = y - a, so 4,000 terms do for y <= 3,000; beyond, the upper tail of a
+    test with few degrees of freedom is 0 to far more digits than are compared.
+    """
+    return f"""
+{tests}_low AS (
+    SELECT {key}, x, sum(exp((dof / 2.0 + j) * ln(greatest(x, 1e-300) / 2) - x / 2 - lgamma(dof / 2.0 + j + 1))) AS low
+    FROM {tests}, range(0, 4000) terms(j) GROUP BY {key}, x, dof
+),
+{tests}_p AS (
+    SELECT {key}, CASE WHEN x <= 0 THEN 1.0 WHEN x > 6000 THEN 0.0 ELSE greatest(0.0, 1.0 - low) END AS p
+    FROM {tests}_low
+)"""
+
+
 def trend_ctes(levels: str) -> str:
     """Cochran-Armitage z from ``levels(t, x, m)`` (score, events, total)."""
     return f"""
