@@ -72,7 +72,8 @@ def chi2_two_column(
     agg = t.agg(*aggs, *extra)
     n, c0, c1 = F.col("n"), F.col("c0"), F.col("c1")
     cols = (c0 > 0).cast("int") + (c1 > 0).cast("int")
-    raw_chi2 = F.when((c0 > 0) & (c1 > 0), F.col("dev") * (n / c0) * (n / c1)).otherwise(F.lit(0.0))
+    # one empty column says nothing (0); without rows there is no statistic (NULL)
+    raw_chi2 = F.when((c0 > 0) & (c1 > 0), F.col("dev") * (n / c0) * (n / c1)).when(n.isNotNull(), F.lit(0.0))
     dof = (F.col("rows") - 1) * (cols - 1)
     # 2 x 2: |ad - bc| / n is the common |O - E| of all four cells.
     x0, x1 = F.col("_x.o0").cast("double"), F.col("_x.o1").cast("double")
