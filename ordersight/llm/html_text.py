@@ -1,18 +1,21 @@
 """HTML extraction by two-pass block rules.
 
-A page is cut into blocks at block-level tags.  Pass one labels each block:
+A page is cut into blocks at block-level tags.  Pass one labels every block of every
+page by length, stop-word density and link density: long blocks rich in stop words
+are good, linked or stop-word-poor ones bad, the rest ``near`` or ``short``.  Two
+priors shift that label by a step:
 
-- ``bad`` inside boilerplate containers (menus, headers, footers, sidebars,
-  notices, adverts, forms, reader comments; by tag, role, class or id) and where
-  links hold most of the text;
-- ``good`` inside an article or main element;
-- on pages without such an element by length, stop-word density and link
-  density: long blocks rich in stop words are good, linked or stop-word-poor ones
-  bad, the rest ``near`` or ``short``.
+- boilerplate containers (menus, headers, footers, sidebars, notices, adverts,
+  forms, reader comments; by tag, role, class or id): a good block becomes
+  ``marked``, any other bad; hidden ones are bad;
+- article or main elements, if they hold at least as much text as the good blocks
+  outside them: ``near`` inside becomes good, ``short`` and stop-word-poor blocks
+  become ``near``; outside ``near`` becomes ``short`` and ``short`` bad.  If they hold
+  less (teasers, cards, reader comments) they say nothing.
 
 Pass two gives the ambiguous blocks the label of their nearest decided neighbours:
 good if both sides agree on good (or the only decided side is good); a ``near``
-block needs one good side.
+block needs one good side, a ``marked`` one two.
 
 The text of the good blocks is joined by one newline each; character references
 are decoded and white space inside a block becomes one space.  Pages are
@@ -57,6 +60,10 @@ MARKS = frozenset(
     "search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget".split()
 )
 CONTENT_TAGS = frozenset(("article", "main"))
+#: Whole class names that mark an article element as a reader's comment.
+COMMENT_MARKS = frozenset("comment comments reply replies respond disqus".split())
+#: Weight of a hidden container among the open boilerplate ones.
+HIDDEN = 1 << 20
 #: Stop words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     "a an and are as at be but by for from had has have he her his in is it its not of on or she that the their they this "
@@ -77,25 +84,28 @@ TAG = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<skip>%s)\b[^>]*>.*?(?:</(?P=s
 ATTRIBUTE = r"""\b(class|id|role|hidden|style)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
 
 
-def _marked(attrs: str, attribute) -> bool:
-    """Whether class, id, role or style make an element boilerplate or hidden."""
+def _marked(attrs: str, attribute, content_tag: bool) -> int:
+    """1 if class, id or role make an element boilerplate, ``HIDDEN`` if its style hides it, else 0."""
+    mark = 0
     for m in attribute.finditer(attrs):
         name, value = m.group(1).lower(), m.group(2).strip("\"'").lower()
         if name == "role":
-            if value in ROLES:
-                return True
+            mark |= not content_tag and value in ROLES
         elif name == "style":
             if "display:none" in value.replace(" ", ""):
-                return True
-        elif name in ("class", "id") and not MARKS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+                return HIDDEN
+        elif name in ("class", "id"):
+            if content_tag:
+                mark |= not COMMENT_MARKS.isdisjoint(value.split())
+            else:
+                mark |= not MARKS.isdisjoint(re.split(r"[^a-z]+", value))
+    return int(mark)
 
 
-def blocks(page: str, tag, attribute) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters inside links, in boilerplate, in an article) per block, in page order."""
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool]] = []  # open containers and whether each is boilerplate
+def blocks(page: str, tag, attribute) -> list[tuple[str, int, int, bool]]:
+    """(text, characters inside links, open boilerplate, in an article) per block, in page order."""
+    out: list[tuple[str, int, int, bool]] = []
+    stack: list[tuple[str, int]] = []  # open containers and the boilerplate mark of each
     parts: list[str] = []
     linked = bad = content = 0
     in_link = False
@@ -104,7 +114,7 @@ def blocks(page: str, tag, attribute) -> list[tuple[str, int, bool, bool]]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((text, min(linked, len(text)), bad > 0, content > 0))
+            out.append((text, min(linked, len(text)), bad, content > 0))
         parts.clear()
         linked = 0
 
@@ -144,13 +154,13 @@ def blocks(page: str, tag, attribute) -> list[tuple[str, int, bool, bool]]:
         if name in CONTENT_TAGS and not content:
             # an article ends menus and the like that were left open before it
             while stack and stack[-1][1] and stack[-1][0] in BOILERPLATE_TAGS:
-                stack.pop()
-                bad -= 1
+                bad -= stack.pop()[1]
         if name in ("p", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6"):
             # these close an open one of their kind by themselves
             if stack and stack[-1][0] == name:
                 bad -= stack.pop()[1]
-        mark = name in BOILERPLATE_TAGS or (name not in CONTENT_TAGS and bool(m.group("attrs")) and _marked(m.group("attrs"), attribute))
+        mark = _marked(m.group("attrs"), attribute, name in CONTENT_TAGS) if m.group("attrs") else 0
+        mark = max(mark, int(name in BOILERPLATE_TAGS))
         if mark and name == "span":
             flush()
         stack.append((name, mark))
@@ -162,27 +172,45 @@ def blocks(page: str, tag, attribute) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
-def classify(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
+def _first_label(text: str, density: float) -> str:
+    """Label of a block by its own links, length and stop words."""
+    if density > MAX_LINKS:
+        return "bad"
+    if len(text) < MIN_SHORT:
+        return "bad" if density > 0.2 else "short"
+    stops = [w.strip(".,;:!?()\"'") in STOP_WORDS for w in text.lower().split()]
+    rich = sum(stops) / len(stops)
+    if rich >= STOPS_HIGH:
+        return "good" if len(text) >= MIN_LONG else "near"
+    return "near" if rich >= STOPS_LOW else "poor"
+
+
+#: Label by the prior: in a boilerplate container, inside and outside the article or main element.
+MARKED = {"good": "marked", "near": "bad", "short": "bad", "poor": "bad", "bad": "bad"}
+INSIDE = {"good": "good", "near": "good", "short": "near", "poor": "near", "bad": "bad"}
+OUTSIDE = {"good": "good", "near": "short", "short": "bad", "poor": "bad", "bad": "bad"}
+NO_PRIOR = {"good": "good", "near": "near", "short": "short", "poor": "bad", "bad": "bad"}
+
+
+def classify(found: list[tuple[str, int, int, bool]]) -> list[bool]:
     """Whether each block belongs to the main text."""
-    has_content = any(c and not b for _, _, b, c in found)
+    first = [_first_label(text, linked / len(text)) for text, linked, _, _ in found]
+    plain = [(label, len(text), content) for label, (text, _, bad, content) in zip(first, found) if not bad]
+    inside = sum(size for label, size, content in plain if content and label != "bad")
+    trusted = 0 < inside >= sum(size for label, size, content in plain if not content and label == "good")
     labels = []
-    for text, linked, bad, content in found:
-        density = linked / len(text)
-        if bad or density > MAX_LINKS or has_content and not content:
+    for label, (_, _, bad, content) in zip(first, found):
+        if bad >= HIDDEN:
             labels.append("bad")
-        elif content:
-            labels.append("good")
+        elif bad:
+            labels.append(MARKED[label])
+        elif trusted:
+            labels.append((INSIDE if content else OUTSIDE)[label])
         else:
-            stops = [w.strip(".,;:!?()\"'") in STOP_WORDS for w in text.lower().split()]
-            rich = sum(stops) / len(stops)
-            if len(text) < MIN_SHORT:
-                labels.append("bad" if density > 0.2 else "short")
-            elif rich >= STOPS_HIGH:
-                labels.append("good" if len(text) >= MIN_LONG else "near")
-            else:
-                labels.append("near" if rich >= STOPS_LOW else "bad")
+            labels.append(NO_PRIOR[label])
     if "good" not in labels:  # a page of short blocks only: what is not bad is all there is
-        return [x in ("near", "short") for x in labels]
+        rest = ("near", "short") if {"near", "short"} & set(labels) else ("marked",)
+        return [x in rest for x in labels]
     before, after = [None] * len(labels), [None] * len(labels)
     for order, side in ((range(len(labels)), before), (range(len(labels) - 1, -1, -1), after)):
         seen = None
@@ -196,6 +224,8 @@ def classify(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
             keep.append(label == "good")
         elif label == "near":
             keep.append("good" in (left, right))
+        elif label == "marked":
+            keep.append(left == right == "good")
         else:
             keep.append({left, right} <= {"good", None} and "good" in (left, right))
     return keep

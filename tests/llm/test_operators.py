@@ -170,6 +170,32 @@ def test_html_text(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def texts_of(*pages):
+    tag, attribute = html_text.compiled()
+    return [html_text.main_text(p, tag, attribute) for p in pages]
+
+
+def test_html_text_article_is_a_prior():
+    main = "the cat and the dog are in the house with a mouse and it is not the end of the story " * 6
+    main = main.strip()
+    teaser = "Read the next story"
+    nav = "<nav><a href=/>Home</a></nav>"
+    body = f"<div><p>{main}</p><p>{main}</p></div>"
+    footer = "<footer>© x</footer>"
+    long_comment = "<article class='comment'><p>it was the best of the stories that you have and I was in it with him</p></article>"
+    got = texts_of(
+        f"{nav}{body}<article><a href=/n>{teaser}</a></article>{footer}",  # a card of links
+        f"{nav}{body}{footer}",  # no article
+        f"{nav}{body}<article><h2>{teaser}</h2></article>{footer}",  # a teaser
+        f"{nav}{body}{long_comment * 3}{footer}",  # reader comments
+        f"{nav}<article>{body}</article><article>{body}</article><div>Kryx blorp</div>{footer}",  # repeated
+        f"{nav}<article><h1>Head</h1>{body}<p>Kryx blorp zabba</p><ul><li><a href=/a>link one</a></li></ul></article>{footer}",
+        f"{nav}<article><h1>Head</h1>{body}</article><div>Kryx blorp</div><div>{main}</div>{footer}",
+    )
+    both = f"{main}\n{main}"
+    assert got == [both, both, both, both, f"{both}\n{both}", f"Head\n{both}\nKryx blorp zabba", f"Head\n{both}\n{main}"]
+
+
 def brute_components(rows, n, percent):
     sets = []
     for _, t, *_ in rows:
