@@ -21,8 +21,10 @@ The text of the good blocks is joined by one newline each; character references
 are decoded and white space inside a block becomes one space.  Pages are
 independent: no shuffle, one batch of rows in memory at a time.
 
-Defined cases: null or empty html gives an empty text; broken or unclosed markup
-closes at the next article or at the end; repeated rows and null ids each give a
+Defined cases: null or empty html gives an empty text; an unclosed head ends at the
+body or its first element, unclosed menus and the like at the next article; script,
+style and textarea without an end run to the end of the page, of other skipped
+elements without one (or self-closing) only the tag goes; repeated rows and null ids each give a
 row; empty tables give no rows; other input columns are ignored.
 """
 
@@ -51,7 +53,15 @@ CONTAINERS = frozenset(
 )
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog header fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-SKIPPED = "script style noscript template svg math iframe object select textarea button canvas audio video head".split()
+#: Elements without text of the page; raw ones run to the end of the page if they are not closed.
+RAW = "script style textarea".split()
+SKIPPED = "noscript template svg math iframe object select button canvas audio video".split()
+#: Of these, the ones that may hold others of their kind.
+NESTED = frozenset("noscript template svg math object".split())
+#: Of these, the ones that never hold an article.
+SMALL = frozenset(SKIPPED) - {"noscript", "template"}
+#: What a head may hold; any other element ends it.
+HEAD_TAGS = frozenset("title meta link base basefont bgsound".split()) | frozenset(SKIPPED[:2])
 #: Words in a class or id that mark boilerplate.
 MARKS = frozenset(
     "ad ads advert advertisement adverts adbox banner breadcrumb breadcrumbs comment comments consent cookie cookies "
@@ -60,6 +70,12 @@ MARKS = frozenset(
     "search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget".split()
 )
 CONTENT_TAGS = frozenset(("article", "main"))
+#: Inside an article these are boilerplate only if a whole class name or the id is one of STRICT_MARKS.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li td th span blockquote figure".split())
+STRICT_MARKS = frozenset(
+    "ad ads advert advertisement adverts adbox breadcrumb breadcrumbs cookie cookies newsletter pager pagination promo "
+    "promoted promotion signup skip sponsor sponsored subscribe subscription".split()
+)
 #: Whole class names that mark an article element as a reader's comment.
 COMMENT_MARKS = frozenset("comment comments reply replies respond disqus".split())
 #: Weight of a hidden container among the open boilerplate ones.
@@ -78,13 +94,13 @@ MIN_SHORT, MIN_LONG = 70, 200
 STOPS_LOW, STOPS_HIGH = 0.30, 0.32
 MAX_LINKS = 0.5
 
-TAG = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<skip>%s)\b[^>]*>.*?(?:</(?P=skip)\s*>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>" % "|".join(
-    s for s in SKIPPED
-)
+ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+CUT = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<raw>%s)\b(?:%s(?<=[\s\"'])/>|(?:%s|[^>]*)>.*?(?:</(?P=raw)\s*>|\Z))" % ("|".join(RAW), ATTRS, ATTRS)
+TAG = CUT + r"|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>%s)>" % ATTRS
 ATTRIBUTE = r"""\b(class|id|role|hidden|style)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
 
 
-def _marked(attrs: str, attribute, content_tag: bool) -> int:
+def _marked(attrs: str, attribute, content_tag: bool, strict: bool) -> int:
     """1 if class, id or role make an element boilerplate, ``HIDDEN`` if its style hides it, else 0."""
     mark = 0
     for m in attribute.finditer(attrs):
@@ -95,13 +111,36 @@ def _marked(attrs: str, attribute, content_tag: bool) -> int:
             if "display:none" in value.replace(" ", ""):
                 return HIDDEN
         elif name in ("class", "id"):
-            if content_tag:
-                mark |= not COMMENT_MARKS.isdisjoint(value.split())
+            if content_tag or strict:
+                mark |= not (COMMENT_MARKS if content_tag else STRICT_MARKS).isdisjoint(value.split())
             else:
                 mark |= not MARKS.isdisjoint(re.split(r"[^a-z]+", value))
     return int(mark)
 
 
+def _skip_ends(page: str, tag) -> dict[int, int]:
+    """Start -> end of the skipped elements that are closed, in one run over the tags."""
+    ends: dict[int, int] = {}
+    open_tags: dict[str, list[tuple[int, int]]] = {}
+    articles = 0
+    for m in tag.finditer(page):
+        name = (m.group("name") or "").lower()
+        articles += name in CONTENT_TAGS and not m.group("close")
+        if name not in SKIPPED:
+            continue
+        opened = open_tags.setdefault(name, [])
+        if not m.group("close"):
+            if not m.group("attrs").endswith("/"):
+                if name not in NESTED:
+                    opened.clear()
+                opened.append((m.start(), articles))
+        elif opened:
+            start, before = opened.pop()
+            if name not in SMALL or before == articles:
+                ends[start] = m.end()
+    return ends
+
+
 def blocks(page: str, tag, attribute) -> list[tuple[str, int, int, bool]]:
     """(text, characters inside links, open boilerplate, in an article) per block, in page order."""
     out: list[tuple[str, int, int, bool]] = []
@@ -119,18 +158,34 @@ def blocks(page: str, tag, attribute) -> list[tuple[str, int, int, bool]]:
         linked = 0
 
     at = 0
-    for m in tag.finditer(page):
+    skip_ends = None
+    in_head = in_title = False
+    while m := tag.search(page, at):
         if m.start() > at:
             raw = page[at : m.start()]
-            parts.append(raw)
-            if in_link:
-                linked += len(" ".join(raw.split()))
+            if in_head and not in_title and raw.strip():
+                in_head = False
+            if not in_head:
+                parts.append(raw)
+                if in_link:
+                    linked += len(" ".join(raw.split()))
         at = m.end()
         name = m.group("name")
         if name is None:
             continue
         name = name.lower()
         closing = bool(m.group("close"))
+        if name == "head":
+            in_head, in_title = not closing, False
+        elif in_head:
+            in_title = name == "title" and not closing
+            in_head = name in HEAD_TAGS
+        if name in SKIPPED:
+            if not closing and not m.group("attrs").endswith("/"):
+                if skip_ends is None:
+                    skip_ends = _skip_ends(page, tag)
+                at = skip_ends.get(m.start(), at)
+            continue
         if name == "a":
             in_link = not closing
             continue
@@ -159,7 +214,8 @@ def blocks(page: str, tag, attribute) -> list[tuple[str, int, int, bool]]:
             # these close an open one of their kind by themselves
             if stack and stack[-1][0] == name:
                 bad -= stack.pop()[1]
-        mark = _marked(m.group("attrs"), attribute, name in CONTENT_TAGS) if m.group("attrs") else 0
+        strict = content > 0 and name in TEXT_TAGS
+        mark = _marked(m.group("attrs"), attribute, name in CONTENT_TAGS, strict) if m.group("attrs") else 0
         mark = max(mark, int(name in BOILERPLATE_TAGS))
         if mark and name == "span":
             flush()

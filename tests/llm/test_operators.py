@@ -196,6 +196,27 @@ def test_html_text_article_is_a_prior():
     assert got == [both, both, both, both, f"{both}\n{both}", f"Head\n{both}\nKryx blorp zabba", f"Head\n{both}\n{main}"]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><meta charset=x><body><article><p>One<p>Two</article>",
+        "<html><head><title>T</title><link href=x><article><p>One<p>Two</article>",
+        "<head><script>a</script><title>T</title></head><article><p>One<p>Two</article>",
+        "<article><p>One<svg viewBox='0 0 1 1'/><p>Two</article>",
+        '<article><p>One<iframe src="x" /><p>Two</article><iframe>y</iframe>',
+        *(f"<article><p>One<{x}><p>Two</article>" for x in ("button", "select", "object", "canvas", "iframe", "svg", "video")),
+        *(f"<{x}><article><p>One<p>Two<{x}>no</{x}></article>" for x in ("button", "select", "object", "canvas")),
+        "<button><article><p>One<p>Two</article></button>",
+        "<article><p>One<object>a<object>b</object>c</object><p>Two<script>x</article>",
+        '<article><p class="notice-text">One</p><h2 class="section-header">Two</h2></article>',
+        '<article><p class="share">One<p id="tags">Two<p class="x ad">Three</article>',
+        '<article><p>One<script src="x" /><p>Two<textarea>no',
+    ],
+)
+def test_html_text_unclosed_markup_and_marks(page):
+    assert texts_of(page) == ["One\nTwo"]
+
+
 def brute_components(rows, n, percent):
     sets = []
     for _, t, *_ in rows:
