@@ -17,6 +17,9 @@ alike (50 words with the defaults).
    Jaccard similarity reaches ``percent``.
 4. Connected components of the pairs are clusters of one passage.  It stays in the
    document with the smallest id and is a span to remove in all others.
+5. Each paragraph to remove is extended word by word to the left and right, as far as
+   its words are those around the kept one (at most ``span + words`` each way; the
+   next paragraph of a longer passage goes on from there).
 
 Exact copies of a whole text count as one text in steps 1 to 4; all but the one
 with the smallest id are then marked from end to end.
@@ -169,20 +172,61 @@ def _filter_of(nodes: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _merged(at: Column, words: int) -> Column:
-    """Sorted paragraph positions -> disjoint (start, end) word spans."""
+def _merged(found: Column) -> Column:
+    """Sorted (start, end) word spans -> disjoint ones."""
     kind = "array<struct<start:int,end:int>>"
 
     def step(acc: Column, x: Column) -> Column:
         last = F.element_at(acc, -1)
         longer = F.concat(
             F.slice(acc, F.lit(1), F.size(acc) - 1),
-            F.array(F.struct(last["start"].alias("start"), (x + words).alias("end"))),
+            F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))),
         )
-        new = F.concat(acc, F.array(F.struct(x.alias("start"), (x + words).alias("end"))))
-        return F.when(F.size(acc) == 0, new).when(last["end"] >= x, longer).otherwise(new)
+        new = F.concat(acc, F.array(x))
+        return F.when(F.size(acc) == 0, new).when(last["end"] >= x["start"], longer).otherwise(new)
 
-    return F.aggregate(at, F.array().cast(kind), step)
+    return F.aggregate(found, F.array().cast(kind), step)
+
+
+def _in_filter(filter_words: np.ndarray):
+    """The rows whose sig may be in the filter."""
+    mask = np.uint64(len(filter_words) * 64 - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = batch.column("sig").to_numpy().view(np.uint64) & mask
+            wanted = (filter_words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+            yield batch.filter(pa.array(wanted))
+
+    return run
+
+
+def _spans(rows: DataFrame, at: DataFrame, words: int, span: int, filter_bits: int) -> DataFrame:
+    """(sig, away): the spans of the paragraphs that other texts keep, to their real ends.
+
+    A shared passage has a marked paragraph at most ``span`` words from each end and
+    from the next one, so contexts of ``span + words`` words reach its ends; whole
+    texts need not meet.
+    """
+    keeper = (F.col("sig") == F.col("first_sig")) & (F.col("at") == F.col("first_at"))
+    marks = at.where((F.col("sig") != F.col("first_sig")) | keeper).select(
+        F.col("sig").alias("m_sig"), F.struct("at", "passage", keeper.alias("keeper")).alias("mark")
+    )
+    marks = marks.groupBy("m_sig").agg(F.collect_list("mark").alias("marks"))
+    wanted = _filter_of(at.select(F.col("sig").alias("node")).distinct(), filter_bits)
+    texts = rows.select("sig", "text").mapInArrow(_in_filter(wanted), "sig bigint, text string")
+    texts = texts.dropDuplicates(["sig"]).join(marks, F.col("sig") == F.col("m_sig")).select("sig", "text", "marks")
+    contexts = texts.mapInArrow(
+        _contexts(span, words), "passage bigint, keeper boolean, sig bigint, at int, lead int, context binary"
+    ).checkpoint()
+    kept = contexts.where("keeper").select(
+        F.col("passage").alias("k_passage"), F.col("lead").alias("k_lead"), F.col("context").alias("k_context")
+    )
+    pairs = contexts.where("not keeper").join(kept, F.col("passage") == F.col("k_passage"))
+    found = pairs.select("sig", "at", "lead", "context", "k_lead", "k_context").mapInArrow(
+        _extensions(words), "sig bigint, start int, end int"
+    )
+    return found.groupBy(F.col("sig").alias("e_sig")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("away"))
 
 
 def repeated_passages(
@@ -230,31 +274,92 @@ def repeated_passages(
         at = at.withColumn("passage", F.col("node"))
     at = at.join(owner, "sig").select("sig", "at", "passage", "owner")
     first = at.groupBy(F.col("passage").alias("f_passage")).agg(
-        F.min(F.struct("owner", "sig")).alias("first"), F.min("sig").alias("a"), F.max("sig").alias("b")
+        F.min(F.struct("owner", "sig", "at")).alias("first"), F.min("sig").alias("a"), F.max("sig").alias("b")
     )
-    first = first.where("a <> b").select("f_passage", F.col("first.sig").alias("first_sig"), F.col("first.owner.id").alias("first_id"))
-    at = at.join(first, F.col("passage") == F.col("f_passage"))
+    first = first.where("a <> b").select(
+        "f_passage", F.col("first.sig").alias("first_sig"), F.col("first.at").alias("first_at"), F.col("first.owner.id").alias("first_id")
+    )
+    at = at.join(first, F.col("passage") == F.col("f_passage")).select("sig", "at", "passage", "first_sig", "first_at", "first_id")
+    at = at.checkpoint()
     away = F.col("sig") != F.col("first_sig")
     per_text = at.groupBy(F.col("sig").alias("t_sig")).agg(
         F.countDistinct("at").alias("n_shared"),
-        F.sort_array(F.collect_set(F.when(away, F.col("at")))).alias("away"),
         F.sort_array(F.collect_set(F.when(away, F.col("first_id")))).alias("kept_in"),
     )
     owner = owner.select(F.col("sig").alias("o_sig"), F.col("owner.id").alias("owner_id"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     d = rows.select("id", "sig", F.size(split_words(F.col("text"))).alias("n_words")).join(owner, F.col("sig") == F.col("o_sig"))
     d = d.join(per_text, F.col("sig") == F.col("t_sig"), "left")
+    d = d.join(_spans(rows, at, words, span, filter_bits), F.col("sig") == F.col("e_sig"), "left")
     copy = ~F.col("id").eqNullSafe(F.col("owner_id")) & (F.col("n_words") > 0)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end")))
     ids = F.array(F.col("owner_id"))
     return d.select(
         F.col("id").alias(id_col),
         F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"),
-        F.when(copy, whole).otherwise(F.coalesce(_merged(F.col("away"), words), none)).alias("spans"),
+        F.when(copy, whole).otherwise(F.coalesce(_merged(F.col("away")), none)).alias("spans"),
         F.when(copy, ids).otherwise(F.coalesce("kept_in", F.slice(ids, F.lit(1), F.lit(0)))).alias("kept_in"),
     )
 
 
+def _contexts(span: int, words: int):
+    """(passage, keeper, sig, at, lead, words) per marked paragraph: its words with ``span + words`` more on each side."""
+    reach = span + words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema(
+            [("passage", pa.int64()), ("keeper", pa.bool_()), ("sig", pa.int64()), ("at", pa.int32()), ("lead", pa.int32()), ("context", pa.binary())]
+        )
+        for batch in batches:
+            out = [[] for _ in kind]
+            for text, sig, marks in zip(batch.column("text"), batch.column("sig"), batch.column("marks")):
+                tokens = text.as_py().encode().lower().split()
+                for mark in marks.as_py():
+                    at = mark["at"]
+                    start = max(0, at - reach)
+                    context = b" ".join(tokens[start : at + words + reach])
+                    for column, value in zip(out, (mark["passage"], mark["keeper"], sig.as_py(), at, at - start, context)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind)], schema=kind)
+
+    return run
+
+
+def _extended(a: list[bytes], p: int, b: list[bytes], q: int, words: int) -> tuple[int, int]:
+    """How many words the paragraph at ``a[p]`` goes on to the left and to the right as that at ``b[q]`` does."""
+    # near-equal paragraphs may start some words apart
+    q += max(
+        range(-SHINGLE, SHINGLE + 1),
+        key=lambda d: (sum(0 <= q + d + i < len(b) and a[p + i] == b[q + d + i] for i in range(words)), -abs(d)),
+    ) if a[p : p + words] != b[q : q + words] else 0
+    left = 0
+    while left < min(p, q) and a[p - left - 1] == b[q - left - 1]:
+        left += 1
+    end = words
+    while p + end < len(a) and 0 <= q + end < len(b) and a[p + end] == b[q + end]:
+        end += 1
+    return left, end - words
+
+
+def _extensions(words: int):
+    """(sig, start, end, kept) of the marked paragraphs, extended to where they differ from the kept ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, ends = [], []
+            for at, lead, context, k_lead, k_context in zip(
+                *(batch.column(c).to_pylist() for c in ("at", "lead", "context", "k_lead", "k_context"))
+            ):
+                left, right = _extended(context.split(), lead, k_context.split(), k_lead, words)
+                starts.append(at - left)
+                ends.append(at + words + right)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("sig"), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["sig", "start", "end"]
+            )
+
+    return run
+
+
 def _cut(text: str, spans: list[dict], word) -> str:
     """The text without the words of the spans."""
     bounds = [m.span() for m in word.finditer(text)]

@@ -341,6 +341,30 @@ def test_passages(docs, none):
     assert passages.repeated_passages(none).count() == 0
 
 
+def test_passages_reach_the_ends(spark):
+    rng = random.Random(11)
+    rows, planted = [], {}
+    for length in (50, 60, 90, 120, 300, 700):
+        for _ in range(4):
+            shared = prose(rng, length)
+            for k in range(3):
+                before, after = prose(rng, rng.randint(0, 60)), prose(rng, rng.randint(0, 60))
+                planted[len(rows)] = (k, len(before), len(before) + length, before, after)
+                rows.append((len(rows), " ".join(before + shared + after)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in passages.repeated_passages(df).collect()}
+    left = {r.doc_id: words(r.text) for r in passages.without_passages(df).collect()}
+    for d, (k, start, end, before, after) in planted.items():
+        covered = {i for s in got[d].spans for i in range(s.start, s.end)}
+        if k == 0:
+            assert not covered
+            continue
+        # words by chance alike next to the passage belong to it
+        assert set(range(start, end)) <= covered and len(covered) <= end - start + 2
+        assert got[d].kept_in[0] == d - k and max(got[d].kept_in) < d
+        assert len(left[d]) == len(before + after) - (len(covered) - (end - start))
+
+
 def test_byte_bpe(spark, docs, none):
     enc = bpe.encoding(bpe.VOCABULARY)
     got = bpe.encode(docs, chunk_chars=400, overlap_chars=60)
