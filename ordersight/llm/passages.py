@@ -7,14 +7,15 @@ consecutive ones is an anchor, and the ``words`` words from it are a paragraph.
 alike (50 words with the defaults).
 
 1. Each paragraph gets ``bands`` keys of two MinHashes of its five-word shingles;
-   three bands find a paragraph of similarity 0.8 with 95 %, of 0.9 with 99 %, an
-   equal one always, and a passage has several paragraphs.
+   three bands bring paragraphs of similarity 0.8 under a common key with 95 %, of 0.9
+   with 99 %, equal ones always, and a passage has several paragraphs.  Only this step
+   can miss near-equal paragraphs, and those whose anchor a changed word moves.
 2. Keys held by two or more different texts are kept.  Paragraphs with equal shingle
-   sequences (one content hash) are one node; within a key every node is paired
-   with the key's smallest node (a star, not all pairs).
-3. The shingles of paired nodes are read again from the texts; a Bloom filter of fixed
-   size (``filter_bits``) spares the others the way.  Pairs stay if their exact
-   Jaccard similarity reaches ``percent``.
+   sequences (one content hash) are one node.
+3. The shingles of the nodes that share a key are read again from the texts; a Bloom
+   filter of fixed size (``filter_bits``) spares the others the way.  All nodes of a
+   key are compared exactly, those of a large key in pairs of blocks; they are
+   linked if their Jaccard similarity reaches ``percent``.
 4. Connected components of the pairs are clusters of one passage.  It stays in the
    document with the smallest id and is a span to remove in all others.
 5. Each paragraph to remove is extended word by word to the left and right, as far as
@@ -172,6 +173,69 @@ def _filter_of(nodes: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
+#: Keys of at most so many nodes are compared as pairs of rows, larger ones in blocks of nodes.
+FEW, BLOCK = 6, 512
+
+
+def _joined_block(percent: int):
+    """Links that join the nodes of a group (one or two blocks of a key) alike, at most one per node."""
+    schema = pa.schema([("node", pa.int64()), ("other", pa.int64())])
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        node = group.column("node").to_numpy()
+        lists = group.column("shingles").combine_chunks()
+        flat = lists.flatten().to_numpy()
+        row = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy()))
+        values, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+        held = counts[inverse] > 1  # the others cannot overlap
+        column = np.cumsum(counts > 1)[inverse] - 1
+        member = np.zeros((len(node), int((counts > 1).sum())), np.float32)
+        member[row[held], column[held]] = 1
+        # sets: a shingle counts once however often its paragraph has it
+        pairs = np.unique(row.astype(np.int64) * len(values) + inverse)
+        size = np.bincount(pairs // max(1, len(values)), minlength=len(node)).astype(np.int64)
+        both = (member @ member.T).astype(np.int64)
+        alike = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+        todo = np.ones(len(node), bool)
+        ends = []
+        for k in range(len(node)):
+            if not todo[k]:
+                continue
+            todo[k] = False
+            front = np.array([k])
+            while len(front):
+                front = np.flatnonzero(alike[front].any(axis=0) & todo)
+                todo[front] = False
+                ends += [(node[i], node[k]) for i in front]
+        return pa.table([[int(a) for a, _ in ends], [int(b) for _, b in ends]], schema=schema)
+
+    return run
+
+
+def _links(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, other): links that join all alike nodes that share a key; ``held`` has key, node and m nodes of the key.
+
+    Every two nodes of a key are compared exactly.  A large key is dealt into pairs of
+    blocks of its nodes, which are compared in one task each and give a spanning
+    forest, so the rows grow with the number of nodes and not with that of the pairs.
+    """
+    other = sets.select(F.col("node").alias("other"), F.col("shingles").alias("other_shingles"))
+    few = held.where(F.col("m") <= FEW)
+    right = few.select(F.col("key").alias("o_key"), F.col("node").alias("other"))
+    pairs = few.join(right, F.col("key") == F.col("o_key")).where("node < other").select("node", "other").distinct()
+    alike = 100 * F.size(F.array_intersect("shingles", "other_shingles")) >= percent * F.size(
+        F.array_union("shingles", "other_shingles")
+    )
+    small = pairs.join(sets, "node").join(other, "other").where(alike).select("node", "other")
+    many = held.where(F.col("m") > FEW).withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
+    many = many.withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb").cast("long")).cast("int"))
+    many = many.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    many = many.select("key", "node", F.least("block", "with").alias("b1"), F.greatest("block", "with").alias("b2"))
+    large = many.join(sets, "node").groupBy("key", "b1", "b2").applyInArrow(_joined_block(percent), "node bigint, other bigint")
+    return small.unionByName(large)
+
+
 def _merged(found: Column) -> Column:
     """Sorted (start, end) word spans -> disjoint ones."""
     kind = "array<struct<start:int,end:int>>"
@@ -248,23 +312,18 @@ def repeated_passages(
     shared = shared.where("a <> b").select("s_key")
     hits = bands_of.join(shared, F.col("key") == F.col("s_key"), "left_semi").checkpoint()
 
-    least = hits.groupBy(F.col("key").alias("m_key")).agg(F.min("node").alias("other"), F.max("node").alias("x"))
-    least = least.where("other < x")
-    pairs = hits.join(least, F.col("key") == F.col("m_key")).where("node <> other").select("node", "other").distinct().checkpoint()
+    held = hits.select("key", "node").distinct()
+    sizes = held.groupBy(F.col("key").alias("m_key")).agg(F.count("*").alias("m")).where("m > 1")
+    held = held.join(sizes, F.col("key") == F.col("m_key")).select("key", "node", "m").checkpoint()
     root = None
-    if not pairs.isEmpty():
-        wanted = pairs.select("node").unionByName(pairs.select(F.col("other").alias("node")))
+    if not held.isEmpty():
+        wanted = held.select("node").distinct()
         sets = rows.select("text").mapInArrow(
             _node_shingles(words, span, _filter_of(wanted, filter_bits)), "node bigint, shingles array<bigint>"
         )
-        sets = sets.join(wanted.distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-        sets = sets.checkpoint()
-        other = sets.select(F.col("node").alias("other"), F.col("shingles").alias("other_shingles"))
-        both = pairs.join(sets, "node").join(other, "other")
-        alike = 100 * F.size(F.array_intersect("shingles", "other_shingles")) >= percent * F.size(
-            F.array_union("shingles", "other_shingles")
-        )
-        root = components(both.where(alike), "node", "other").select(F.col("node").alias("r_node"), "root")
+        sets = sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+        links = _links(held, sets.checkpoint(), percent)
+        root = components(links, "node", "other").select(F.col("node").alias("r_node"), "root")
 
     owner = rows.groupBy("sig").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id")).alias("owner"))
     at = hits.select("sig", "at", "node").distinct()

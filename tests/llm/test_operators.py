@@ -365,6 +365,25 @@ def test_passages_reach_the_ends(spark):
         assert len(left[d]) == len(before + after) - (len(covered) - (end - start))
 
 
+@pytest.mark.parametrize("families,block", [(1, 512), (2, 512), (25, 512), (25, 16)])
+def test_passages_near_copies_in_a_hot_key(spark, monkeypatch, families, block):
+    monkeypatch.setattr(passages, "MULTIPLIERS", passages.MULTIPLIERS * 0)  # one key for all paragraphs
+    monkeypatch.setattr(passages, "BLOCK", block)
+    rng = random.Random(families)
+    rows = []
+    while len(rows) < 3 * families:
+        base = prose(rng, 19)
+        family = [" ".join(base + prose(rng, 1)) for _ in range(3)]
+        if all(list(passages.paragraphs(t, 20, 30)[0]) == [0] for t in family):
+            rows += [(len(rows) + i, t) for i, t in enumerate(family)]
+    sets = [set(passages.paragraphs(t, 20, 30)[1].ravel().tolist()) for _, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in passages.repeated_passages(df).collect()}
+    for d, _ in rows:
+        near = [e for e in range(len(rows)) if 100 * len(sets[d] & sets[e]) >= 80 * len(sets[d] | sets[e])]
+        assert len(near) == 3 and got[d].n_shared == 1 and got[d].kept_in == [near[0]] * (d != near[0])
+
+
 def test_byte_bpe(spark, docs, none):
     enc = bpe.encoding(bpe.VOCABULARY)
     got = bpe.encode(docs, chunk_chars=400, overlap_chars=60)
