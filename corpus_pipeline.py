@@ -42,12 +42,15 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and token ids.
+    """doc_id, source, place in the mix (slot, in_block), n_tokens and token ids.
 
-    Texts up to 262,144 characters are encoded where they lie, so the order of the mix stays.
+    Neither reading files nor encoding keeps rows in order, so the schedule comes back
+    as columns: the mix is deterministic and numbered again over the same rows.
     """
-    encoded = bpe.encode(docs, carry=("doc_id", "source"), chunk_chars=262_144)
-    return encoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    columns = ("doc_id", "source", "slot", "in_block")
+    placed = mixing.placed_rows(docs).select(*columns, "text").checkpoint()
+    encoded = bpe.encode(placed, carry=columns)
+    return encoded.select(*columns, F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [

@@ -194,3 +194,9 @@ def mixed_rows(
     """All input rows with their columns, range-partitioned and sorted in the order of the mix."""
     d = _scheduled(docs, packed(docs), id_col, source_col, weights, alpha, default_weight, resolution, block_rows, buckets)
     return d.repartitionByRange("slot", "in_block").sortWithinPartitions("slot", "in_block").select("row.*")
+
+
+def placed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """All input rows with their columns, and ``slot`` and ``in_block``, their place in the order of ``mixed_rows``."""
+    d = _scheduled(docs, packed(docs), id_col, source_col, None, 0.5, 0.0, 1000, 16, 1024)
+    return d.select("row.*", "slot", "in_block")

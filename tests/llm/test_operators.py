@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
+import corpus_pipeline  # noqa: E402
 from ordersight.llm import (  # noqa: E402
     bpe,
     exact_dedup,
@@ -397,3 +398,28 @@ def test_byte_bpe(spark, docs, none):
     ids = {r.doc_id: list(r.ids) for r in bpe.encode(df, chunk_chars=200, overlap_chars=40).collect()}
     assert all(ids[i] == enc.encode_ordinary(t) for i, t in enumerate(hard))
     assert bpe.encode(none).count() == 0
+
+
+def test_pipeline_rows_and_order(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, " ".join(prose(rng, 80)), "abc"[min(i % 7, 2)]) for i in range(140)]
+    rows.append((140, " ".join(prose(rng, 9000)), "a"))  # longer than a chunk of the encoder
+    near = rows[3][1].rsplit(" ", 1)[0]
+    whole = list(rows)
+    rows += [(200, "too short", "a"), (201, rows[5][1], "b"), (202, near + " other", "c")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    enc = bpe.encoding(bpe.VOCABULARY)
+    assert Counter((r.doc_id, r.source, r.n_tokens, tuple(r.ids)) for r in got) == Counter(
+        (d, s, len(ids), tuple(ids)) for d, t, s in whole for ids in [enc.encode_ordinary(t)]
+    )
+    df = spark.createDataFrame(whole, "doc_id long, text string, source string")
+    places = {r.doc_id: (r.slot, r.in_block) for r in mixing.mix(df).collect()}
+    assert [r.doc_id for r in sorted(got, key=lambda r: (r.slot, r.in_block))] == sorted(places, key=places.get)
+    assert len(set(places.values())) == len(whole)
+    sizes = Counter(s for _, _, s in whole)
+    weight = {s: n**0.5 / sum(n**0.5 for n in sizes.values()) for s, n in sizes.items()}
+    done, by_slot = Counter(), {r.slot: r.source for r in got}
+    for slot in range(min(max(x for x, y in by_slot.items() if y == s) for s in sizes) + 1):  # until a source has run out
+        done[by_slot[slot]] += 1
+        assert all(abs(done[s] - weight[s] * (slot + 1)) < 1.1 for s in sizes)
