@@ -1,19 +1,25 @@
 """Mixing sources to target weights by Pfair scheduling (native).
 
-Each source is cut into blocks of ``block_rows`` rows.  A source with ``m`` of
-the ``P`` slots of a period owns, for its k-th block (k = 0, 1, ...), the window
-from release ``floor(k P / m)`` to deadline ``ceil((k + 1) P / m)``.  In every
-slot the released block with the earliest deadline goes next.  Windows of this
-kind always admit such a schedule, and a block inside its window means that each
-source is less than one block away from its share at every slot.
-
-Weights are quantised to whole slots of a period, so windows repeat every P
-slots and all sources are exactly on target at its end.  Hence the schedule of
-one period (P rows, P <= resolution + number of sources) says it all:
-block k of a source goes to slot ``(k div m) P + slot_of(source, k mod m)``.  Data
-rows never enter the scheduling loop; they are only numbered within their
-source.  A source that has run out leaves its slots empty; the others keep their
-pace, and no row is repeated or dropped.
+Each source is cut into blocks of ``block_rows`` rows.  With weight ``w`` it has
+``round(j w R)`` blocks done when period j begins (R = ``resolution``), so it is never
+more than half a block off there, for ever and for any weight; no weight is
+rounded.  A period has as many slots as its sources have blocks in it, R up to the
+half blocks.
+
+Within a period, a source with ``m`` of its ``P`` slots owns, for its x-th block
+(x = 0, 1, ...), the window from release ``floor(x P / m)`` to deadline
+``ceil((x + 1) P / m)``.  In every slot the released block with the earliest deadline
+goes next.  Windows of this kind always admit such a schedule, and a block inside
+its window is less than one block away from the source's share of the period.
+
+So a source's blocks differ from its share of all slots so far by less than
+``1.5 + w n / 2`` for n sources, however many rows there are (the last term is the sum
+of all sources' half blocks at its worst; weights that are multiples of 1 / R have no
+half blocks and stay below one block).  Periods are rows of a table, scheduled apart
+from each other; those in which no source has rows are left out.  Data rows never
+enter the scheduling loop; they are only numbered within their source.  A source that
+has run out leaves its slots empty; the others keep their pace, and no row is
+repeated or dropped.  Sources of weight zero get a share of 1e-9, in effect the end.
 
 Numbering splits a hot source: rows are dealt to ``buckets`` hash buckets per
 source, numbered inside a bucket, and shifted by a running count over the
@@ -33,8 +39,8 @@ from pyspark.sql import functions as F
 
 from ordersight.llm.common import col, packed
 
-#: Beyond this many sources the schedule is joined by a shuffle instead of a broadcast.
-MAX_BROADCAST_SOURCES = 10_000
+#: Share of sources without weight.
+LEAST_SHARE = 1e-9
 
 
 def source_slots(
@@ -45,7 +51,7 @@ def source_slots(
     default_weight: float = 0.0,
     resolution: int = 1000,
 ) -> DataFrame:
-    """(source, n_rows, weight, slots): whole slots per period, at least one each."""
+    """(source, n_rows, weight, rate): share of the slots, and slots per period, not rounded."""
     rows = docs.groupBy(col(source_col).alias("source")).agg(F.count("*").alias("n_rows"))
     if weights is None:
         weight = F.pow(F.col("n_rows").cast("double"), F.lit(float(alpha)))
@@ -59,24 +65,56 @@ def source_slots(
     )
     x = one.select(F.explode("s").alias("x"), "total")
     share = F.coalesce(F.col("x")["weight"] / F.nullif(F.col("total"), F.lit(0.0)), F.lit(0.0))
-    slots = F.greatest(F.lit(1), F.round(share * resolution)).cast("int")
-    return x.select("x.source", "x.n_rows", share.alias("weight"), slots.alias("slots"))
+    rate = F.greatest(share, F.lit(LEAST_SHARE)) * F.lit(float(resolution))
+    return x.select("x.source", "x.n_rows", share.alias("weight"), rate.alias("rate"))
 
 
-def period_schedule(sources: DataFrame) -> DataFrame:
-    """(source, turn, slot, slots, period): the earliest-deadline-first schedule of one period.
+def _done(period: Column, rate: Column) -> Column:
+    """Blocks of a source before a period.  Nine digits, so that products of decimal weights are as exact as they look."""
+    return F.floor(F.round(period * rate, 9) + 0.5)
 
-    The sources of the mix, one row each, fold into one array; the loop runs over
-    the slots of one period.  Its size follows from resolution and number of
-    sources, never from the data.
+
+def _period_of(block: Column, rate: Column) -> Column:
+    """The period of a block: the last with at most that many blocks before it."""
+    guess = F.greatest(F.floor((block + 0.5) / rate) - 1, F.lit(0).cast("long"))
+    for _ in range(2):
+        guess = guess + F.when(_done(guess + 1, rate) <= block, 1).otherwise(0)
+    return guess
+
+
+def schedule_of(sources: DataFrame, block_rows: int) -> DataFrame:
+    """(source, block, slot) of all blocks that have rows: each period's earliest-deadline-first schedule.
+
+    The sources of the mix, one row each, fold into one array that meets the periods;
+    a period's loop runs over its slots.  Its size follows from resolution and number
+    of sources, never from the data; the periods are spread over the tasks.
     """
     one = sources.agg(
-        F.sort_array(F.collect_list(F.struct("source", "slots"))).alias("s"), F.sum("slots").cast("int").alias("period")
-    ).where("period > 0")
-    # state: blocks done per source, and the source chosen in each slot so far
-    start = F.struct(
-        F.transform("s", lambda x: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("order")
+        F.sort_array(F.collect_list(F.struct("source", "rate", F.ceil(F.col("n_rows") / block_rows).alias("n_blocks")))).alias("all")
     )
+    blocks = sources.select("rate", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_rows") / block_rows) - 1)).alias("k"))
+    periods = blocks.select(_period_of(F.col("k"), F.col("rate")).alias("j")).distinct()
+    # few bytes but a loop each: a given number of partitions is not coalesced
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    periods = periods.repartition(tasks, "j").crossJoin(F.broadcast(one))
+    j = F.col("j")
+    counted = F.transform(
+        "all",
+        lambda x: F.struct(
+            x["source"].alias("source"),
+            x["n_blocks"].alias("n_blocks"),
+            _done(j, x["rate"]).alias("before"),
+            (_done(j + 1, x["rate"]) - _done(j, x["rate"])).cast("int").alias("slots"),
+        ),
+    )
+    zero = F.lit(0).cast("long")
+    periods = periods.select("j", counted.alias("c")).select(
+        F.filter("c", lambda x: x["slots"] > 0).alias("s"),
+        F.aggregate("c", zero, lambda acc, x: acc + x["before"]).alias("first_slot"),
+        F.aggregate("c", zero, lambda acc, x: acc + x["slots"]).cast("int").alias("period"),
+    )
+    # state: blocks done per source, and the source chosen in each slot so far
+    start = F.struct(F.transform("s", lambda x: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("order"))
 
     def step(acc: Column, t: Column) -> Column:
         s, period = F.col("s"), F.col("period")
@@ -95,20 +133,17 @@ def period_schedule(sources: DataFrame) -> DataFrame:
         )
 
     fold = F.aggregate(F.sequence(F.lit(0), F.col("period") - 1), start, step, lambda acc: acc["order"])
-    slots = one.select("s", "period", F.posexplode(fold).alias("slot", "i")).select(
-        F.element_at("s", F.col("i") + 1).alias("x"), "slot", "period"
+    slots = periods.select("s", "first_slot", F.posexplode(fold).alias("t", "i")).select(
+        F.element_at("s", F.col("i") + 1).alias("x"), (F.col("first_slot") + F.col("t")).alias("slot")
     )
-    turn = F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1
-    return slots.select(
-        F.col("x")["source"].alias("source"), "slot", F.col("x")["slots"].alias("slots"), "period"
-    ).withColumn("turn", turn)
+    turn = F.row_number().over(Window.partitionBy("x.source", "x.before").orderBy("slot")) - 1
+    slots = slots.withColumn("block", F.col("x")["before"] + turn).where(F.col("block") < F.col("x")["n_blocks"])
+    return slots.select(F.col("x")["source"].alias("source"), "block", "slot")
 
 
-def _numbered(rows: DataFrame, sources: DataFrame, buckets: int) -> DataFrame:
-    """Adds ``rank``, the 0-based number of the row within its source (in hash order), and ``slots``.
+def _numbered(rows: DataFrame, buckets: int) -> DataFrame:
+    """Adds ``rank``, the 0-based number of the row within its source (in hash order).
 
-    ``sources`` may be as large as the table's number of sources; it meets the
-    rows only through the (source, bucket) counts they are joined with anyway.
     The key is one struct, in which null sources are equal, so the join keeps the
     window's partitioning and the rows are shuffled once.
     """
@@ -116,10 +151,7 @@ def _numbered(rows: DataFrame, sources: DataFrame, buckets: int) -> DataFrame:
     counts = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.withColumn("before", F.coalesce(before, F.lit(0)))
-    sources = sources.select(F.col("source").alias("m_source"), "slots")
-    counts = counts.join(sources, F.col("source").eqNullSafe(F.col("m_source"))).select(
-        F.struct("source", "bucket").alias("key"), "before", "slots"
-    )
+    counts = counts.select(F.struct("source", "bucket").alias("key"), "before")
     inside = F.row_number().over(Window.partitionBy("key").orderBy("h", "id")) - 1
     return (
         rows.withColumn("key", F.struct("source", "bucket"))
@@ -143,12 +175,9 @@ def _scheduled(
     buckets: int,
 ) -> DataFrame:
     sources = source_slots(docs, source_col, weights, alpha, default_weight, resolution)
-    n_sources = docs.select(col(source_col)).distinct().limit(MAX_BROADCAST_SOURCES + 1).count()
-    schedule = period_schedule(sources).select(
-        F.col("source").alias("s_source"), F.col("turn").alias("s_turn"), F.col("slot").alias("s_slot"), "period"
+    schedule = schedule_of(sources, block_rows).select(
+        F.struct("source", "block").alias("place"), "slot"
     )
-    if n_sources <= MAX_BROADCAST_SOURCES:
-        schedule = F.broadcast(schedule)  # at most resolution + MAX_BROADCAST_SOURCES narrow rows
     ident = col(id_col)
     rows = docs.select(
         ident.alias("id"),
@@ -157,11 +186,9 @@ def _scheduled(
         F.when(ident.isNull(), F.xxhash64(*[col(c) for c in docs.columns])).otherwise(F.xxhash64(ident)).alias("h"),
         *([carry.alias("row")] if carry is not None else []),
     )
-    numbered = _numbered(rows, sources, buckets).withColumn("block", F.floor(F.col("rank") / block_rows))
-    numbered = numbered.withColumn("turn", F.pmod("block", F.col("slots").cast("long")).cast("int"))
-    same = F.col("source").eqNullSafe(F.col("s_source")) & (F.col("turn") == F.col("s_turn"))
-    slot = F.floor(F.col("block") / F.col("slots")) * F.col("period") + F.col("s_slot")
-    return numbered.join(schedule, same).withColumns({"slot": slot, "in_block": F.pmod("rank", F.lit(block_rows))})
+    numbered = _numbered(rows, buckets).withColumn("block", F.floor(F.col("rank") / block_rows))
+    numbered = numbered.withColumn("place", F.struct("source", "block"))
+    return numbered.join(schedule, "place").withColumn("in_block", F.pmod("rank", F.lit(block_rows)))
 
 
 def mix(

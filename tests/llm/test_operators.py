@@ -148,6 +148,27 @@ def test_mixing_deviates_less_than_a_block(spark, docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_keeps_the_share_over_many_periods(spark):
+    sizes = {"hot": 12000, **{f"s{i:02}": 1260 for i in range(19)}, "rare": 3, "none": 5}
+    rows = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = {"hot": 0.3, **{f"s{i:02}": 0.0368 - 1e-5 * i for i in range(19)}, "rare": 1e-4}
+    total = sum(weights.values())
+    got = mixing.mix(df, weights=weights, resolution=50, block_rows=1, buckets=8).collect()
+    assert len(got) == len(rows) and len({r.slot for r in got}) == len(rows)
+    for source, n in sizes.items():
+        assert sorted(r.block for r in got if r.source == source) == list(range(n))
+    by_slot = {r.slot: r.source for r in got}
+    ends = {s: max(x for x, y in by_slot.items() if y == s) for s in sizes}
+    assert ends["none"] == max(by_slot) and ends["hot"] > 30000
+    done = Counter()
+    for slot in range(max(x for x, y in by_slot.items() if y != "none") + 1):
+        done[by_slot.get(slot)] += 1
+        for s, w in weights.items():
+            if slot <= ends[s]:
+                assert abs(done[s] - w / total * (slot + 1)) < 1.5 + w / total * len(sizes) / 2
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><header>Site</header><article><h1>Head &amp; line</h1><p>First&nbsp;part<br>second <b>part.
 <p>Third</p><form>Mail <input></form><aside>Side</aside></article><section id="comments"><p>Nice!</p></section><footer>x</footer>"""
