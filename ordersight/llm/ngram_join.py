@@ -269,8 +269,8 @@ class Trie:
             k += 1
 
 
-def trie_join(keys: list[bytes], sets: list[np.ndarray], weights: list[int], blocks: list[int], percent: int):
-    """Roots and weighted link counts of the sets; with two blocks, of the pairs across them."""
+def trie_join(keys: list[bytes], sets: list[np.ndarray], weights: list[int], blocks: list[int], percent: int, across: bool):
+    """Roots and weighted link counts of the sets; ``across`` counts only pairs of different blocks."""
     sizes = np.array([len(s) for s in sets])
     found, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = np.flatnonzero(counts > 1)  # the others cannot overlap
@@ -293,7 +293,6 @@ def trie_join(keys: list[bytes], sets: list[np.ndarray], weights: list[int], blo
             x = root[x]
         return x
 
-    across = len(set(blocks)) > 1
     for place, i in enumerate(trie.order):
         for other, o in trie.partners(ranks[i], int(sizes[i]), place, len(by_count), percent):
             j = trie.order[other]
@@ -320,7 +319,8 @@ def _joined_group(percent: int):
             rows.setdefault(k.as_py(), (w.as_py(), block.as_py(), grams.values.to_numpy().view(np.uint64)))
         keys = list(rows)
         weights, blocks, sets = zip(*rows.values())
-        roots, links = trie_join(keys, list(sets), list(weights), list(blocks), percent)
+        across = group.column("b1")[0].as_py() != group.column("b2")[0].as_py()  # one block of the two may be empty
+        roots, links = trie_join(keys, list(sets), list(weights), list(blocks), percent, across)
         split = group.column("nb")[0].as_py() > 1
         return pa.table([keys, roots, links, [split] * len(keys)], schema=schema)
 

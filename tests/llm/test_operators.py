@@ -283,6 +283,15 @@ def test_ngram_join(spark, docs, n, percent, block):
         assert left.count() == len(groups) + empty
 
 
+def test_ngram_join_links_with_empty_blocks(spark):
+    rng = random.Random(4)
+    base = prose(rng, 60)
+    texts = [" ".join(base + [f"end{i}"]) for i in range(6)] + [" ".join(base + ["end0"]), "", "other words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in ngram_join.jaccard_components(df, n=5, percent=80, block_grams=30).collect()}
+    assert got == {**{i: 6 for i in range(7)}, 7: 0, 8: 0}
+
+
 def test_ngram_join_empty(none):
     assert ngram_join.jaccard_components(none).count() == 0
 
