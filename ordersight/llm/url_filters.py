@@ -15,7 +15,12 @@ Urls that no rule decides are judged by templates learned from the table:
    a branch against its siblings) merge into ``~``; branches without labels stay
    apart, as they offer no evidence.
 4. A template is rejected if its smoothed share of bad labels,
-   ``(bad + strength * prior) / (labelled + strength)``, exceeds ``max_bad``.
+   ``(bad + strength * prior) / (labelled + strength)``, exceeds ``max_bad``.  The prior
+   is the smoothed share of its nearest labelled ancestor, host included; only hosts
+   without any label fall back on the given one.
+
+The tree goes on as long as paths differ; the rest of a path that shares its node
+with no other is appended as it is.
 
 Labels are the rules' own decisions (block = bad, allow = good), plus an optional
 table of labelled urls.
@@ -44,9 +49,9 @@ ALLOW, BLOCK = "allow", "block"
 
 @dataclass(frozen=True)
 class TreeParams:
-    """levels: path depth that is told apart; deeper segments join into one ``**``."""
+    """levels: path depth that is told apart, deeper segments join into one ``**``; None for all."""
 
-    levels: int = 4
+    levels: int | None = None
     max_children: int = 20
     min_labelled: int = 5
     z: float = 1.96
@@ -92,17 +97,24 @@ def _segment(s: Column) -> Column:
     return F.when(variable, F.concat(F.lit("*"), extension)).otherwise(s)
 
 
-def shape(path: Column, levels: int) -> Column:
-    """Path as an array of at most ``levels`` generalised segments; the rest is ``**``."""
+def shape(path: Column, levels: int | None) -> Column:
+    """Path as an array of generalised segments; with ``levels`` of at most so many, the rest is ``**``."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
+    if levels is None:
+        return F.transform(parts, _segment)
     head = F.transform(F.slice(parts, 1, levels), _segment)
     return F.when(F.size(parts) > levels, F.concat(head, F.array(F.lit("**")))).otherwise(head)
 
 
 def template_tree(counts: DataFrame, p: TreeParams) -> DataFrame:
-    """(host, shape, n, bad, good) -> (host, shape, template, t_bad, t_good): wildcards and merges applied."""
-    d = counts.withColumn("template", F.array().cast("array<string>")).checkpoint()
-    for level in range(1, p.levels + 2):
+    """(host, shape, n, bad, good) -> (host, shape, template, prior, t_bad, t_good): wildcards and merges applied."""
+    d = counts.withColumns({"template": F.array().cast("array<string>"), "prior": F.lit(float(p.prior))}).checkpoint()
+    level = 0
+    while True:
+        level += 1
+        nodes = d.groupBy("host", "template").agg(F.count("*").alias("shapes"), F.max(F.size("shape")).alias("longest"))
+        if nodes.where((F.col("shapes") > 1) & (F.col("longest") >= level)).isEmpty():
+            break
         # the child of this level; shorter paths end here
         child = F.when(F.size("shape") >= level, F.element_at("shape", F.lit(level)))
         d = d.withColumn("child", child)
@@ -127,13 +139,21 @@ def template_tree(counts: DataFrame, p: TreeParams) -> DataFrame:
             .otherwise(F.col("child"))
         )
         names = node.select(
-            F.col("host").alias("n_host"), F.col("template").alias("n_template"), F.col("child").alias("n_child"), name.alias("name")
+            F.col("host").alias("n_host"),
+            F.col("template").alias("n_template"),
+            F.col("child").alias("n_child"),
+            name.alias("name"),
+            (F.col("tb") + F.col("tg")).alias("labels"),
+            "tb",
         )
         same = (
             (d["host"] == names["n_host"])
             & (d["template"] == names["n_template"])
             & d["child"].eqNullSafe(names["n_child"])
         )
+        # this node is the nearest labelled ancestor of what goes on below it
+        below = F.col("name").isNotNull() & (F.col("labels") > 0)
+        share = (F.col("tb") + p.strength * F.col("prior")) / (F.col("labels") + p.strength)
         d = d.join(names, same).select(
             "host",
             "shape",
@@ -141,8 +161,11 @@ def template_tree(counts: DataFrame, p: TreeParams) -> DataFrame:
             "bad",
             "good",
             F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.array("name"))).alias("template"),
+            F.when(below, share).otherwise(F.col("prior")).alias("prior"),
         ).checkpoint()  # each level reads the last one several times
-    leaf = d.groupBy("host", "template").agg(F.sum("bad").alias("t_bad"), F.sum("good").alias("t_good"))
+    rest = F.slice("shape", F.lit(level), F.greatest(F.size("shape") - (level - 1), F.lit(0)))
+    d = d.withColumn("template", F.concat("template", rest))
+    leaf = d.groupBy("host", "template").agg(F.max("prior").alias("prior"), F.sum("bad").alias("t_bad"), F.sum("good").alias("t_good"))
     return d.select("host", "shape", "template").join(leaf, ["host", "template"])
 
 
@@ -187,7 +210,7 @@ def judge_urls(
         F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good")
     )
     tree = template_tree(counts, params)
-    purity = (F.col("t_bad") + params.strength * params.prior) / (F.col("t_bad") + F.col("t_good") + params.strength)
+    purity = (F.col("t_bad") + params.strength * F.col("prior")) / (F.col("t_bad") + F.col("t_good") + params.strength)
     tree = tree.select(
         F.col("host").alias("t_host"),
         F.col("shape").alias("t_shape"),

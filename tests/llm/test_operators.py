@@ -331,6 +331,18 @@ def test_url_filter(spark):
     assert url_filters.judge_urls(df.limit(0), RULES).count() == 0
 
 
+def test_url_filter_unlabelled_branches(spark):
+    urls = [f"http://a.example.com/en/{x}" for x in "abcdefghijklmnopqrstuvwxyz"] + ["http://a.example.com/fr/x"]
+    urls += ["http://b.org/fr/x", "http://b.org/1/2/3/4/left/x", "http://b.org/1/2/3/4/right/y"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filters.judge_urls(df, [("block", "example.com/en/")]).collect()}
+    assert len(got) == len(urls)
+    # the branch has no label, its host has 26 bad ones
+    assert got[26].rule is None and got[26].verdict == "block" and got[26].purity == round((26 + 4 * 0.2) / 30, 6)
+    assert (got[27].verdict, got[27].purity) == ("allow", 0.2)
+    assert (got[28].template, got[29].template) == ("/*/*/*/*/left/x", "/*/*/*/*/right/y")
+
+
 def test_secrets(spark, docs):
     key = "Zx9" + "q7Lw2Vt8Rb4Nc6" * 2
     texts = {
