@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordersight.llm import bpe, exact_dedup, html_text, mixing, ngram_join, passages, quality_rules, resampling, secrets, url_filters
+from ordersight.llm import (
+    bpe,
+    collision_ann,
+    exact_dedup,
+    hard_negatives,
+    html_text,
+    mixing,
+    ngram_join,
+    passages,
+    periodic_runs,
+    quality_rules,
+    resampling,
+    secrets,
+    url_filters,
+)
 from ordersight.llm.common import table
 from ordersight.llm.oracles import ORACLE  # noqa: F401
 
@@ -64,6 +78,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op11_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), planted=True))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", label), F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -77,5 +105,8 @@ QUERIES: dict[str, Query] = {
         op8_passage_dedup,
         op9_byte_bpe,
         op10_exact_dedup,
+        op11_collision_ann,
+        op12_periodic_runs,
+        op13_hard_negatives,
     )
 }
