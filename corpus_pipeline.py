@@ -47,10 +47,12 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Neither reading files nor encoding keeps rows in order, so the schedule comes back
     as columns: the mix is deterministic and numbered again over the same rows.
     """
-    columns = ("doc_id", "source", "slot", "in_block")
-    placed = mixing.placed_rows(docs).select(*columns, "text").checkpoint()
-    encoded = bpe.encode(placed, carry=columns)
-    return encoded.select(*columns, F.size("ids").cast("long").alias("n_tokens"), "ids")
+    # the input row stays one struct, so that none of its columns can clash with the place
+    placed = mixing.placed_rows(docs).select(
+        F.struct("row.doc_id", "row.source", "slot", "in_block").alias("place"), F.col("row.text").alias("text")
+    )
+    encoded = bpe.encode(placed.checkpoint(), carry=("place",))
+    return encoded.select("place.*", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [
