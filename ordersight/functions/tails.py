@@ -1,32 +1,143 @@
 """Tail probabilities of the chi-square and normal distributions.
 
-Spark SQL has no incomplete-gamma or error function, so these are vectorised
-(Arrow-batched) pandas UDFs.  They run on the one-row-per-test result frames
-only, never on the data.
-
-The chi-square survival function is the regularised upper incomplete gamma
-function Q(k/2, x/2): the power series of the lower tail below the mean, the
-continued fraction above it, both run until they converge (a number of steps that
-grows with the square root of the degrees of freedom, in constant memory).  The
-scale is kept in log space, so extreme tails underflow cleanly to 0.0.
+Spark SQL has no incomplete-gamma or error function; both are folds of built-in
+functions here (``chi2_tail``, ``normal_two_sided``, ``mann_whitney_tail``), so no Python
+runs on executors.  With a = k/2 and y = x/2 for k whole degrees of freedom:
+
+- up to y = a the lower tail is the power series
+  ``y^a e^-y / Gamma(a+1) * (1 + y/(a+1) + y^2/((a+1)(a+2)) + ...)``, as many terms as its
+  slowest case needs (some multiple of the square root of a);
+- above, the upper tail is finite, a sum of positive terms
+  ``y^j e^-y / Gamma(j+1)`` for j = a-1, a-2, ..., ending at 0 (even k), or at 1/2
+  with the tail of one degree of freedom added (odd k);
+- the tail of one degree of freedom, ``erfc(sqrt(y))``, is one minus the power series for small y,
+  and a continued fraction evaluated from its end for larger y.
+
+The scale is kept in log space, so extreme tails underflow to 0.0.  NULL or NaN
+arguments give NULL.
+
+The scalar functions below are the same definitions for the driver, and for the
+exact distribution of U.
 """
 
 from __future__ import annotations
 
 import math
-import sys
 
-import pandas as pd
-from pyspark import cloudpickle
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
-
-# The UDFs below are shipped to Python workers by value (code and helpers), so
-# executors need no installed copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _SQRT_HALF = math.sqrt(0.5)
 
+#: Terms of the continued fraction; 60 give full precision from y = 1.5 on.
+_FRACTION = 60
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _if_known(value: Column, *args: Column) -> Column:
+    known = F.lit(True)
+    for a in args:
+        known = known & a.isNotNull() & ~F.isnan(a)
+    return F.when(known, value)
+
+
+def _log_gamma(a: Column) -> Column:
+    """log Gamma of a positive multiple of one half."""
+    whole = F.floor(a) == a
+    start = F.when(whole, F.lit(0.0)).otherwise(F.lit(0.5 * math.log(math.pi)))
+    least = F.when(whole, F.lit(1.0)).otherwise(F.lit(0.5))
+    steps = F.sequence(F.lit(0), F.greatest(F.lit(0), (a - least).cast("int")))
+    # the last entry is the number of factors, so that no factor is an empty sequence
+    return F.aggregate(steps, start, lambda acc, i: acc + F.when(least + i < a, F.log(least + i)).otherwise(F.lit(0.0)))
+
+
+def _series(a: Column, y: Column) -> Column:
+    """1 + y/(a+1) + y^2/((a+1)(a+2)) + ... for y <= a + 1."""
+    terms = F.sequence(F.lit(1), (F.lit(60) + F.lit(20) * F.sqrt(a)).cast("int"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def step(acc: Column, i: Column) -> Column:
+        term = acc["term"] * y / (a + i)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    return F.aggregate(terms, start, step, lambda acc: acc["sum"])
+
+
+def _one_degree(y: Column) -> Column:
+    """erfc(sqrt(y))."""
+    half = F.lit(0.5)
+    lower = F.lit(1.0) - F.exp(half * F.log(y) - y) / F.lit(0.5 * math.sqrt(math.pi)) * _series(half, y)
+    # sqrt(y) e^-y / sqrt(pi) / (y + 1/2 / (1 + 1 / (y + 3/2 / (1 + 2 / (y + ...)))))
+    steps = F.sequence(F.lit(_FRACTION), F.lit(1), F.lit(-1))
+    tail = F.aggregate(steps, y, lambda acc, i: y + (i - half) / (F.lit(1.0) + i / acc))
+    upper = F.exp(half * F.log(y) - y) / F.lit(math.sqrt(math.pi)) / tail
+    return F.when(y <= 0, F.lit(1.0)).when(y < 1.5, lower).otherwise(upper)
+
+
+def chi2_tail(x: Column, k: Column) -> Column:
+    """P(X > x) for X ~ chi-square with a whole number ``k`` of degrees of freedom."""
+    x, k = x.cast("double"), F.round(k.cast("double"))
+
+    def upper(v: Column) -> Column:
+        a, y = v["a"], v["y"]
+        # from the largest power down; the last power is 0 or 1/2
+        last = F.when(F.floor(a) == a, F.lit(0.0)).otherwise(F.lit(0.5))
+        count = F.greatest(F.lit(0), (a - last).cast("int"))
+        top = F.exp((a - 1) * F.log(y) - y - v["lg"])
+        start = F.struct(F.when(count > 0, top).otherwise(F.lit(0.0)).alias("term"), F.lit(0.0).alias("sum"))
+
+        def step(acc: Column, i: Column) -> Column:
+            return F.struct((acc["term"] * (a - i) / y).alias("term"), (acc["sum"] + acc["term"]).alias("sum"))
+
+        terms = F.sequence(F.lit(1), F.greatest(F.lit(1), count))
+        total = F.aggregate(terms, start, step, lambda acc: acc["sum"])
+        return total + F.when(F.floor(a) == a, F.lit(0.0)).otherwise(_one_degree(y))
+
+    def lower(v: Column) -> Column:
+        a, y = v["a"], v["y"]
+        return F.exp(a * F.log(y) - y - v["lg"] - F.log(a)) * _series(a, y)
+
+    def tail(v: Column) -> Column:
+        p = F.when(v["y"] > v["a"], upper(v)).otherwise(F.lit(1.0) - lower(v))
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))
+
+    a = k / F.lit(2.0)
+    found = _let(F.struct(a.alias("a"), (x / F.lit(2.0)).alias("y"), _log_gamma(a).alias("lg")), tail)
+    one = F.lit(1.0)
+    return _if_known(F.when((k <= 0) | (x <= 0), one).when(k == 1, _one_degree(x / F.lit(2.0))).otherwise(found), x, k)
+
+
+def normal_two_sided(z: Column) -> Column:
+    """``2 * (1 - cdf(|z|))`` with the cancellation of that form, as the trend test's p-value is published."""
+    z = z.cast("double")
+    return _if_known(F.lit(2.0) * (F.lit(1.0) - (F.lit(1.0) - F.lit(0.5) * _one_degree(z * z / F.lit(2.0)))), z)
+
+
+def mann_whitney_tail(u1: Column, n1: Column, n2: Column, tie_sum: Column) -> Column:
+    """Two-sided asymptotic Mann-Whitney p with tie and continuity corrections; NULL without spread."""
+    u1, n1, n2, tie_sum = (c.cast("double") for c in (u1, n1, n2, tie_sum))
+    n = n1 + n2
+    u = F.greatest(u1, n1 * n2 - u1)
+    s = F.sqrt(F.greatest(F.lit(0.0), n1 * n2 / F.lit(12.0) * ((n + 1) - F.try_divide(tie_sum, n * (n - 1)))))
+    z = F.try_divide(u - n1 * n2 / F.lit(2.0) - F.lit(0.5), s)
+    # z is slightly below 0 where U is its mean
+    both = _let(z, lambda v: F.when(v >= 0, _one_degree(v * v / F.lit(2.0))).otherwise(F.lit(1.0)))
+    return F.when((n1 >= 1) & (n2 >= 1), _if_known(both, u1, n1, n2, tie_sum, z))
+
+
+def p_value_of(kind: Column, a: Column, b: Column, c: Column, d: Column) -> Column:
+    """The p-value of a kind of test: 'chi2' (a=statistic, b=dof), 'trend' (a=z),
+    'mw' (a=U, b=n1, c=n2, d=tie sum); NULL for others."""
+    return (
+        F.when(kind == "chi2", chi2_tail(a, b))
+        .when(kind == "trend", normal_two_sided(a))
+        .when(kind == "mw", mann_whitney_tail(a, b, c, d))
+    )
+
 
 def chi2_sf(x: float, k: float) -> float:
     """P(X > x) for X ~ chi-square with integer ``k`` degrees of freedom."""
@@ -127,37 +238,3 @@ def mann_whitney_p(u1: float, n1: float, n2: float, tie_sum: float, method: str
         return float("nan")
     z = (u - n1 * n2 / 2.0 - 0.5) / s
     return min(1.0, max(0.0, 2.0 * 0.5 * math.erfc(z * _SQRT_HALF)))
-
-
-def _nan(v) -> float:
-    return float("nan") if v is None or pd.isna(v) else float(v)
-
-
-@F.pandas_udf(DoubleType())
-def two_sided_udf(z: pd.Series) -> pd.Series:
-    return pd.Series([two_sided_from_cdf(_nan(v)) for v in z], dtype="float64")
-
-
-@F.pandas_udf(DoubleType())
-def chi2_sf_udf(x: pd.Series, k: pd.Series) -> pd.Series:
-    return pd.Series([chi2_sf(_nan(a), _nan(b)) for a, b in zip(x, k)], dtype="float64")
-
-
-def p_value(kind: str, a: float, b: float, c: float, d: float) -> float:
-    """Dispatch on the kind of test: 'chi2' (a=statistic, b=dof), 'trend' (a=z),
-    'mw' (a=U, b=n1, c=n2, d=tie sum); anything else -> NaN."""
-    if kind == "chi2":
-        return chi2_sf(a, b)
-    if kind == "trend":
-        return two_sided_from_cdf(a)
-    if kind == "mw":
-        return mann_whitney_p(a, b, c, d)
-    return float("nan")
-
-
-@F.pandas_udf(DoubleType())
-def p_value_udf(kind: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return pd.Series(
-        [p_value(k, _nan(w), _nan(x), _nan(y), _nan(z)) for k, w, x, y, z in zip(kind, a, b, c, d)],
-        dtype="float64",
-    )

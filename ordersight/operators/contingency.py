@@ -9,8 +9,11 @@ centred terms
 
     chi2 = sum_i (o1_i - R_i p)^2 / (R_i p (1 - p)),   p = C1 / N
 
-with p from a scalar subquery over the same counts, so that large counts do not
-cancel.  For a 2 x 2 table the Yates continuity correction is
+The counts are evaluated once: they fold into an array together with their totals, and
+the centred terms are summed over the array, so that large counts do not cancel.
+Where the levels are not bounded (sellers) the counts fold in ``buckets`` arrays, each
+centred on its own share, and the arrays' sums are moved to the common share:
+sum_b [dev_b + N_b (p_b - p)^2].  For a 2 x 2 table the Yates continuity correction is
 applied as the library default does when dof = 1 (each |O - E| is reduced by
 min(0.5, |O - E|)); Cramér's V always uses the uncorrected statistic.
 """
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordersight.functions.tails import two_sided_udf
+from ordersight.functions.tails import normal_two_sided
 
 
 def two_column_counts(df: DataFrame, row: str | Column, flag: str | Column, row_name: str = "row") -> DataFrame:
@@ -34,12 +37,22 @@ def two_column_counts(df: DataFrame, row: str | Column, flag: str | Column, row_
     )
 
 
+def _folded(cells: str, share: Column) -> Column:
+    """sum_i (o1_i - R_i share)^2 / R_i over an array of cells."""
+    return F.aggregate(
+        cells,
+        F.lit(0.0),
+        lambda acc, x: acc + F.pow(x["o1"] - x["_R"] * share, F.lit(2.0)) / x["_R"],
+    )
+
+
 def chi2_two_column(
     counts: DataFrame,
     row_name: str = "row",
     yates: bool = True,
     score: str | Column | None = None,
     extra: tuple[Column, ...] = (),
+    buckets: int = 1,
 ) -> DataFrame:
     """One-row DataFrame: n, rows, cols, dof, chi2, chi2_uncorrected, cramers_v.
 
@@ -47,20 +60,23 @@ def chi2_two_column(
     observations is dropped as well.  With ``score`` the two-sided
     Cochran-Armitage trend z over the levels is added (``o1`` is the outcome of
     interest).  ``extra`` aggregates over the counts table are carried along in
-    the same single aggregation.
+    the same single aggregation.  With one bucket the levels must be few enough for one
+    array; more ``buckets`` spread any number of levels (without ``score`` and ``extra``).
     """
+    if buckets > 1 and (extra or score is not None):
+        raise ValueError("score and extra aggregates need a single bucket")
     t = counts.withColumn("_R", F.col("o0") + F.col("o1")).where(F.col("_R") > 0)
-    # share of outcome 1 over all levels, taken first: deviations from it are summed below
-    share = t.agg(F.try_divide(F.sum("o1").cast("double"), F.sum("_R").cast("double"))).scalar()
-    off = F.col("o1") - F.col("_R") * share
+    ends = [
+        F.min(F.struct(F.col(row_name).alias("row"), "o0", "o1")).alias("_x"),
+        F.max(F.struct(F.col(row_name).alias("row"), "o0", "o1")).alias("_y"),
+    ]
     aggs = [
         F.sum("_R").cast("double").alias("n"),
         F.sum("o0").cast("double").alias("c0"),
         F.sum("o1").cast("double").alias("c1"),
-        F.sum(off * off / F.col("_R")).alias("dev"),
         F.count(F.lit(1)).alias("rows"),
-        F.min_by(F.struct("o0", "o1"), row_name).alias("_x"),
-        F.max_by(F.struct("o0", "o1"), row_name).alias("_y"),
+        F.sort_array(F.collect_list(F.struct("_R", "o1"))).alias("cells"),
+        *ends,
     ]
     if score is not None:
         sc = (F.col(score) if isinstance(score, str) else score).cast("double")
@@ -69,7 +85,23 @@ def chi2_two_column(
             F.sum(F.col("_R") * sc).alias("_snt"),
             F.sum(F.col("_R") * sc * sc).alias("_sntt"),
         ]
-    agg = t.agg(*aggs, *extra)
+    if buckets > 1:
+        parts = t.groupBy(F.pmod(F.xxhash64(row_name), F.lit(buckets)).alias("_b")).agg(*aggs)
+        own = F.try_divide(F.col("c1"), F.col("n"))
+        parts = parts.withColumn("dev", _folded("cells", own)).withColumn("share", own).drop("cells")
+        agg = parts.agg(
+            *[F.sum(c).alias(c) for c in ("n", "c0", "c1")],
+            F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+            F.sort_array(F.collect_list(F.struct("n", "share", "dev"))).alias("parts"),
+            F.min("_x").alias("_x"),
+            F.max("_y").alias("_y"),
+        )
+        share = F.try_divide(F.col("c1"), F.col("n"))
+        moved = F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + x["dev"] + x["n"] * F.pow(x["share"] - share, F.lit(2.0)))
+        agg = agg.withColumn("dev", moved).drop("parts")
+    else:
+        agg = t.agg(*aggs, *extra)
+        agg = agg.withColumn("dev", _folded("cells", F.try_divide(F.col("c1"), F.col("n")))).drop("cells")
     n, c0, c1 = F.col("n"), F.col("c0"), F.col("c1")
     cols = (c0 > 0).cast("int") + (c1 > 0).cast("int")
     # one empty column says nothing (0); without rows there is no statistic (NULL)
@@ -105,7 +137,7 @@ def chi2_two_column(
 
 def cochran_armitage(counts: DataFrame, score: str | Column) -> DataFrame:
     """Two-sided Cochran-Armitage trend z and its p-value over per-level counts (``o0``, ``o1``) and scores."""
-    return chi2_two_column(counts, score=score).select("trend_z", two_sided_udf("trend_z").alias("p_value"))
+    return chi2_two_column(counts, score=score).select("trend_z", normal_two_sided(F.col("trend_z")).alias("p_value"))
 
 
 def odds_ratio_expr(a="a", b="b", c="c", d="d") -> Column:

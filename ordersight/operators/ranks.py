@@ -8,6 +8,9 @@ running sum is itself distributed (range-sorted positions plus per-partition
 offsets, see ``tiles.global_running_sums``), so even a value table as large as
 the data never lands in one task.
 
+Medians per group come from the same histogram: the running count over (group, value)
+tells which values hold a group's two middle ranks.
+
 Cliff's delta follows from U without any pairwise work: delta = 2U/(n1 n2) - 1.
 """
 
@@ -23,6 +26,29 @@ def value_histogram(df: DataFrame, value: str, group: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(value, group).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def group_medians(df: DataFrame, value: str, group: str) -> DataFrame:
+    """(group, median, n): exact median of the non-NULL values of every group (NULL groups count as one).
+
+    Weighted selection on running counts: no group is gathered, however many values it has.
+    """
+    hist = value_histogram(df, value, group)
+    run = global_running_sums(hist, [F.col(group), F.col(value)], ["cnt"])
+    sizes = hist.groupBy(F.col(group).alias("_g")).agg(F.sum("cnt").alias("n"))
+    starts = global_running_sums(sizes, [F.col("_g")], ["n"]).withColumn("_before", F.col("cum_n") - F.col("n"))
+    j = run.join(starts, F.col(group).eqNullSafe(F.col("_g")))
+    to, n = F.col("cum_cnt") - F.col("_before"), F.col("n")
+    low, high = F.floor((n + 1) / F.lit(2)), F.floor((n + 2) / F.lit(2))  # the middle ranks
+    first = to - F.col("cnt") + 1
+    middle = [(first <= r) & (r <= to) for r in (low, high)]
+    x = F.col(value).cast("double")
+    return (
+        j.where(middle[0] | middle[1])
+        .groupBy(group, "n")
+        .agg(((F.max(F.when(middle[0], x)) + F.max(F.when(middle[1], x))) / F.lit(2.0)).alias("median"))
+        .select(group, "median", "n")
+    )
+
+
 def rank_tests(df: DataFrame, value: str, group: str, first: str, second: str) -> DataFrame:
     """Kruskal-Wallis over all groups and Mann-Whitney (first vs second) in one plan.
 

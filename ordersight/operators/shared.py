@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 
 _ANCHORS: dict[int, object] = {}
 _MEMO: dict[tuple[int, str], DataFrame] = {}
+_VALUES: dict[tuple[int, str], object] = {}
 
 
 def register_anchor(obj: object) -> None:
@@ -36,10 +37,22 @@ def shared(anchor: object, key: str, build: Callable[[], DataFrame]) -> DataFram
     return df
 
 
+def remembered(anchor: object, key: str, find: Callable[[], object]) -> object:
+    """A few plain values (such as the rows at tile cuts) found once per long-lived ``anchor``."""
+    if _ANCHORS.get(id(anchor)) is not anchor:
+        return find()
+    k = (id(anchor), key)
+    if k not in _VALUES:
+        _VALUES[k] = find()
+    return _VALUES[k]
+
+
 def release_anchor(anchor: object) -> int:
     """Unpersist every intermediate built for ``anchor`` and forget it; returns the count."""
     keys = [k for k in _MEMO if k[0] == id(anchor)]
     for k in keys:
         _MEMO.pop(k).unpersist()
+    for k in [k for k in _VALUES if k[0] == id(anchor)]:
+        del _VALUES[k]
     _ANCHORS.pop(id(anchor), None)
     return len(keys)

@@ -1,31 +1,29 @@
-"""Exact global positions without a single-partition window.
-
-Used for tiles (NTILE / qcut), and for running sums and minima over a global
-order (mid-ranks of the rank tests, the Benjamini-Hochberg adjustment).
+"""Exact global tiles and running aggregates without a single-partition window.
 
 ``NTILE(k) OVER (ORDER BY x)`` with no PARTITION BY makes Spark move every row
-into one partition.  Here the exact global position of each row is derived
-instead:
+into one partition.  A tile only depends on where its last row lies, so the k - 1
+rows at the cuts are selected by counting (``operators.selection``) and a row's tile is a
+comparison with them: no sort, no shuffle and no copy of the data.  One selection
+serves both rules:
+
+- ``ntile``: SQL NTILE - the first ``n mod k`` tiles get one extra row;
+- ``qcut``: pandas ``qcut(rank(method="first"), k)`` - row ``r`` falls after the
+  cut ``ceil(j * (n - 1) / k)``.  This closed form reproduces pandas' edge
+  computation, including its floating-point behaviour when ``(n - 1)`` is a
+  multiple of ``k``; checked for k = 3.
+
+Running sums and minima over a global order (mid-ranks of the rank tests, medians, the
+Benjamini-Hochberg adjustment) run over histograms and tables of tests:
 
-1. ``orderBy(keys)`` - a range-partitioned sort.  The keys end with a unique
-   column, so even one value held by a third of all rows is split across many
-   range partitions.
+1. ``orderBy(keys)`` - a range-partitioned sort of the histogram.
 2. ``monotonically_increasing_id`` right after the sort encodes
    ``(partition index << 33) + position inside the partition``.
 3. The result is checkpointed (reliable storage under ``spark.checkpoint.dir``)
    so the positions are fixed once, even if executors are lost later.
-4. Per-partition row counts (one row per partition) -> running offsets via a
+4. Per-partition totals (one row per partition) -> running offsets via a
    window over that small table -> broadcast back on the partition index.
    The broadcast side has one row per partition: its size is bounded by the
    partition count, not by the data.
-5. ``rank = offset + position + 1`` and the tile follows by integer arithmetic.
-
-Two tiling rules are provided:
-- ``ntile``: SQL NTILE - the first ``n mod k`` tiles get one extra row;
-- ``qcut``: pandas ``qcut(rank(method="first"), k)`` - row ``r`` falls after the
-  cut ``ceil(j * (n - 1) / k)``.  This closed form reproduces pandas' edge
-  computation, including its floating-point behaviour when ``(n - 1)`` is a
-  multiple of ``k``; checked for k = 3.
 """
 
 from __future__ import annotations
@@ -33,6 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ordersight.operators.selection import after, rows_at
 from ordersight.session import ensure_checkpoint_dir
 
 _POS_BITS = 33
@@ -97,34 +96,34 @@ def global_running_sums(
     return global_running(df, order_cols, value_cols, "sum", prefix)
 
 
-def ntile_from_rank(rank: str, total: str, k: int) -> Column:
-    """SQL NTILE(k) of 1-based ``rank`` among ``total`` rows."""
-    base = f"({total} div {k})"
-    extra = f"({total} % {k})"
-    threshold = f"({extra} * ({base} + 1))"
-    return F.expr(
-        f"CASE WHEN {rank} <= {threshold} THEN ({rank} - 1) div ({base} + 1) + 1 "
-        f"ELSE {extra} + ({rank} - {threshold} - 1) div {base} + 1 END"
-    ).cast("int")
+def cut_positions(n: int, k: int) -> dict[str, tuple[float, int]]:
+    """Per rule and cut j: (j / k, position of the last row before the cut among ``n``)."""
+    base, extra = divmod(n, k)
+    out = {}
+    for j in range(1, k):
+        out[f"ntile{j}"] = (j / k, j * base + min(j, extra))
+        out[f"qcut{j}"] = (j / k, (j * (n - 1) + k - 1) // k if n else 0)
+    return out
 
 
-def qcut_from_rank(rank: str, total: str, k: int) -> Column:
-    """pandas ``qcut(rank, k)`` label (1..k) of 1-based ``rank`` among ``total`` rows."""
-    terms = " + ".join(
-        f"CASE WHEN {rank} > ({j} * ({total} - 1) + {k - 1}) div {k} THEN 1 ELSE 0 END" for j in range(1, k)
-    )
-    return F.expr(f"1 + {terms}").cast("int")
+def tile_cuts(df: DataFrame, order_cols: list[Column], k: int = 3) -> dict[str, tuple]:
+    """The rows at the cuts of both rules: three small jobs over ``df``."""
+    return rows_at(df, order_cols, lambda n: cut_positions(n, k))[1]
+
+
+def tile_of(order_cols: list[Column], cuts: dict[str, tuple], k: int = 3, method: str = "ntile") -> Column:
+    """Tile (1..k) of a row by comparison with the cuts."""
+    if method not in ("ntile", "qcut"):
+        raise ValueError(f"unknown tiling method {method!r}")
+    tile = F.lit(1)
+    for j in range(1, k):
+        tile = tile + after(order_cols, cuts.get(f"{method}{j}")).cast("int")
+    return tile
 
 
 def add_tiles(
     df: DataFrame, order_cols: list[str | Column], k: int = 3, method: str = "ntile", tile_col: str = "tile"
 ) -> DataFrame:
     """Exact tiles over the whole DataFrame; ``order_cols`` must end with a unique key."""
-    ranked = global_ranks(df, order_cols)
-    if method == "ntile":
-        tile = ntile_from_rank("_rank", "_total", k)
-    elif method == "qcut":
-        tile = qcut_from_rank("_rank", "_total", k)
-    else:
-        raise ValueError(f"unknown tiling method {method!r}")
-    return ranked.withColumn(tile_col, tile).drop("_rank", "_total")
+    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    return df.withColumn(tile_col, tile_of(cols, tile_cuts(df, cols, k), k, method))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordersight.functions.columns import (
     DELAY_BUCKETS,
     delay_bucket,
     delivery_status,
+    elapsed_days,
     item_complexity,
     label_ordinal,
     rate_pct,
@@ -141,11 +142,16 @@ def delay_population(mart: DataFrame) -> DataFrame:
     )
 
 
+def elapsed_delay_days() -> Column:
+    """Whole elapsed days from the estimate to the delivery, floored: the tests' day count."""
+    return elapsed_days("order_delivered_customer_date", "order_estimated_delivery_date")
+
+
 def h1_rate_table(mart: DataFrame) -> DataFrame:
-    """Q35 (H1 part): delay bucket x low review counts with the low-review rate."""
+    """Q35 (H1 part): delay bucket (elapsed days) x low review counts with the low-review rate."""
     t = (
         delay_population(mart)
-        .withColumn("delay_bucket", delay_bucket("delivery_delay_days"))
+        .withColumn("delay_bucket", delay_bucket(elapsed_delay_days()))
         .groupBy("delay_bucket")
         .agg(
             F.count_if(F.col("is_low_review") == 0).alias("not_low_orders"),

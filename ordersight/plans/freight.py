@@ -8,7 +8,7 @@ crosstab, in whether the lateness filter runs before or after tiling.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordersight.functions.columns import (
@@ -19,34 +19,46 @@ from ordersight.functions.columns import (
     tercile_label,
 )
 from ordersight.operators.mart import delivered_reviewed
-from ordersight.operators.shared import shared
-from ordersight.operators.tiles import add_tiles
+from ordersight.operators.shared import remembered
+from ordersight.operators.tiles import tile_cuts, tile_of
 from ordersight.plans.descriptive import avg_score_2dp, flag_rate_2dp
 
 
+def _has_ratio() -> Column:
+    return F.col("item_revenue").isNotNull() & (F.col("item_revenue") > 0) & F.col("freight_revenue").isNotNull()
+
+
+def freight_ratio() -> Column:
+    return F.col("freight_revenue").cast("double") / F.col("item_revenue").cast("double")
+
+
 def freight_base(mart: DataFrame, late_known: bool = False) -> DataFrame:
-    base = delivered_reviewed(mart).where(
-        F.col("item_revenue").isNotNull() & (F.col("item_revenue") > 0) & F.col("freight_revenue").isNotNull()
-    )
+    base = delivered_reviewed(mart).where(_has_ratio())
     if late_known:
         base = base.where(F.col("is_late_delivery").isNotNull())
-    return base.select(
-        "order_id",
-        "review_score",
-        "is_low_review",
-        "is_late_delivery",
-        (F.col("freight_revenue").cast("double") / F.col("item_revenue").cast("double")).alias("freight_ratio"),
-    )
+    return base.select("order_id", "review_score", "is_low_review", "is_late_delivery", freight_ratio().alias("freight_ratio"))
+
+
+def _order() -> list[Column]:
+    return [F.col("freight_ratio"), F.col("order_id")]
+
+
+def _cuts(mart: DataFrame, late_known: bool) -> dict:
+    base = freight_base(mart, late_known)
+    return remembered(mart, f"freight_cuts_{late_known}", lambda: tile_cuts(base, _order()))
 
 
-def with_terciles(base: DataFrame, method: str) -> DataFrame:
-    return add_tiles(base, [F.col("freight_ratio"), F.col("order_id")], 3, method, "freight_ratio_tercile")
+def with_freight_tercile(orders: DataFrame, mart: DataFrame, method: str) -> DataFrame:
+    """``orders`` of the mart with ``freight_ratio_tercile``, NULL outside the freight population."""
+    rated = orders.withColumn("freight_ratio", F.when(_has_ratio(), freight_ratio()))
+    tile = tile_of(_order(), _cuts(mart, False), 3, method)
+    return rated.withColumn("freight_ratio_tercile", F.when(F.col("freight_ratio").isNotNull(), tile))
 
 
 def terciles(mart: DataFrame, method: str, late_known: bool = False) -> DataFrame:
-    """Freight base with exact terciles, built once per persisted mart."""
-    return shared(
-        mart, f"terciles_{method}_{late_known}", lambda: with_terciles(freight_base(mart, late_known), method)
+    """Freight base with exact terciles; the cuts of both rules are selected once per mart and population."""
+    return freight_base(mart, late_known).withColumn(
+        "freight_ratio_tercile", tile_of(_order(), _cuts(mart, late_known), 3, method)
     )
 
 

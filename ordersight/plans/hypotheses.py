@@ -18,7 +18,7 @@ from ordersight.functions.columns import (
     review_group_cut,
     round_half_up,
 )
-from ordersight.functions.tails import chi2_sf_udf
+from ordersight.functions.tails import chi2_tail
 from ordersight.operators.contingency import (
     chi2_2x2_expr,
     chi2_two_column,
@@ -35,11 +35,15 @@ from ordersight.operators.grains import on_time_item_grain, seller_order_grain
 from ordersight.operators.mart import delivered_reviewed
 from ordersight.operators.ranks import rank_tests
 from ordersight.operators.shared import shared
-from ordersight.plans.descriptive import delay_population
-from ordersight.plans.freight import terciles
+from ordersight.plans.descriptive import elapsed_delay_days
+from ordersight.plans.freight import with_freight_tercile
 from ordersight.plans.retention import repeaters_elapsed
 
 
+#: Arrays that the sellers' counts fold into.
+SELLER_BUCKETS = 256
+
+
 def _r(c: str | Column, d: int) -> Column:
     return round_half_up(F.col(c) if isinstance(c, str) else c, d)
 
@@ -47,25 +51,76 @@ def _r(c: str | Column, d: int) -> Column:
 # ---------------------------------------------------------------------------
 # Populations
 # ---------------------------------------------------------------------------
+#: Grouping sets of the shared counts: what each test's table is counted by.
+_DIMENSIONS = ("bucket", "state", "tercile", "multi", "late", "low")
+_SETS = {
+    "delay": ("bucket", "low"),
+    "state": ("state", "late", "low"),
+    "freight": ("tercile", "low"),
+    "complexity": ("multi", "late", "low"),
+}
+
+
+def order_test_counts(mart: DataFrame) -> DataFrame:
+    """Counts of all tests at the order grain (H1, H5, H5b, H6, H8), from one pass over the fact table.
+
+    One aggregate by grouping sets; ``gid`` tells the sets apart.  A dimension is NULL
+    for orders outside its test's population.
+    """
+
+    def build() -> DataFrame:
+        dated = F.col("delivery_delay_days").isNotNull() & F.col("is_late_delivery").isNotNull()
+        facts = with_freight_tercile(delivered_reviewed(mart), mart, "qcut").select(
+            F.when(dated, delay_bucket_ordinal(elapsed_delay_days())).alias("bucket"),
+            F.when(dated, F.col("customer_state")).alias("state"),
+            F.col("freight_ratio_tercile").alias("tercile"),
+            (F.col("item_count") > 1).cast("int").alias("multi"),
+            F.col("is_late_delivery").alias("late"),
+            F.col("is_low_review").alias("low"),
+        )
+        sets = [[F.col(c) for c in s] for s in _SETS.values()]
+        counts = facts.groupingSets(sets, *[F.col(c) for c in _DIMENSIONS])
+        return counts.agg(F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"))
+
+    return shared(mart, "order_test_counts", build)
+
+
+def _counts_of(mart: DataFrame, name: str, *known: str) -> DataFrame:
+    """The rows of one grouping set whose ``known`` dimensions are present."""
+    gid = sum(1 << i for i, c in enumerate(reversed(_DIMENSIONS)) if c not in _SETS[name])
+    rows = order_test_counts(mart).where(F.col("gid") == gid)
+    for c in known:
+        rows = rows.where(F.col(c).isNotNull())
+    return rows
+
+
+def _n_if(condition: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+
+def _by_low(rows: DataFrame, dimension: str) -> DataFrame:
+    low = F.col("low")
+    return rows.groupBy(F.col(dimension).alias("row")).agg(_n_if(low == 0).alias("o0"), _n_if(low == 1).alias("o1"))
+
+
 def h5_counts(mart: DataFrame, min_orders: int) -> DataFrame:
     """State x low-review counts of the states with at least ``min_orders`` orders."""
-    counts = delay_population(mart).where(F.col("customer_state").isNotNull()).groupBy(F.col("customer_state").alias("row"))
-    low = F.col("is_low_review")
-    counts = counts.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(low == 0).alias("o0"), F.count_if(low == 1).alias("o1")
-    )
-    return counts.where(F.col("n") >= min_orders).drop("n")
+    return _by_low(_counts_of(mart, "state", "state"), "state").where(F.col("o0") + F.col("o1") >= min_orders)
 
 
 def h9_counts(raw: dict[str, DataFrame], min_items: int) -> DataFrame:
     """On-time items: category x low-review item counts (o0 = not low, o1 = low),
     categories with at least ``min_items`` items."""
-    g = on_time_item_grain(raw)
-    low = F.col("is_low_review") == 1
-    counts = g.groupBy(F.col("category").alias("row")).agg(
-        F.sum(F.when(~low, F.col("n_items")).otherwise(F.lit(0))).alias("o0"),
-        F.sum(F.when(low, F.col("n_items")).otherwise(F.lit(0))).alias("o1"),
-    )
+
+    def build() -> DataFrame:
+        g = on_time_item_grain(raw)
+        low = F.col("is_low_review") == 1
+        return g.groupBy(F.col("category").alias("row")).agg(
+            F.sum(F.when(~low, F.col("n_items")).otherwise(F.lit(0))).alias("o0"),
+            F.sum(F.when(low, F.col("n_items")).otherwise(F.lit(0))).alias("o1"),
+        )
+
+    counts = shared(raw, "on_time_category_counts", build)
     return counts.where(F.col("o0") + F.col("o1") >= min_items)
 
 
@@ -102,132 +157,97 @@ def h10_first_orders(mart: DataFrame, cutoff: str) -> DataFrame:
 # Unrounded statistics
 # ---------------------------------------------------------------------------
 def h1_stats(mart: DataFrame) -> DataFrame:
-    """Delay bucket (ordinal 0..3) vs low review: chi2, dof, V, Cochran-Armitage z."""
-
-    def build() -> DataFrame:
-        counts = two_column_counts(delay_population(mart), delay_bucket_ordinal("delivery_delay_days"), "is_low_review")
-        return chi2_two_column(counts, score="row")
-
-    return shared(mart, "h1_stats", build)
+    """Delay bucket (ordinal 0..3, elapsed days) vs low review: chi2, dof, V, Cochran-Armitage z."""
+    return chi2_two_column(_by_low(_counts_of(mart, "delay", "bucket"), "bucket"), score="row")
 
 
 def h5_stats(mart: DataFrame, min_orders: int) -> DataFrame:
-
-    def build() -> DataFrame:
-        return chi2_two_column(h5_counts(mart, min_orders))
-
-    return shared(mart, f"h5_stats_{min_orders}", build)
+    return chi2_two_column(h5_counts(mart, min_orders))
 
 
 def h5b_strata(mart: DataFrame, min_orders: int) -> DataFrame:
     """Per state 2 x 2: rows late 0/1, columns low 0/1 -> a=(0,0) b=(0,1) c=(1,0) d=(1,1)."""
-    late, low = F.col("is_late_delivery"), F.col("is_low_review")
+    late, low = F.col("late"), F.col("low")
     return (
-        delay_population(mart)
-        .where(F.col("customer_state").isNotNull())
-        .groupBy("customer_state")
+        _counts_of(mart, "state", "state")
+        .groupBy(F.col("state").alias("customer_state"))
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if((late == 0) & (low == 0)).alias("a"),
-            F.count_if((late == 0) & (low == 1)).alias("b"),
-            F.count_if((late == 1) & (low == 0)).alias("c"),
-            F.count_if((late == 1) & (low == 1)).alias("d"),
+            F.sum("n").alias("n"),
+            _n_if((late == 0) & (low == 0)).alias("a"),
+            _n_if((late == 0) & (low == 1)).alias("b"),
+            _n_if((late == 1) & (low == 0)).alias("c"),
+            _n_if((late == 1) & (low == 1)).alias("d"),
         )
         .where(F.col("n") >= min_orders)
     )
 
 
 def h5b_stats(mart: DataFrame, min_orders: int, min_stratum_n: int) -> DataFrame:
-
-    def build() -> DataFrame:
-        return mantel_haenszel(h5b_strata(mart, min_orders), min_stratum_n)
-
-    return shared(mart, f"h5b_stats_{min_orders}_{min_stratum_n}", build)
+    return mantel_haenszel(h5b_strata(mart, min_orders), min_stratum_n)
 
 
 def h6_stats(mart: DataFrame) -> DataFrame:
     """qcut freight-ratio tercile (scores 1..3) vs low review."""
-
-    def build() -> DataFrame:
-        t = terciles(mart, "qcut")
-        return chi2_two_column(two_column_counts(t, "freight_ratio_tercile", "is_low_review"), score="row")
-
-    return shared(mart, "h6_stats", build)
+    return chi2_two_column(_by_low(_counts_of(mart, "freight", "tercile"), "tercile"), score="row")
 
 
 def h8_stats(mart: DataFrame) -> DataFrame:
     """Multi-item vs low review: Yates chi2 and OR of the whole table, MH across lateness.
 
-    One ``groupBy(is_late)`` (three strata incl. unknown lateness) feeds a single
-    aggregate: whole-table cells sum over all strata, the MH sums skip the
-    unknown one.
+    Three strata (lateness 0, 1 and unknown) feed a single aggregate: whole-table
+    cells sum over all strata, the MH sums skip the unknown one.
     """
-
-    def build() -> DataFrame:
-        comp = delivered_reviewed(mart).where(F.col("item_count").isNotNull())
-        multi, low = (F.col("item_count") > 1).cast("int"), F.col("is_low_review")
-        strata = comp.groupBy("is_late_delivery").agg(
-            F.count_if((multi == 0) & (low == 0)).cast("double").alias("a"),
-            F.count_if((multi == 0) & (low == 1)).cast("double").alias("b"),
-            F.count_if((multi == 1) & (low == 0)).cast("double").alias("c"),
-            F.count_if((multi == 1) & (low == 1)).cast("double").alias("d"),
-        )
-        agg = strata.agg(
-            *[F.sum(x).alias(f"t_{x}") for x in "abcd"],
-            *mh_aggregates(F.col("is_late_delivery").isNotNull()),
-        )
-        # Odds ratio with rows [multi=1, multi=0] x columns [low=1, low=0].
-        return agg.select(
-            (F.col("t_a") + F.col("t_b") + F.col("t_c") + F.col("t_d")).cast("long").alias("n"),
-            F.lit(1).alias("dof"),
-            chi2_2x2_expr("t_a", "t_b", "t_c", "t_d", yates=True).alias("chi2"),
-            odds_ratio_expr("t_d", "t_c", "t_b", "t_a").alias("odds_ratio"),
-            mh_statistic().alias("mh_statistic"),
-            mh_pooled_odds_ratio().alias("mh_pooled_odds_ratio"),
+    multi, low = F.col("multi"), F.col("low")
+    strata = (
+        _counts_of(mart, "complexity", "multi")
+        .groupBy(F.col("late").alias("is_late_delivery"))
+        .agg(
+            _n_if((multi == 0) & (low == 0)).cast("double").alias("a"),
+            _n_if((multi == 0) & (low == 1)).cast("double").alias("b"),
+            _n_if((multi == 1) & (low == 0)).cast("double").alias("c"),
+            _n_if((multi == 1) & (low == 1)).cast("double").alias("d"),
         )
-
-    return shared(mart, "h8_stats", build)
+    )
+    agg = strata.agg(
+        *[F.sum(x).alias(f"t_{x}") for x in "abcd"],
+        *mh_aggregates(F.col("is_late_delivery").isNotNull()),
+    )
+    # Odds ratio with rows [multi=1, multi=0] x columns [low=1, low=0].
+    return agg.select(
+        (F.col("t_a") + F.col("t_b") + F.col("t_c") + F.col("t_d")).cast("long").alias("n"),
+        F.lit(1).alias("dof"),
+        chi2_2x2_expr("t_a", "t_b", "t_c", "t_d", yates=True).alias("chi2"),
+        odds_ratio_expr("t_d", "t_c", "t_b", "t_a").alias("odds_ratio"),
+        mh_statistic().alias("mh_statistic"),
+        mh_pooled_odds_ratio().alias("mh_pooled_odds_ratio"),
+    )
 
 
 def h9_stats(raw: dict[str, DataFrame], min_items: int) -> DataFrame:
-
-    def build() -> DataFrame:
-        counts = h9_counts(raw, min_items)
-        overall = (F.lit(100.0) * F.sum("o1") / F.sum(F.col("o0") + F.col("o1"))).alias("overall_low_review_rate_pct")
-        return chi2_two_column(counts, extra=(overall,))
-
-    return shared(raw, f"h9_stats_{min_items}", build)
+    counts = h9_counts(raw, min_items)
+    overall = (F.lit(100.0) * F.sum("o1") / F.sum(F.col("o0") + F.col("o1"))).alias("overall_low_review_rate_pct")
+    return chi2_two_column(counts, extra=(overall,))
 
 
 def h12_stats(raw: dict[str, DataFrame], min_orders: int, min_on_time: int) -> DataFrame:
-
-    def build() -> DataFrame:
-        return chi2_two_column(two_column_counts(h12_orders(raw, min_orders, min_on_time), "seller_id", "is_low"))
-
-    return shared(raw, f"h12_stats_{min_orders}_{min_on_time}", build)
+    """Sellers grow with the data, so their counts fold in many arrays."""
+    counts = two_column_counts(h12_orders(raw, min_orders, min_on_time), "seller_id", "is_low")
+    return chi2_two_column(counts, buckets=SELLER_BUCKETS)
 
 
 def h10_stats(mart: DataFrame, cutoff: str) -> DataFrame:
-
-    def build() -> DataFrame:
-        counts = two_column_counts(h10_first_orders(mart, cutoff), "review_group", "has_repeat")
-        rates = [
-            F.max(F.when(F.col("row") == g, F.col("o1") / (F.col("o0") + F.col("o1")))).alias(f"rate_{g.lower()}")
-            for g in SHORT_REVIEW_GROUPS
-        ]
-        return chi2_two_column(counts, extra=tuple(rates)).withColumn(
-            "delta_pp", F.lit(100.0) * (F.col("rate_high") - F.col("rate_low"))
-        )
-
-    return shared(mart, f"h10_stats_{cutoff}", build)
+    counts = two_column_counts(h10_first_orders(mart, cutoff), "review_group", "has_repeat")
+    rates = [
+        F.max(F.when(F.col("row") == g, F.col("o1") / (F.col("o0") + F.col("o1")))).alias(f"rate_{g.lower()}")
+        for g in SHORT_REVIEW_GROUPS
+    ]
+    return chi2_two_column(counts, extra=tuple(rates)).withColumn(
+        "delta_pp", F.lit(100.0) * (F.col("rate_high") - F.col("rate_low"))
+    )
 
 
 def h11_stats(mart: DataFrame, cutoff: str) -> DataFrame:
-
-    def build() -> DataFrame:
-        return rank_tests(repeaters_elapsed(mart, cutoff), "days_to_next", "review_group", "Low", "High")
-
-    return shared(mart, f"h11_stats_{cutoff}", build)
+    return rank_tests(repeaters_elapsed(mart, cutoff), "days_to_next", "review_group", "Low", "High")
 
 
 # ---------------------------------------------------------------------------
@@ -286,16 +306,17 @@ def test_h9_category(raw: dict[str, DataFrame], min_items: int = 100) -> DataFra
 def category_vs_rest(raw: dict[str, DataFrame], min_items: int = 100) -> DataFrame:
     """Q29: per category 2 x 2 (category vs all other tested categories), Yates chi-square.
 
-    The totals are scalar subqueries over the category table.
+    The categories, bounded by their table, fold into one array with its totals and unfold again.
     """
-    counts = h9_counts(raw, min_items)
-    all_low, all_not_low = counts.agg(F.sum("o1")).scalar(), counts.agg(F.sum("o0")).scalar()
-    t = counts.select(
-        F.col("row").alias("category"),
-        F.col("o1").alias("a"),
-        F.col("o0").alias("b"),
-        (all_low - F.col("o1")).alias("c"),
-        (all_not_low - F.col("o0")).alias("d"),
+    one = h9_counts(raw, min_items).agg(
+        F.collect_list(F.struct("row", "o0", "o1")).alias("cells"), F.sum("o1").alias("low"), F.sum("o0").alias("not_low")
+    )
+    t = one.select(F.explode("cells").alias("x"), "low", "not_low").select(
+        F.col("x.row").alias("category"),
+        F.col("x.o1").alias("a"),
+        F.col("x.o0").alias("b"),
+        (F.col("low") - F.col("x.o1")).alias("c"),
+        (F.col("not_low") - F.col("x.o0")).alias("d"),
     )
     return t.withColumn("_chi2", chi2_2x2_expr(yates=True))
 
@@ -306,13 +327,9 @@ def test_category_vs_rest(raw: dict[str, DataFrame], min_items: int = 100) -> Da
 
 def category_vs_rest_fdr(raw: dict[str, DataFrame], min_items: int = 100, alpha: float = ALPHA) -> DataFrame:
     """Q29 with p-values and the Benjamini-Hochberg adjustment."""
-
-    def build() -> DataFrame:
-        t = category_vs_rest(raw, min_items).withColumn("p_value", chi2_sf_udf(F.col("_chi2"), F.lit(1.0)))
-        out = benjamini_hochberg(t, "p_value", "category", alpha)
-        return out.select("category", "a", "b", "c", "d", _r("_chi2", 3).alias("chi2"), "p_value", "p_adjusted", "reject")
-
-    return shared(raw, f"category_vs_rest_fdr_{min_items}_{alpha}", build)
+    t = category_vs_rest(raw, min_items).withColumn("p_value", chi2_tail(F.col("_chi2"), F.lit(1.0)))
+    out = benjamini_hochberg(t, "p_value", "category", alpha, bounded=True)
+    return out.select("category", "a", "b", "c", "d", _r("_chi2", 3).alias("chi2"), "p_value", "p_adjusted", "reject")
 
 
 def test_h12_seller(raw: dict[str, DataFrame], min_orders: int = 50, min_on_time: int = 30) -> DataFrame:

@@ -23,6 +23,7 @@ from ordersight.functions.columns import (
     round_ratio,
 )
 from ordersight.operators.first_orders import first_reviewed_orders
+from ordersight.operators.ranks import group_medians
 
 GROUP = "first_order_review_group"
 STATUS = "first_order_delivery_status"
@@ -171,14 +172,8 @@ def repeaters_elapsed(mart: DataFrame, cutoff: str) -> DataFrame:
 
 
 def h11_group_medians(mart: DataFrame, cutoff: str) -> DataFrame:
-    """Q34: exact median of elapsed days to the next order per observed group.
-
-    ``median`` keeps a value -> count map per group, so its memory grows with
-    the number of distinct day values, not with the number of customers.
-    """
-    return (
-        repeaters_elapsed(mart, cutoff)
-        .groupBy("review_group")
-        .agg(F.median("days_to_next").alias("median_days_to_next_order"), F.count(F.lit(1)).alias("repeaters"))
-        .orderBy(label_ordinal("review_group", SHORT_REVIEW_GROUPS))
-    )
+    """Q34: exact median of elapsed days to the next order per observed group, by rank selection."""
+    medians = group_medians(repeaters_elapsed(mart, cutoff), "days_to_next", "review_group")
+    return medians.select(
+        "review_group", F.col("median").alias("median_days_to_next_order"), F.col("n").alias("repeaters")
+    ).orderBy(label_ordinal("review_group", SHORT_REVIEW_GROUPS))

@@ -1,7 +1,7 @@
 """Summary of all hypothesis tests with p-values and verdicts (Q33).
 
 One row per test, built from the one-row statistic frames; p-values come from
-the tail-probability UDFs.  Column layout and rounding follow the published
+native tail probabilities.  Column layout and rounding follow the published
 summary; ``trend_z`` is overloaded there (trend z for H1 and H6/H7, the MH
 statistic for H8, the number of FDR-significant categories for H9, U for H11)
 and is kept that way for parity - the per-test tables use proper names.
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordersight.functions.columns import ALPHA, round_half_up
-from ordersight.functions.tails import p_value_udf
+from ordersight.functions.tails import p_value_of
 from ordersight.operators.contingency import chi2_two_column
 from ordersight.plans import hypotheses as h
 
@@ -74,7 +74,7 @@ def _row(
     """One summary row with the arguments of its p-values (computed later, together).
 
     ``p_test`` / ``trend_test`` are ``(kind, a, b, c, d)`` as understood by
-    ``functions.tails.p_value``; kind ``None`` means no p-value.
+    ``functions.tails.p_value_of``; kind ``None`` means no p-value.
     """
 
     def args(prefix: str, test: tuple) -> list[Column]:
@@ -114,7 +114,7 @@ def hypothesis_summary(
     alpha: float = ALPHA,
 ) -> DataFrame:
     """All tests in one table; the nine rows are assembled first and the
-    p-values are then computed in a single vectorised UDF pass."""
+    p-values are then computed in a single projection."""
     r = round_half_up
     null = F.lit(None).cast("double")
     none = (None,)
@@ -159,8 +159,8 @@ def hypothesis_summary(
                      ("mw", "mw_u", "n1", "n2", "mw_tie_sum"), r(F.col("cliffs_delta"), 4), F.lit(H11[4])))
 
     u = reduce(DataFrame.unionByName, rows).coalesce(1)
-    with_p = u.withColumn("p_value", p_value_udf("_p_kind", "_p_a", "_p_b", "_p_c", "_p_d")).withColumn(
-        "trend_p_value", p_value_udf("_t_kind", "_t_a", "_t_b", "_t_c", "_t_d")
+    with_p = u.withColumn("p_value", p_value_of(*[F.col(f"_p_{x}") for x in ("kind", *"abcd")])).withColumn(
+        "trend_p_value", p_value_of(*[F.col(f"_t_{x}") for x in ("kind", *"abcd")])
     )
     sig = F.col("p_value") < alpha
     sig = F.when(F.col("_both"), sig & (F.col("trend_p_value") < alpha)).otherwise(sig)
