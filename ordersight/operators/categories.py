@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordersight.operators.shared import shared
+from ordersight.operators.skew import salted_join
 
 UNKNOWN = "unknown"
 
@@ -34,10 +35,15 @@ def product_categories(products: DataFrame, translation: DataFrame) -> DataFrame
     )
 
 
-def category_item_counts(items: DataFrame, products: DataFrame, translation: DataFrame) -> DataFrame:
-    """``(order_id, category, orphan, n_items)``; category is english, native or 'unknown'."""
+def category_item_counts(items: DataFrame, products: DataFrame, translation: DataFrame, isolate_hot: bool = False) -> DataFrame:
+    """``(order_id, category, orphan, n_items)``; category is english, native or 'unknown'.
+
+    With ``isolate_hot`` the items of heavy products are dealt over several tasks of the lookup
+    (``operators.skew``), which costs one more pass over the product key.
+    """
     cats = product_categories(products, translation)
-    it = items.select("order_id", "product_id").join(cats, "product_id", "left")
+    it = items.select("order_id", "product_id")
+    it = salted_join(it, cats, "product_id", "order_id") if isolate_hot else it.join(cats, "product_id", "left")
     return it.groupBy(
         "order_id",
         F.coalesce(F.col("product_category"), F.lit(UNKNOWN)).alias("category"),
@@ -45,10 +51,10 @@ def category_item_counts(items: DataFrame, products: DataFrame, translation: Dat
     ).agg(F.count(F.lit(1)).alias("n_items"))
 
 
-def category_counts(raw: dict[str, DataFrame]) -> DataFrame:
+def category_counts(raw: dict[str, DataFrame], isolate_hot: bool = False) -> DataFrame:
     """The shared grain, built once per workspace."""
     return shared(
         raw,
         "category_counts",
-        lambda: category_item_counts(raw["order_items"], raw["products"], raw["category_translation"]),
+        lambda: category_item_counts(raw["order_items"], raw["products"], raw["category_translation"], isolate_hot),
     )

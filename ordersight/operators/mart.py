@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ordersight.functions.columns import calendar_days, late_flag, low_review_flag
 from ordersight.operators.categories import category_counts
+from ordersight.operators.skew import salted_join
 from ordersight.schemas import MART_COLUMNS
 
 MONEY_SUM = "decimal(38,2)"
@@ -50,11 +51,15 @@ def order_review_aggregates(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("order_id").agg(F.avg("review_score").alias("review_score"))
 
 
-def build_mart(raw: dict[str, DataFrame]) -> DataFrame:
-    """``mart_order_fact``: the 18-column order-level fact table."""
+def build_mart(raw: dict[str, DataFrame], isolate_hot: bool = False) -> DataFrame:
+    """``mart_order_fact``: the 18-column order-level fact table.
+
+    With ``isolate_hot`` heavy products and customers are dealt over several tasks of
+    their joins (``operators.skew``) instead of leaving them to skew-join splitting alone.
+    """
     orders = raw["orders"]
     item_agg = order_item_aggregates(raw["order_items"])
-    category_agg = order_category_lists(category_counts(raw))
+    category_agg = order_category_lists(category_counts(raw, isolate_hot))
     review_agg = order_review_aggregates(raw["order_reviews"])
     customers = raw["customers"].select("customer_id", "customer_unique_id", "customer_state")
 
@@ -62,8 +67,11 @@ def build_mart(raw: dict[str, DataFrame]) -> DataFrame:
         orders.join(item_agg, "order_id", "left")
         .join(category_agg, "order_id", "left")
         .join(review_agg, "order_id", "left")
-        .join(customers, "customer_id", "inner")
     )
+    if isolate_hot:
+        joined = salted_join(joined, customers, "customer_id", "order_id", "inner", keys_from=orders)
+    else:
+        joined = joined.join(customers, "customer_id", "inner")
     delivered = F.col("order_delivered_customer_date")
     return joined.select(
         *MART_COLUMNS[:14],

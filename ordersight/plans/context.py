@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,8 @@ class Workspace:
     persist: bool = True
     materialize: str = "persist"
     collation: str | None = None
+    isolate_hot: bool = False
+    state: str = ""
     _raw: dict | None = field(default=None, repr=False)
     _mart: DataFrame | None = field(default=None, repr=False)
 
@@ -55,7 +58,7 @@ class Workspace:
     @property
     def mart(self) -> DataFrame:
         if self._mart is None:
-            mart = build_mart(self.raw)
+            mart = build_mart(self.raw, self.isolate_hot)
             if self.persist:
                 mart = self._materialize(mart, "mart_order_fact")
                 register_anchor(mart)
@@ -78,7 +81,7 @@ class Workspace:
         if self.materialize == "table":
             base = ensure_checkpoint_dir(self.spark).rstrip("/")
             app = self.spark.sparkContext.applicationId
-            key = "|".join(str(x) for x in (self.location, self.source, self.collation))
+            key = "|".join(str(x) for x in (self.location, self.source, self.collation, self.state))
             digest = hashlib.sha256(key.encode()).hexdigest()[:16]
             path = f"{base}/ordersight-tables/{app}/{digest}/{name}"
             df.write.mode("overwrite").parquet(path)
@@ -86,6 +89,27 @@ class Workspace:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def fingerprint(spark: SparkSession, location: str) -> str:
+    """Digest of the names, sizes and modification times of the files at a location ('' if it is no path).
+
+    Listed through the cluster's file system, from the driver: metadata only.
+    """
+    sc = spark.sparkContext
+    try:
+        path = sc._jvm.org.apache.hadoop.fs.Path(location)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return ""
+        files = fs.listFiles(path, True)
+    except Py4JJavaError:  # not a path: a database url, a table prefix
+        return ""
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:16]
+
+
 def workspace(
     spark: SparkSession,
     location: str,
@@ -93,11 +117,21 @@ def workspace(
     persist: bool = True,
     materialize: str = "persist",
     collation: str | None = None,
+    isolate_hot: bool = False,
 ) -> Workspace:
-    key = (id(spark), spark.sparkContext.applicationId, location, source, persist, materialize, collation)
+    """The workspace of a location.  When its files have changed since it was built, its tables
+    and grains are released and built anew from the files as they are now."""
+    key = (id(spark), spark.sparkContext.applicationId, location, source, persist, materialize, collation, isolate_hot)
+    state = fingerprint(spark, location)
     ws = _CACHE.get(key)
+    if ws is not None and ws.state != state:
+        _CACHE.pop(key).release()
+        ws = None
     if ws is None:
-        ws = Workspace(spark, location, source, persist, materialize, collation)
+        # cached listings of changed files would hide them
+        if state:
+            spark.catalog.refreshByPath(location)
+        ws = Workspace(spark, location, source, persist, materialize, collation, isolate_hot, state)
         _CACHE[key] = ws
     return ws
 

@@ -15,7 +15,8 @@ def write_result_csv(df: DataFrame, path: str) -> None:
 
 
 def write_table_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Large table (raw or mart) -> Parquet, idempotent rebuild by overwrite."""
+    """Large table (raw or mart) -> Parquet, overwritten in place; ``sources.stored.rebuild`` keeps the
+    old table readable until the new one stands."""
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
