@@ -1,8 +1,8 @@
 """Tail probabilities of the chi-square and normal distributions.
 
 Spark SQL has no incomplete-gamma or error function; both are folds of built-in
-functions here (``chi2_tail``, ``normal_two_sided``, ``mann_whitney_tail``), so no Python
-runs on executors.  With a = k/2 and y = x/2 for k whole degrees of freedom:
+functions here (``chi2_tail``, ``normal_two_sided``, ``mann_whitney_tail``, written as SQL
+text over column names), so no Python runs on executors.  With a = k/2 and y = x/2 for k whole degrees of freedom:
 
 - up to y = a the lower tail is the power series
   ``y^a e^-y / Gamma(a+1) * (1 + y/(a+1) + y^2/((a+1)(a+2)) + ...)``, as many terms as its
@@ -33,109 +33,97 @@ _SQRT_HALF = math.sqrt(0.5)
 _FRACTION = 60
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+def _let(name: str, value: str, use: str) -> str:
+    """``use`` with ``name`` standing for a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {use}), 1)"
 
 
-def _if_known(value: Column, *args: Column) -> Column:
-    known = F.lit(True)
-    for a in args:
-        known = known & a.isNotNull() & ~F.isnan(a)
-    return F.when(known, value)
-
-
-def _log_gamma(a: Column) -> Column:
+def _log_gamma(a: str) -> str:
     """log Gamma of a positive multiple of one half."""
-    whole = F.floor(a) == a
-    start = F.when(whole, F.lit(0.0)).otherwise(F.lit(0.5 * math.log(math.pi)))
-    least = F.when(whole, F.lit(1.0)).otherwise(F.lit(0.5))
-    steps = F.sequence(F.lit(0), F.greatest(F.lit(0), (a - least).cast("int")))
-    # the last entry is the number of factors, so that no factor is an empty sequence
-    return F.aggregate(steps, start, lambda acc, i: acc + F.when(least + i < a, F.log(least + i)).otherwise(F.lit(0.0)))
+    whole = f"floor({a}) = {a}"
+    least = f"if({whole}, 1D, 0.5D)"
+    # an index below the argument is a factor; the last one, which is not, keeps the sequence from being empty
+    steps = f"sequence(0, greatest(0, cast({a} - {least} AS INT)))"
+    start = f"if({whole}, 0D, {0.5 * math.log(math.pi)!r}D)"
+    return f"aggregate({steps}, {start}, (acc, i) -> acc + if({least} + i < {a}, ln({least} + i), 0D))"
 
 
-def _series(a: Column, y: Column) -> Column:
+def _series(a: str, y: str) -> str:
     """1 + y/(a+1) + y^2/((a+1)(a+2)) + ... for y <= a + 1."""
-    terms = F.sequence(F.lit(1), (F.lit(60) + F.lit(20) * F.sqrt(a)).cast("int"))
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    return (
+        f"aggregate(sequence(1, cast(60 + 20 * sqrt({a}) AS INT)), named_struct('term', 1D, 'total', 1D), (acc, i) -> "
+        f"named_struct('term', acc.term * {y} / ({a} + i), 'total', acc.total + acc.term * {y} / ({a} + i)), acc -> acc.total)"
+    )
 
-    def step(acc: Column, i: Column) -> Column:
-        term = acc["term"] * y / (a + i)
-        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
 
-    return F.aggregate(terms, start, step, lambda acc: acc["sum"])
+def _one_degree(y: str) -> str:
+    """erfc(sqrt(y)); ``y`` is a name."""
+    power = f"exp(0.5D * ln({y}) - {y})"
+    lower = f"1D - {power} / {0.5 * math.sqrt(math.pi)!r}D * {_series('0.5D', y)}"
+    # sqrt(y) e^-y / sqrt(pi) / (y + 1/2 / (1 + 1 / (y + 3/2 / (1 + 2 / (y + ...)))))
+    fraction = f"aggregate(sequence({_FRACTION}, 1, -1), {y}, (acc, i) -> {y} + (i - 0.5D) / (1D + i / acc))"
+    upper = f"{power} / {math.sqrt(math.pi)!r}D / {fraction}"
+    return f"CASE WHEN {y} <= 0 THEN 1D WHEN {y} < 1.5 THEN {lower} ELSE {upper} END"
 
 
-def _one_degree(y: Column) -> Column:
-    """erfc(sqrt(y))."""
-    half = F.lit(0.5)
-    lower = F.lit(1.0) - F.exp(half * F.log(y) - y) / F.lit(0.5 * math.sqrt(math.pi)) * _series(half, y)
-    # sqrt(y) e^-y / sqrt(pi) / (y + 1/2 / (1 + 1 / (y + 3/2 / (1 + 2 / (y + ...)))))
-    steps = F.sequence(F.lit(_FRACTION), F.lit(1), F.lit(-1))
-    tail = F.aggregate(steps, y, lambda acc, i: y + (i - half) / (F.lit(1.0) + i / acc))
-    upper = F.exp(half * F.log(y) - y) / F.lit(math.sqrt(math.pi)) / tail
-    return F.when(y <= 0, F.lit(1.0)).when(y < 1.5, lower).otherwise(upper)
+def _known(*names: str) -> str:
+    return " AND ".join(f"{n} IS NOT NULL AND NOT isnan({n})" for n in names)
 
 
-def chi2_tail(x: Column, k: Column) -> Column:
-    """P(X > x) for X ~ chi-square with a whole number ``k`` of degrees of freedom."""
-    x, k = x.cast("double"), F.round(k.cast("double"))
+def chi2_tail_sql(x: str, k: str) -> str:
+    """P(X > x) for X ~ chi-square with a whole number ``k`` of degrees of freedom; SQL expressions."""
+    whole = "floor(v.a) = v.a"
+    # from the largest power down; the last power is 0 or 1/2
+    count = f"greatest(0, cast(v.a - if({whole}, 0D, 0.5D) AS INT))"
+    upper = (
+        f"aggregate(sequence(1, greatest(1, {count})), "
+        f"named_struct('term', if({count} > 0, exp((v.a - 1) * ln(v.y) - v.y - v.lg), 0D), 'total', 0D), "
+        f"(acc, i) -> named_struct('term', acc.term * (v.a - i) / v.y, 'total', acc.total + acc.term), acc -> acc.total) "
+        f"+ if({whole}, 0D, {_one_degree('v.y')})"
+    )
+    lower = f"1D - exp(v.a * ln(v.y) - v.y - v.lg - ln(v.a)) * {_series('v.a', 'v.y')}"
+    tail = f"least(1D, greatest(0D, CASE WHEN v.y > v.a THEN {upper} ELSE {lower} END))"
+    some = _let("v", f"named_struct('a', w.k / 2D, 'y', w.x / 2D, 'lg', {_log_gamma('(w.k / 2D)')})", tail)
+    found = f"CASE WHEN {_known('w.x', 'w.k')} THEN CASE WHEN w.k <= 0 OR w.x <= 0 THEN 1D ELSE {some} END END"
+    return _let("w", f"named_struct('x', cast({x} AS DOUBLE), 'k', round(cast({k} AS DOUBLE)))", found)
 
-    def upper(v: Column) -> Column:
-        a, y = v["a"], v["y"]
-        # from the largest power down; the last power is 0 or 1/2
-        last = F.when(F.floor(a) == a, F.lit(0.0)).otherwise(F.lit(0.5))
-        count = F.greatest(F.lit(0), (a - last).cast("int"))
-        top = F.exp((a - 1) * F.log(y) - y - v["lg"])
-        start = F.struct(F.when(count > 0, top).otherwise(F.lit(0.0)).alias("term"), F.lit(0.0).alias("sum"))
 
-        def step(acc: Column, i: Column) -> Column:
-            return F.struct((acc["term"] * (a - i) / y).alias("term"), (acc["sum"] + acc["term"]).alias("sum"))
+def normal_two_sided_sql(z: str) -> str:
+    """``2 * (1 - cdf(|z|))`` with the cancellation of that form, as the trend test's p-value is published."""
+    both = _let("y", f"cast({z} AS DOUBLE) * {z} / 2D", f"CASE WHEN {_known('y')} THEN 2D * (1D - (1D - 0.5D * ({_one_degree('y')}))) END")
+    return both
 
-        terms = F.sequence(F.lit(1), F.greatest(F.lit(1), count))
-        total = F.aggregate(terms, start, step, lambda acc: acc["sum"])
-        return total + F.when(F.floor(a) == a, F.lit(0.0)).otherwise(_one_degree(y))
 
-    def lower(v: Column) -> Column:
-        a, y = v["a"], v["y"]
-        return F.exp(a * F.log(y) - y - v["lg"] - F.log(a)) * _series(a, y)
+def mann_whitney_tail_sql(u1: str, n1: str, n2: str, tie_sum: str) -> str:
+    """Two-sided asymptotic Mann-Whitney p with tie and continuity corrections; NULL without spread."""
+    given = ", ".join(f"'{name}', cast({value} AS DOUBLE)" for name, value in (("u", u1), ("m", n1), ("n", n2), ("t", tie_sum)))
+    ties = "try_divide(g.t, (g.m + g.n) * (g.m + g.n - 1))"
+    spread = f"sqrt(greatest(0D, g.m * g.n / 12D * (g.m + g.n + 1 - {ties})))"
+    z = f"try_divide(greatest(g.u, g.m * g.n - g.u) - g.m * g.n / 2D - 0.5D, {spread})"
+    # z is slightly below 0 where U is its mean
+    p = _let("z", z, f"CASE WHEN z >= 0 THEN {_let('y', 'z * z / 2D', _one_degree('y'))} WHEN z < 0 THEN 1D END")
+    known = _known("g.u", "g.m", "g.n", "g.t")
+    return _let("g", f"named_struct({given})", f"CASE WHEN {known} AND g.m >= 1 AND g.n >= 1 THEN {p} END")
 
-    def tail(v: Column) -> Column:
-        p = F.when(v["y"] > v["a"], upper(v)).otherwise(F.lit(1.0) - lower(v))
-        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))
 
-    a = k / F.lit(2.0)
-    found = _let(F.struct(a.alias("a"), (x / F.lit(2.0)).alias("y"), _log_gamma(a).alias("lg")), tail)
-    one = F.lit(1.0)
-    return _if_known(F.when((k <= 0) | (x <= 0), one).when(k == 1, _one_degree(x / F.lit(2.0))).otherwise(found), x, k)
+def chi2_tail(x: str, k: str) -> Column:
+    return F.expr(chi2_tail_sql(x, k))
 
 
-def normal_two_sided(z: Column) -> Column:
-    """``2 * (1 - cdf(|z|))`` with the cancellation of that form, as the trend test's p-value is published."""
-    z = z.cast("double")
-    return _if_known(F.lit(2.0) * (F.lit(1.0) - (F.lit(1.0) - F.lit(0.5) * _one_degree(z * z / F.lit(2.0)))), z)
+def normal_two_sided(z: str) -> Column:
+    return F.expr(normal_two_sided_sql(z))
 
 
-def mann_whitney_tail(u1: Column, n1: Column, n2: Column, tie_sum: Column) -> Column:
-    """Two-sided asymptotic Mann-Whitney p with tie and continuity corrections; NULL without spread."""
-    u1, n1, n2, tie_sum = (c.cast("double") for c in (u1, n1, n2, tie_sum))
-    n = n1 + n2
-    u = F.greatest(u1, n1 * n2 - u1)
-    s = F.sqrt(F.greatest(F.lit(0.0), n1 * n2 / F.lit(12.0) * ((n + 1) - F.try_divide(tie_sum, n * (n - 1)))))
-    z = F.try_divide(u - n1 * n2 / F.lit(2.0) - F.lit(0.5), s)
-    # z is slightly below 0 where U is its mean
-    both = _let(z, lambda v: F.when(v >= 0, _one_degree(v * v / F.lit(2.0))).otherwise(F.lit(1.0)))
-    return F.when((n1 >= 1) & (n2 >= 1), _if_known(both, u1, n1, n2, tie_sum, z))
+def mann_whitney_tail(u1: str, n1: str, n2: str, tie_sum: str) -> Column:
+    return F.expr(mann_whitney_tail_sql(u1, n1, n2, tie_sum))
 
 
-def p_value_of(kind: Column, a: Column, b: Column, c: Column, d: Column) -> Column:
+def p_value_of(kind: str, a: str, b: str, c: str, d: str) -> Column:
     """The p-value of a kind of test: 'chi2' (a=statistic, b=dof), 'trend' (a=z),
-    'mw' (a=U, b=n1, c=n2, d=tie sum); NULL for others."""
-    return (
-        F.when(kind == "chi2", chi2_tail(a, b))
-        .when(kind == "trend", normal_two_sided(a))
-        .when(kind == "mw", mann_whitney_tail(a, b, c, d))
+    'mw' (a=U, b=n1, c=n2, d=tie sum); NULL for others.  Arguments are column names."""
+    return F.expr(
+        f"CASE {kind} WHEN 'chi2' THEN {chi2_tail_sql(a, b)} WHEN 'trend' THEN {normal_two_sided_sql(a)} "
+        f"WHEN 'mw' THEN {mann_whitney_tail_sql(a, b, c, d)} END"
     )
 
 

@@ -102,42 +102,34 @@ def chi2_two_column(
     else:
         agg = t.agg(*aggs, *extra)
         agg = agg.withColumn("dev", _folded("cells", F.try_divide(F.col("c1"), F.col("n")))).drop("cells")
-    n, c0, c1 = F.col("n"), F.col("c0"), F.col("c1")
-    cols = (c0 > 0).cast("int") + (c1 > 0).cast("int")
+    cols = "(cast(c0 > 0 AS INT) + cast(c1 > 0 AS INT))"
     # one empty column says nothing (0); without rows there is no statistic (NULL)
-    raw_chi2 = F.when((c0 > 0) & (c1 > 0), F.col("dev") * (n / c0) * (n / c1)).when(n.isNotNull(), F.lit(0.0))
-    dof = (F.col("rows") - 1) * (cols - 1)
-    # 2 x 2: |ad - bc| / n is the common |O - E| of all four cells.
-    x0, x1 = F.col("_x.o0").cast("double"), F.col("_x.o1").cast("double")
-    y0, y1 = F.col("_y.o0").cast("double"), F.col("_y.o1").cast("double")
-    delta = F.try_divide(F.abs(x0 * y1 - x1 * y0), n)
-    shrink = F.least(F.lit(0.5), delta)
-    inv_e_sum = F.try_divide(n * n * n, (x0 + x1) * (y0 + y1) * c0 * c1)
-    yates_chi2 = (delta - shrink) * (delta - shrink) * inv_e_sum
-    use_yates = F.lit(bool(yates)) & (dof == 1)
-    chi2 = F.when(dof <= 0, F.lit(0.0)).when(use_yates, yates_chi2).otherwise(raw_chi2)
-    v = F.when(F.least(F.col("rows"), cols) > 1, F.sqrt(raw_chi2 / (n * (F.least(F.col("rows"), cols) - 1))))
+    raw_chi2 = "CASE WHEN c0 > 0 AND c1 > 0 THEN dev * (n / c0) * (n / c1) WHEN n IS NOT NULL THEN 0D END"
+    # 2 x 2: |ad - bc| / n is the common |O - E| of all four cells
+    delta = "try_divide(abs(cast(_x.o0 AS DOUBLE) * _y.o1 - cast(_x.o1 AS DOUBLE) * _y.o0), n)"
+    inverse = "try_divide(n * n * n, cast(_x.o0 + _x.o1 AS DOUBLE) * (_y.o0 + _y.o1) * c0 * c1)"
+    names = [c for c in agg.columns if c not in {"n", "c0", "c1", "dev", "rows", "_x", "_y", "_sxt", "_snt", "_sntt"}]
+    keep = ["c1", "_sxt", "_snt", "_sntt"] if score is not None else []
+    one = agg.selectExpr(
+        "n", "rows", f"{cols} AS cols", f"cast((rows - 1) * ({cols} - 1) AS INT) AS dof", f"{raw_chi2} AS chi2_uncorrected",
+        f"pow({delta} - least(0.5D, {delta}), 2D) * {inverse} AS _yates", *keep, *[f"`{c}`" for c in names],
+    )
+    corrected = "WHEN dof = 1 THEN _yates" if yates else ""
     out = [
-        n.cast("long").alias("n"),
-        F.col("rows"),
-        cols.alias("cols"),
-        dof.cast("int").alias("dof"),
-        chi2.alias("chi2"),
-        raw_chi2.alias("chi2_uncorrected"),
-        v.alias("cramers_v"),
+        "cast(n AS BIGINT) AS n", "rows", "cols", "dof",
+        f"CASE WHEN dof <= 0 THEN 0D {corrected} ELSE chi2_uncorrected END AS chi2", "chi2_uncorrected",
+        "CASE WHEN least(rows, cols) > 1 THEN sqrt(chi2_uncorrected / (n * (least(rows, cols) - 1))) END AS cramers_v",
     ]
     if score is not None:
-        p = F.try_divide(c1, n)
-        numer = F.col("_sxt") - p * F.col("_snt")
-        denom = F.sqrt(p * (F.lit(1.0) - p) * (F.col("_sntt") - F.try_divide(F.col("_snt") * F.col("_snt"), n)))
-        out.append(F.when(denom > 0, numer / denom).alias("trend_z"))
-    names = [c for c in agg.columns if c not in {"n", "c0", "c1", "dev", "rows", "_x", "_y", "_sxt", "_snt", "_sntt"}]
-    return agg.select(*out, *names)
+        share = "try_divide(c1, n)"
+        spread = f"sqrt({share} * (1D - {share}) * (_sntt - try_divide(_snt * _snt, n)))"
+        out.append(f"CASE WHEN {spread} > 0 THEN (_sxt - {share} * _snt) / {spread} END AS trend_z")
+    return one.selectExpr(*out, *[f"`{c}`" for c in names])
 
 
 def cochran_armitage(counts: DataFrame, score: str | Column) -> DataFrame:
     """Two-sided Cochran-Armitage trend z and its p-value over per-level counts (``o0``, ``o1``) and scores."""
-    return chi2_two_column(counts, score=score).select("trend_z", normal_two_sided(F.col("trend_z")).alias("p_value"))
+    return chi2_two_column(counts, score=score).select("trend_z", normal_two_sided("trend_z").alias("p_value"))
 
 
 def odds_ratio_expr(a="a", b="b", c="c", d="d") -> Column:

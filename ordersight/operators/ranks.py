@@ -33,9 +33,9 @@ def group_medians(df: DataFrame, value: str, group: str) -> DataFrame:
     """
     hist = value_histogram(df, value, group)
     run = global_running_sums(hist, [F.col(group), F.col(value)], ["cnt"])
-    sizes = hist.groupBy(F.col(group).alias("_g")).agg(F.sum("cnt").alias("n"))
-    starts = global_running_sums(sizes, [F.col("_g")], ["n"]).withColumn("_before", F.col("cum_n") - F.col("n"))
-    j = run.join(starts, F.col(group).eqNullSafe(F.col("_g")))
+    # the counts start anew where a group begins
+    spans = run.groupBy(F.col(group).alias("_g")).agg(F.sum("cnt").alias("n"), F.min(F.col("cum_cnt") - F.col("cnt")).alias("_before"))
+    j = run.join(spans, F.col(group).eqNullSafe(F.col("_g")))
     to, n = F.col("cum_cnt") - F.col("_before"), F.col("n")
     low, high = F.floor((n + 1) / F.lit(2)), F.floor((n + 2) / F.lit(2))  # the middle ranks
     first = to - F.col("cnt") + 1

@@ -327,7 +327,7 @@ def test_category_vs_rest(raw: dict[str, DataFrame], min_items: int = 100) -> Da
 
 def category_vs_rest_fdr(raw: dict[str, DataFrame], min_items: int = 100, alpha: float = ALPHA) -> DataFrame:
     """Q29 with p-values and the Benjamini-Hochberg adjustment."""
-    t = category_vs_rest(raw, min_items).withColumn("p_value", chi2_tail(F.col("_chi2"), F.lit(1.0)))
+    t = category_vs_rest(raw, min_items).withColumn("p_value", chi2_tail("_chi2", "1"))
     out = benjamini_hochberg(t, "p_value", "category", alpha, bounded=True)
     return out.select("category", "a", "b", "c", "d", _r("_chi2", 3).alias("chi2"), "p_value", "p_adjusted", "reject")
 

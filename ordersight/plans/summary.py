@@ -159,8 +159,8 @@ def hypothesis_summary(
                      ("mw", "mw_u", "n1", "n2", "mw_tie_sum"), r(F.col("cliffs_delta"), 4), F.lit(H11[4])))
 
     u = reduce(DataFrame.unionByName, rows).coalesce(1)
-    with_p = u.withColumn("p_value", p_value_of(*[F.col(f"_p_{x}") for x in ("kind", *"abcd")])).withColumn(
-        "trend_p_value", p_value_of(*[F.col(f"_t_{x}") for x in ("kind", *"abcd")])
+    with_p = u.withColumn("p_value", p_value_of(*[f"_p_{x}" for x in ("kind", *"abcd")])).withColumn(
+        "trend_p_value", p_value_of(*[f"_t_{x}" for x in ("kind", *"abcd")])
     )
     sig = F.col("p_value") < alpha
     sig = F.when(F.col("_both"), sig & (F.col("trend_p_value") < alpha)).otherwise(sig)

@@ -70,14 +70,14 @@ def test_native_tails(spark):
     rows = [(x, float(k)) for k in ks for x in (0.0, 1e-6, 0.5, 2.9, 3.1, 17.0, 0.5 * k, 0.99 * k, 1.0 * k, 1.2 * k, 3.0 * k, 20000.0)]
     rows += [(None, 1.0), (1.0, None), (float("nan"), 2.0), (-1.0, 3.0), (3.0, 0.0)]
     df = spark.createDataFrame(rows, "x double, k double")
-    for r in df.select("*", tails.chi2_tail(F.col("x"), F.col("k")).alias("p"), tails.normal_two_sided(F.col("x")).alias("z")).collect():
+    for r in df.select("*", tails.chi2_tail("x", "k").alias("p"), tails.normal_two_sided("x").alias("z")).collect():
         want = tails.chi2_sf(r.x, r.k)
         assert (r.p is None) if math.isnan(want) else math.isclose(r.p, want, rel_tol=1e-9, abs_tol=1e-300), r
         if r.x is not None and r.x >= 0:
             assert math.isclose(r.z, tails.two_sided_from_cdf(r.x), abs_tol=1e-15)
     mw = [(10.0, 5.0, 7.0, 0.0), (17.5, 5.0, 7.0, 12.0), (284412.0, 317.0, 2124.0, 5000.0), (4.5, 3.0, 3.0, 0.0)]
     empty = [(3.0, 0.0, 5.0, 0.0), (None, 1.0, 2.0, 3.0), (2.0, 2.0, 2.0, 60.0)]
-    p = tails.mann_whitney_tail(*[F.col(c) for c in "uabt"])
+    p = tails.mann_whitney_tail(*"uabt")
     df = spark.createDataFrame(mw + empty, "u double, a double, b double, t double")
     got = {(r.u, r.a): r.p for r in df.select("*", p.alias("p")).collect()}
     assert all(math.isclose(got[(m[0], m[1])], tails.mann_whitney_p(*m), rel_tol=1e-9) for m in mw)
