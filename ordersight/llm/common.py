@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +39,15 @@ def checkpoint_dir(spark: SparkSession) -> None:
     from ordersight.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet under ``spark.checkpoint.dir`` and read again.
+
+    For tables that several steps read: computed a single time, and executors that are
+    lost cost nothing of it.
+    """
+    checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,7 +13,8 @@ Details that keep results whole:
 - A line above the limit stays in one text of its host (the one with the
   smallest hash), so no content vanishes from the corpus altogether.
 
-Scale: line rows are narrow (hashes and counts).  The two groupings are
+Scale: line rows are narrow (hashes and counts) and stored once in the shared folder, for
+the counts and the way back.  The two groupings are
 pre-aggregated per map task, so a line shared by a third of all documents sends
 one row per task and text; the way back is an inner join of line rows with the
 frequent lines only, which AQE can split at a hot line or broadcast when it
@@ -32,7 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordersight.llm.common import SPACE_CHARS, SPACE_CLASS, col, packed, words
+from ordersight.llm.common import SPACE_CHARS, SPACE_CLASS, col, packed, stored, words
 
 
 @dataclass(frozen=True)
@@ -150,7 +151,8 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, host_col: str, limits:
     A set, so that repeated rows of one document do not add up; it is no longer
     than the document.
     """
-    lines = _lines(docs, id_col, text_col, host_col)
+    # counted, and met with the counts: computed once
+    lines = stored(_lines(docs, id_col, text_col, host_col))
     frequent = frequent_lines(lines, limits.max_line_docs).select(
         F.col("host").alias("f_host"), F.col("lh").alias("f_lh"), "first_sig"
     )
