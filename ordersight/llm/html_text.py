@@ -30,6 +30,7 @@ row; empty tables give no rows; other input columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
@@ -118,6 +119,38 @@ def _marked(attrs: str, attribute, content_tag: bool, strict: bool) -> int:
     return int(mark)
 
 
+def closable(page: str) -> str:
+    """The page with every ``<`` that opens no tag written as ``&lt;``, in one run over it.
+
+    A tag ends at the first ``>`` outside quotes.  Where it ends follows from the next quote or
+    ``>`` alone, so the ends are found from the last of them to the first.  Without this a
+    page full of unclosed tags is searched to its end for each of them.
+    """
+    marks = [m.start() for m in re.finditer("[>\"']", page)]
+    closed = [False] * (len(marks) + 1)
+    following = {'"': None, "'": None}
+    for k in range(len(marks) - 1, -1, -1):
+        c = page[marks[k]]
+        if c == ">":
+            closed[k] = True
+        else:
+            pair = following[c]
+            closed[k] = pair is not None and closed[pair + 1]
+            following[c] = k
+    last = page.rfind(">")
+    raw = frozenset(RAW)
+    out, at = [], 0
+    for m in re.finditer(r"<(?!!--)(?:/?([a-zA-Z][a-zA-Z0-9:-]*))?", page):
+        start, name = m.start(), m.group(1)
+        if start > last or (name and name.lower() not in raw and not closed[bisect.bisect(marks, start)]):
+            out += [page[at:start], "&lt;"]
+            at = start + 1
+    page = "".join([*out, page[at:]]) if out else page
+    # sections that nothing ends are no sections
+    ended = page.rfind("]]>")
+    return page[: ended + 1] + page[ended + 1 :].replace("<![", "<!")
+
+
 def _skip_ends(page: str, tag) -> dict[int, int]:
     """Start -> end of the skipped elements that are closed, in one run over the tags."""
     ends: dict[int, int] = {}
@@ -288,7 +321,7 @@ def classify(found: list[tuple[str, int, int, bool]]) -> list[bool]:
 
 
 def main_text(page: str, tag, attribute) -> str:
-    found = blocks(page, tag, attribute)
+    found = blocks(closable(page), tag, attribute)
     return "\n".join(block[0] for block, keep in zip(found, classify(found)) if keep)
 
 
