@@ -62,6 +62,14 @@ def compiled():
     )
 
 
+def run_patterns(min_run: int):
+    """Patterns of a candidate run and of a UUID."""
+    return (
+        re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % min_run),
+        re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
+    )
+
+
 def random_spans(text: str, runs, uuid, enc, max_chars_per_token: float, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, 3, end) of key-like runs that the vocabulary finds costly."""
     out = []
@@ -95,8 +103,7 @@ def find_secrets(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocabulary)
         patterns = compiled()
-        runs = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % min_run)
-        uuid = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+        runs, uuid = run_patterns(min_run)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for big in batches:
             for at in range(0, big.num_rows, ROWS):
@@ -130,22 +137,41 @@ def summary(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", **kwargs) -> DataFrame:
-    """Per input row: id and ``redacted`` text, each span (overlaps joined) replaced by ``mark``."""
-    spans = find_secrets(docs, id_col, text_col, **kwargs).where(F.size("spans") > 0).dropDuplicates([id_col])
+def redact(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    mark: str = "[secret]",
+    min_run: int = 20,
+    max_chars_per_token: float = 2.2,
+    vocabulary: str = VOCABULARY,
+) -> DataFrame:
+    """Per input row: id and ``redacted`` text, each span (overlaps joined) replaced by ``mark``.
+
+    Spans are cut where they are found, row by row, so ids need not be unique or known.
+    """
+
+    def cut(text: str, spans: list[tuple[int, int, int]]) -> str:
+        out, at = [], 0
+        for start, _, end in spans:
+            if start >= at:  # else it overlaps the span before: already marked
+                out += [text[at:start], mark]
+            at = max(at, end)
+        return "".join([*out, text[at:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(vocabulary)
+        patterns = compiled()
+        runs, uuid = run_patterns(min_run)
+        for big in batches:
+            for at in range(0, big.num_rows, ROWS):
+                batch = big.slice(at, ROWS)
+                texts = []
+                for text in batch.column("text").to_pylist():
+                    base = base_spans(text, patterns)
+                    texts.append(cut(text, sorted(base + random_spans(text, runs, uuid, enc, max_chars_per_token, base))))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], names=["id", "redacted"])
+
     rows = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
-    hits = spans.select(F.col(id_col).alias("s_id"), "spans")
-    d = rows.join(hits, F.col("id").eqNullSafe(F.col("s_id")), "left")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = F.greatest(x["start"], acc["at"])
-        kept = F.substring("text", acc["at"] + 1, start - acc["at"])
-        inside = x["start"] < acc["at"]  # overlaps the span before: already marked
-        out = F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], kept, F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.aggregate(
-        "spans", start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text")))
-    )
-    return d.select(F.col("id").alias(id_col), F.when(F.col("spans").isNull(), F.col("text")).otherwise(text).alias("redacted"))
+    schema = T.StructType([rows.schema["id"], T.StructField("redacted", T.StringType())])
+    return rows.mapInArrow(run, schema).select(F.col("id").alias(id_col), "redacted")
