@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordersight.llm.common import SPACE_CLASS, col, packed, words as split_words
+from ordersight.llm.common import SPACE_CLASS, col, packed, stored, words as split_words
 from ordersight.llm.components import components
 
 SHINGLE = 5
@@ -282,7 +282,8 @@ def _spans(rows: DataFrame, at: DataFrame, words: int, span: int, filter_bits: i
     texts = texts.dropDuplicates(["sig"]).join(marks, F.col("sig") == F.col("m_sig")).select("sig", "text", "marks")
     contexts = texts.mapInArrow(
         _contexts(span, words), "passage bigint, keeper boolean, sig bigint, at int, lead int, context binary"
-    ).checkpoint()
+    )
+    contexts = stored(contexts)
     kept = contexts.where("keeper").select(
         F.col("passage").alias("k_passage"), F.col("lead").alias("k_lead"), F.col("context").alias("k_context")
     )
@@ -305,16 +306,24 @@ def repeated_passages(
 ) -> DataFrame:
     """Per input row: id, n_shared (paragraphs shared with other texts), ``spans`` to remove
     (word positions, end exclusive) and ``kept_in``, the ids of the documents that keep them."""
+    found = _passages_of(docs, id_col, text_col, words, span, bands, percent, filter_bits)
+    return found.select(F.col("id").alias(id_col), "n_shared", "spans", "kept_in")
+
+
+def _passages_of(
+    docs: DataFrame, id_col: str, text_col: str, words: int = 20, span: int = 30, bands: int = 3, percent: int = 80, filter_bits: int = 1 << 23
+) -> DataFrame:
+    """(id, sig, n_shared, spans, kept_in) per input row; ``sig`` is the hash of its text."""
     text = F.coalesce(col(text_col), F.lit(""))
     rows = docs.select(col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("sig"))
     bands_of = rows.select("text", "sig").mapInArrow(_band_rows(words, span, bands), "key bigint, sig bigint, at int, node bigint")
     shared = bands_of.groupBy(F.col("key").alias("s_key")).agg(F.min("sig").alias("a"), F.max("sig").alias("b"))
     shared = shared.where("a <> b").select("s_key")
-    hits = bands_of.join(shared, F.col("key") == F.col("s_key"), "left_semi").checkpoint()
+    hits = stored(bands_of.join(shared, F.col("key") == F.col("s_key"), "left_semi"))
 
     held = hits.select("key", "node").distinct()
     sizes = held.groupBy(F.col("key").alias("m_key")).agg(F.count("*").alias("m")).where("m > 1")
-    held = held.join(sizes, F.col("key") == F.col("m_key")).select("key", "node", "m").checkpoint()
+    held = stored(held.join(sizes, F.col("key") == F.col("m_key")).select("key", "node", "m"))
     root = None
     if not held.isEmpty():
         wanted = held.select("node").distinct()
@@ -322,7 +331,7 @@ def repeated_passages(
             _node_shingles(words, span, _filter_of(wanted, filter_bits)), "node bigint, shingles array<bigint>"
         )
         sets = sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-        links = _links(held, sets.checkpoint(), percent)
+        links = _links(held, stored(sets), percent)
         root = components(links, "node", "other").select(F.col("node").alias("r_node"), "root")
 
     owner = rows.groupBy("sig").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id")).alias("owner"))
@@ -339,7 +348,7 @@ def repeated_passages(
         "f_passage", F.col("first.sig").alias("first_sig"), F.col("first.at").alias("first_at"), F.col("first.owner.id").alias("first_id")
     )
     at = at.join(first, F.col("passage") == F.col("f_passage")).select("sig", "at", "passage", "first_sig", "first_at", "first_id")
-    at = at.checkpoint()
+    at = stored(at)
     away = F.col("sig") != F.col("first_sig")
     per_text = at.groupBy(F.col("sig").alias("t_sig")).agg(
         F.countDistinct("at").alias("n_shared"),
@@ -354,7 +363,8 @@ def repeated_passages(
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").alias("end")))
     ids = F.array(F.col("owner_id"))
     return d.select(
-        F.col("id").alias(id_col),
+        "id",
+        "sig",
         F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"),
         F.when(copy, whole).otherwise(F.coalesce(_merged(F.col("away")), none)).alias("spans"),
         F.when(copy, ids).otherwise(F.coalesce("kept_in", F.slice(ids, F.lit(1), F.lit(0)))).alias("kept_in"),
@@ -432,10 +442,13 @@ def _cut(text: str, spans: list[dict], word) -> str:
 
 def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """The input rows, all columns kept, with the repeated passages taken out of the text."""
-    spans = repeated_passages(docs, id_col, text_col, **kwargs).where(F.size("spans") > 0)
-    spans = spans.select(col(id_col).alias("p_id"), "spans").dropDuplicates(["p_id"])
-    rows = docs.select(packed(docs).alias("row"), col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
-    rows = rows.join(spans, F.col("id").eqNullSafe(F.col("p_id")), "left").select("row", "text", "spans")
+    # rows of one id and one text have the same spans; an id alone, or none, tells nothing of the text
+    spans = _passages_of(docs, id_col, text_col, **kwargs).where(F.size("spans") > 0)
+    spans = spans.select(F.col("id").alias("p_id"), F.col("sig").alias("p_sig"), "spans").dropDuplicates(["p_id", "p_sig"])
+    text = F.coalesce(col(text_col), F.lit(""))
+    rows = docs.select(packed(docs).alias("row"), col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("sig"))
+    same = (F.col("sig") == F.col("p_sig")) & F.col("id").eqNullSafe(F.col("p_id"))
+    rows = rows.join(spans, same, "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = re.compile(f"[^{SPACE_CLASS}]+")
