@@ -19,8 +19,9 @@ Urls that no rule decides are judged by templates learned from the table:
    is the smoothed share of its nearest labelled ancestor, host included; only hosts
    without any label fall back on the given one.
 
-The tree goes on as long as paths differ; the rest of a path that shares its node
-with no other is appended as it is.
+The tree goes on as long as paths differ.  Segments that all paths of a node share are
+taken in one step: they have its evidence and are no ancestors of their own.  So there is
+one round per level at which paths branch, however long the paths are.
 
 Labels are the rules' own decisions (block = bad, allow = good), plus an optional
 table of labelled urls.
@@ -28,7 +29,7 @@ table of labelled urls.
 Scale: the url rows are touched twice, once to count and once to look up
 their template, on a join key (host, generalised path) that AQE can split at a
 hot host.  All tree steps run on the template counts with pre-aggregated group-bys;
-the counts are checkpointed once a level, so the lineage stays short.
+the counts are checkpointed once a round, so the lineage stays short.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and
 gets the method's verdict on that (empty) template; empty tables give no rows;
@@ -106,24 +107,42 @@ def shape(path: Column, levels: int | None) -> Column:
     return F.when(F.size(parts) > levels, F.concat(head, F.array(F.lit("**")))).otherwise(head)
 
 
+def _common(low: Column, high: Column) -> Column:
+    """Number of leading elements that two arrays share; of their smallest and largest, that all of a group share."""
+    differs = F.array_position(F.zip_with(low, high, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(differs > 0, differs - 1).otherwise(F.size(low)).cast("int")
+
+
+def _from(array: Column, start: Column) -> Column:
+    """The elements from ``start`` (counted from 1) on."""
+    return F.slice(array, start, F.greatest(F.size(array) - start + 1, F.lit(0)))
+
+
 def template_tree(counts: DataFrame, p: TreeParams) -> DataFrame:
-    """(host, shape, n, bad, good) -> (host, shape, template, prior, t_bad, t_good): wildcards and merges applied."""
-    d = counts.withColumns({"template": F.array().cast("array<string>"), "prior": F.lit(float(p.prior))}).checkpoint()
-    level = 0
-    while True:
-        level += 1
-        nodes = d.groupBy("host", "template").agg(F.count("*").alias("shapes"), F.max(F.size("shape")).alias("longest"))
-        if nodes.where((F.col("shapes") > 1) & (F.col("longest") >= level)).isEmpty():
-            break
-        # the child of this level; shorter paths end here
-        child = F.when(F.size("shape") >= level, F.element_at("shape", F.lit(level)))
-        d = d.withColumn("child", child)
-        node = d.groupBy("host", "template", "child").agg(F.sum("n").alias("n"), F.sum("bad").alias("b"), F.sum("good").alias("g"))
-        total = node.groupBy("host", "template").agg(
-            F.count("child").alias("children"), F.sum("b").alias("tb"), F.sum("g").alias("tg")
+    """(host, shape, n, bad, good) -> (host, shape, template, prior, t_bad, t_good): wildcards and merges applied.
+
+    ``rest`` is what a node has not told apart yet.  Each round first takes the segments that
+    all shapes of a node share, then its children.
+    """
+    d = counts.withColumns(
+        {"template": F.array().cast("array<string>"), "rest": F.col("shape"), "prior": F.lit(float(p.prior))}
+    ).checkpoint()
+    while not d.where(F.size("rest") > 0).isEmpty():
+        total = d.groupBy(F.col("host").alias("t_host"), F.col("template").alias("t_template")).agg(
+            _common(F.min("rest"), F.max("rest")).alias("skip"), F.sum("bad").alias("tb"), F.sum("good").alias("tg")
+        )
+        # the child of this node; shorter paths end here
+        child = F.when(F.size("rest") > F.col("skip"), F.element_at("rest", F.col("skip") + 1))
+        d = d.join(total, (d["host"] == total["t_host"]) & (d["template"] == total["t_template"])).select(
+            *d.columns, "skip", "tb", "tg", child.alias("child")
+        )
+        node = d.groupBy("host", "template", "child").agg(
+            F.sum("bad").alias("b"), F.sum("good").alias("g"), F.first("tb").alias("tb"), F.first("tg").alias("tg")
+        )
+        width = node.groupBy(F.col("host").alias("w_host"), F.col("template").alias("w_template")).agg(
+            F.count("child").alias("children")
         )
-        node, total = node.alias("c"), total.alias("t")
-        node = node.join(total, ["host", "template"])
+        node = node.join(width, (node["host"] == width["w_host"]) & (node["template"] == width["w_template"]))
         labelled, rest = F.col("b") + F.col("g"), F.col("tb") + F.col("tg") - F.col("b") - F.col("g")
         rate = F.col("b") / labelled
         others = (F.col("tb") - F.col("b")) / rest
@@ -139,12 +158,7 @@ def template_tree(counts: DataFrame, p: TreeParams) -> DataFrame:
             .otherwise(F.col("child"))
         )
         names = node.select(
-            F.col("host").alias("n_host"),
-            F.col("template").alias("n_template"),
-            F.col("child").alias("n_child"),
-            name.alias("name"),
-            (F.col("tb") + F.col("tg")).alias("labels"),
-            "tb",
+            F.col("host").alias("n_host"), F.col("template").alias("n_template"), F.col("child").alias("n_child"), name.alias("name")
         )
         same = (
             (d["host"] == names["n_host"])
@@ -152,19 +166,19 @@ def template_tree(counts: DataFrame, p: TreeParams) -> DataFrame:
             & d["child"].eqNullSafe(names["n_child"])
         )
         # this node is the nearest labelled ancestor of what goes on below it
-        below = F.col("name").isNotNull() & (F.col("labels") > 0)
-        share = (F.col("tb") + p.strength * F.col("prior")) / (F.col("labels") + p.strength)
+        below = F.col("name").isNotNull() & (F.col("tb") + F.col("tg") > 0)
+        share = (F.col("tb") + p.strength * F.col("prior")) / (F.col("tb") + F.col("tg") + p.strength)
+        path = F.concat("template", F.slice("rest", F.lit(1), F.col("skip")))
         d = d.join(names, same).select(
             "host",
             "shape",
             "n",
             "bad",
             "good",
-            F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.array("name"))).alias("template"),
+            F.when(F.col("name").isNull(), path).otherwise(F.concat(path, F.array("name"))).alias("template"),
+            _from(F.col("rest"), F.col("skip") + 2).alias("rest"),
             F.when(below, share).otherwise(F.col("prior")).alias("prior"),
-        ).checkpoint()  # each level reads the last one several times
-    rest = F.slice("shape", F.lit(level), F.greatest(F.size("shape") - (level - 1), F.lit(0)))
-    d = d.withColumn("template", F.concat("template", rest))
+        ).checkpoint()  # each round reads the last one several times
     leaf = d.groupBy("host", "template").agg(F.max("prior").alias("prior"), F.sum("bad").alias("t_bad"), F.sum("good").alias("t_good"))
     return d.select("host", "shape", "template").join(leaf, ["host", "template"])
 
