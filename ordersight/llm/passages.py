@@ -20,7 +20,8 @@ alike (50 words with the defaults).
    document with the smallest id and is a span to remove in all others.
 5. Each paragraph to remove is extended word by word to the left and right, as far as
    its words are those around the kept one (at most ``span + words`` each way; the
-   next paragraph of a longer passage goes on from there).
+   next paragraph of a longer passage goes on from there).  Inside a chain of equal
+   paragraphs only the gaps between them are compared.
 
 Exact copies of a whole text count as one text in steps 1 to 4; all but the one
 with the smallest id are then marked from end to end.
@@ -42,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -265,23 +266,62 @@ def _in_filter(filter_words: np.ndarray):
     return run
 
 
+def _reaches(at: DataFrame, words: int, span: int) -> DataFrame:
+    """(sig, at, passage, left, right): how many words beside each paragraph to remove are still to be compared.
+
+    Neighbours with the words of one kept text at the same distance there are a chain: what
+    goes on from one paragraph into the next is the next one's to extend, and only the gap
+    between them is open.  Elsewhere a shared passage has a marked paragraph at most
+    ``span`` words from its end, so ``span + words`` words reach it.
+    """
+    order = Window.partitionBy("sig").orderBy("at")
+    d = at.where(F.col("sig") != F.col("first_sig")).withColumn("equal", F.col("node") == F.col("first_node"))
+
+    def chained(other) -> Column:
+        return F.coalesce(
+            F.col("equal")
+            & other("equal")
+            & (other("first_sig") == F.col("first_sig"))
+            & (other("at") - F.col("at") == other("first_at") - F.col("first_at")),
+            F.lit(False),
+        )
+
+    following, before = (lambda c: F.lead(c).over(order)), (lambda c: F.lag(c).over(order))
+    gap_after = F.greatest(following("at") - F.col("at") - words, F.lit(0))
+    gap_before = F.greatest(F.col("at") - before("at") - words, F.lit(0))
+    far = F.lit(span + words)
+    return d.select(
+        "sig",
+        "at",
+        "passage",
+        F.when(chained(before), F.least(gap_before, far)).otherwise(far).alias("left"),
+        F.when(chained(following), F.least(gap_after, far)).otherwise(far).alias("right"),
+    )
+
+
 def _spans(rows: DataFrame, at: DataFrame, words: int, span: int, filter_bits: int) -> DataFrame:
     """(sig, away): the spans of the paragraphs that other texts keep, to their real ends.
 
-    A shared passage has a marked paragraph at most ``span`` words from each end and
-    from the next one, so contexts of ``span + words`` words reach its ends; whole
-    texts need not meet.
+    Only words that are still open (see ``_reaches``) meet those around the kept paragraph, so
+    a long passage sends its ends and not each word several times; whole texts need not meet.
     """
-    keeper = (F.col("sig") == F.col("first_sig")) & (F.col("at") == F.col("first_at"))
-    marks = at.where((F.col("sig") != F.col("first_sig")) | keeper).select(
-        F.col("sig").alias("m_sig"), F.struct("at", "passage", keeper.alias("keeper")).alias("mark")
+    reaches = stored(_reaches(at, words, span))
+    ends = reaches.where("left + right > 0").withColumn("keeper", F.lit(False))
+    needed = ends.groupBy(F.col("passage").alias("n_passage")).agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    keepers = at.where((F.col("sig") == F.col("first_sig")) & (F.col("at") == F.col("first_at"))).select("sig", "at", "passage")
+    keepers = keepers.join(needed, F.col("passage") == F.col("n_passage")).drop("n_passage")
+    # near-equal paragraphs may start some words apart
+    keepers = keepers.withColumns({"left": F.col("left") + SHINGLE, "right": F.col("right") + SHINGLE, "keeper": F.lit(True)})
+    marks = stored(
+        ends.unionByName(keepers)
+        .groupBy(F.col("sig").alias("m_sig"))
+        .agg(F.collect_list(F.struct("at", "passage", "left", "right", "keeper")).alias("marks"))
     )
-    marks = marks.groupBy("m_sig").agg(F.collect_list("mark").alias("marks"))
-    wanted = _filter_of(at.select(F.col("sig").alias("node")).distinct(), filter_bits)
+    wanted = _filter_of(marks.select(F.col("m_sig").alias("node")), filter_bits)
     texts = rows.select("sig", "text").mapInArrow(_in_filter(wanted), "sig bigint, text string")
     texts = texts.dropDuplicates(["sig"]).join(marks, F.col("sig") == F.col("m_sig")).select("sig", "text", "marks")
     contexts = texts.mapInArrow(
-        _contexts(span, words), "passage bigint, keeper boolean, sig bigint, at int, lead int, context binary"
+        _contexts(words), "passage bigint, keeper boolean, sig bigint, at int, lead int, context binary"
     )
     contexts = stored(contexts)
     kept = contexts.where("keeper").select(
@@ -291,6 +331,8 @@ def _spans(rows: DataFrame, at: DataFrame, words: int, span: int, filter_bits: i
     found = pairs.select("sig", "at", "lead", "context", "k_lead", "k_context").mapInArrow(
         _extensions(words), "sig bigint, start int, end int"
     )
+    inner = reaches.where("left + right = 0").select("sig", F.col("at").alias("start"), (F.col("at") + words).cast("int").alias("end"))
+    found = found.unionByName(inner)
     return found.groupBy(F.col("sig").alias("e_sig")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("away"))
 
 
@@ -340,14 +382,20 @@ def _passages_of(
         at = at.join(root, F.col("node") == F.col("r_node"), "left").withColumn("passage", F.coalesce("root", "node"))
     else:
         at = at.withColumn("passage", F.col("node"))
-    at = at.join(owner, "sig").select("sig", "at", "passage", "owner")
+    at = at.join(owner, "sig").select("sig", "at", "node", "passage", "owner")
     first = at.groupBy(F.col("passage").alias("f_passage")).agg(
-        F.min(F.struct("owner", "sig", "at")).alias("first"), F.min("sig").alias("a"), F.max("sig").alias("b")
+        F.min(F.struct("owner", "sig", "at", "node")).alias("first"), F.min("sig").alias("a"), F.max("sig").alias("b")
     )
     first = first.where("a <> b").select(
-        "f_passage", F.col("first.sig").alias("first_sig"), F.col("first.at").alias("first_at"), F.col("first.owner.id").alias("first_id")
+        "f_passage",
+        F.col("first.sig").alias("first_sig"),
+        F.col("first.at").alias("first_at"),
+        F.col("first.node").alias("first_node"),
+        F.col("first.owner.id").alias("first_id"),
+    )
+    at = at.join(first, F.col("passage") == F.col("f_passage")).select(
+        "sig", "at", "node", "passage", "first_sig", "first_at", "first_node", "first_id"
     )
-    at = at.join(first, F.col("passage") == F.col("f_passage")).select("sig", "at", "passage", "first_sig", "first_at", "first_id")
     at = stored(at)
     away = F.col("sig") != F.col("first_sig")
     per_text = at.groupBy(F.col("sig").alias("t_sig")).agg(
@@ -371,9 +419,8 @@ def _passages_of(
     )
 
 
-def _contexts(span: int, words: int):
-    """(passage, keeper, sig, at, lead, words) per marked paragraph: its words with ``span + words`` more on each side."""
-    reach = span + words
+def _contexts(words: int):
+    """(passage, keeper, sig, at, lead, words) per mark: its paragraph with ``left`` and ``right`` words more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema(
@@ -385,8 +432,8 @@ def _contexts(span: int, words: int):
                 tokens = text.as_py().encode().lower().split()
                 for mark in marks.as_py():
                     at = mark["at"]
-                    start = max(0, at - reach)
-                    context = b" ".join(tokens[start : at + words + reach])
+                    start = max(0, at - mark["left"])
+                    context = b" ".join(tokens[start : at + words + mark["right"]])
                     for column, value in zip(out, (mark["passage"], mark["keeper"], sig.as_py(), at, at - start, context)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind)], schema=kind)
