@@ -58,6 +58,10 @@ MULTIPLIERS = np.array(
 )
 
 
+#: Paragraphs that are hashed together, so that short texts share the array operations.
+TOGETHER = 1 << 12
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
@@ -90,8 +94,8 @@ def paragraphs(text: str, words: int, span: int) -> tuple[np.ndarray, np.ndarray
     width = words - SHINGLE + 1
     if len(tokens) < words:
         return np.empty(0, np.int64), np.empty((0, width), np.uint64)
-    digest = xxhash.xxh3_64_intdigest
-    h = np.fromiter((digest(w) for w in tokens), np.uint64, len(tokens))
+    # joined digests spare a Python number per word
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, tokens)), ">u8").astype(np.uint64)
     size = len(h) - SHINGLE + 1
     s = h[:size]
     for k in range(1, SHINGLE):
@@ -109,26 +113,38 @@ def _content(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def _batches_of_paragraphs(texts: Iterator, words: int, span: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """(text numbers, paragraphs of each, their positions, their shingles), some ``TOGETHER`` paragraphs at a time."""
+    numbers, places, sets, held = [], [], [], 0
+    for number, text in enumerate(texts):
+        at, shingles = paragraphs(text.as_py(), words, span)
+        if not len(at):
+            continue
+        numbers.append(number)
+        places.append(at)
+        sets.append(shingles)
+        held += len(at)
+        if held >= TOGETHER:
+            yield numbers, np.array([len(a) for a in places]), np.concatenate(places), np.concatenate(sets)
+            numbers, places, sets, held = [], [], [], 0
+    if numbers:
+        yield numbers, np.array([len(a) for a in places]), np.concatenate(places), np.concatenate(sets)
+
+
 def _band_rows(words: int, span: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], [], []]
-            for text, sig in zip(batch.column("text"), batch.column("sig")):
-                at, shingles = paragraphs(text.as_py(), words, span)
-                if not len(at):
-                    continue
+            sigs = batch.column("sig").to_numpy()
+            for numbers, sizes, at, shingles in _batches_of_paragraphs(batch.column("text"), words, span):
                 content = _content(shingles)
+                sig = np.repeat(sigs[numbers], sizes)
                 for b in range(bands):
                     least = [_mix(shingles * m).min(axis=1) for m in MULTIPLIERS[2 * b : 2 * b + 2]]
                     key = _mix(_mix(least[0] + np.uint64(b + 1)) * np.uint64(0x9E3779B97F4A7C15) + least[1])
-                    for column, values in zip(out, (key, np.full(len(at), sig.as_py(), np.int64), at, content)):
-                        column.append(values)
-            if out[0]:
-                key, sig, at, content = (np.concatenate(c) for c in out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(sig), pa.array(at.astype(np.int32)), pa.array(content.view(np.int64))],
-                    names=["key", "sig", "at", "node"],
-                )
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.view(np.int64)), pa.array(sig), pa.array(at.astype(np.int32)), pa.array(content.view(np.int64))],
+                        names=["key", "sig", "at", "node"],
+                    )
 
     return run
 
@@ -140,10 +156,7 @@ def _node_shingles(words: int, span: int, filter_words: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sets = [], []
-            for text in batch.column("text"):
-                at, shingles = paragraphs(text.as_py(), words, span)
-                if not len(at):
-                    continue
+            for _, _, _, shingles in _batches_of_paragraphs(batch.column("text"), words, span):
                 content = _content(shingles)
                 bit = content & mask
                 wanted = (filter_words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
