@@ -5,27 +5,30 @@ link when ``|x & y| / |x | y| >= percent / 100``; the result is exact up to hash
 collisions, no similarity is estimated.
 
 1. *Classes.*  Documents with the same set (128-bit digest) form a class; from here
-   on a class stands for its copies.
+   on a class, with its counted n-grams, stands for its copies.
 2. *Candidates by prefix filter.*  All n-grams have one global order: those in a
-   fixed fraction of the hash space first, by increasing number of documents;
-   then the rest, by hash.  Of two sets that link, the prefixes (the first
-   ``n - ceil(t n) + 1`` n-grams) share one.  Counting only a fraction keeps the
+   fixed fraction of the hash space first, by increasing number of classes;
+   then the rest, by hash.  Of two sets that link, the first common n-gram lies in the
+   longer one's first ``n - ceil(t n) + 1`` n-grams and in the shorter one's first
+   ``n - ceil(2 t / (1 + t) n) + 1``.  Counting only a fraction keeps the
    shuffle small, ordering by count keeps common phrases out of the prefixes, and
-   n-grams that one document alone holds need no partner.  N-grams common in a
+   n-grams that one class alone holds need no partner.  N-grams common in a
    bounded sample go to the end of the order; order affects speed, never the result.
-3. *Clusters.*  Classes that share a prefix n-gram are connected to that n-gram's
-   smallest class (a star, not all pairs); connected components give clusters.
-   Classes in different clusters cannot link.
+3. *Clusters.*  Sizes fall into bands, such that sets that link lie in one band or two
+   neighbouring ones.  Classes that share a prefix n-gram in a band are connected to the
+   smallest class that holds it as a shorter set (a star, not all pairs); connected
+   components give clusters.  Classes in different clusters cannot link.
 4. *Trie join.*  The sets of a cluster (read again from the texts, once per class)
    go to one task, or, when a cluster exceeds ``block_grams`` n-grams, to one task
-   per pair of its blocks.  There the sets are stored in a compressed trie, rarest
-   n-gram first.  Each set walks the trie once: the overlap of a shared path is
-   computed once for all sets below it, and a subtree is left as soon as its overlap
-   plus the most that can still follow on either side falls short.
+   per pair of blocks of one band or of neighbouring bands.  There the sets are stored
+   in a compressed trie, rarest n-gram first.  Each set walks the trie once, level by
+   level: the overlap of a shared path is computed once for all sets below it, and a
+   subtree is left as soon as its overlap plus the most that can still follow on either
+   side falls short.
 5. Links become components; split clusters are joined by connected components.
 
-Hot groups: copies collapse before any pairing, a hot cluster is split into blocks,
-pairs are never emitted (a task returns one row per class: its root and its number
+Hot groups: copies collapse before any pairing, a hot cluster is split into bands and
+blocks, pairs are never emitted (a task returns one row per class: its root and its number
 of links), and joins back to the documents are left to AQE's skew splitting.
 
 Defined cases: null and empty texts have an empty set, their own component and no
@@ -37,15 +40,15 @@ columns pass through ``representatives`` unchanged.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ordersight.llm.common import SPACE_CHARS, col, packed
+from ordersight.llm.common import SPACE_CHARS, col, packed, stored
 from ordersight.llm.components import components
 
 #: Documents sampled to find n-grams so common that they are put last; a hint for speed only.
@@ -84,6 +87,12 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - (n * percent + 99) // 100 + 1
 
 
+def _band(n: Column, percent: int) -> Column:
+    """Size band; sets whose sizes allow a link are at most one band apart (a margin covers rounding)."""
+    width = math.log(100 / min(percent, 99)) * 1.000001
+    return F.floor(F.log(n) / F.lit(width)).cast("int")
+
+
 def _split(s: np.ndarray, limit: np.uint64, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counted and uncounted n-grams of a set, each in hash order."""
     counted = s <= limit
@@ -97,7 +106,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def _set_rows(n: int, percent: int, limit: int, hot: np.ndarray):
-    """Per document: digest, its first half, set size, number of counted n-grams, uncounted part of the prefix."""
+    """Per document: digest, its first half, set size, counted n-grams, uncounted part of the prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -108,13 +117,13 @@ def _set_rows(n: int, percent: int, limit: int, hot: np.ndarray):
                 s = shingles(text.as_py(), n)
                 sizes.append(len(s))
                 if not len(s):
-                    digests.append(None), halves.append(None), low.append(0), extra.append([])
+                    digests.append(None), halves.append(None), low.append([]), extra.append([])
                     continue
                 key = xxhash.xxh3_128_digest(s.tobytes())
                 digests.append(key)
                 halves.append(int.from_bytes(key[:8], "big", signed=True))
                 counted, rest = _split(s, np.uint64(limit), hot)
-                low.append(len(counted))
+                low.append(_signed(counted))
                 extra.append(_signed(rest[: max(0, _prefix_length(len(s), percent) - len(counted))]).tolist())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -123,34 +132,21 @@ def _set_rows(n: int, percent: int, limit: int, hot: np.ndarray):
                     pa.array(digests, pa.binary()),
                     pa.array(halves, pa.int64()),
                     pa.array(sizes, pa.int32()),
-                    pa.array(low, pa.int32()),
+                    pa.array(low, pa.list_(pa.int64())),
                     pa.array(extra, pa.list_(pa.int64())),
                 ],
-                names=["id", "sig", "k", "k8", "n", "n_low", "extra"],
+                names=["id", "sig", "k", "k8", "n", "low", "extra"],
             )
 
     return run
 
 
-def _gram_rows(n: int, limit: int, hot: np.ndarray):
-    """(gram, k8) for the counted n-grams of every document."""
-
+def _all_grams(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
-            grams, keys = [], []
-            for text in batch.column("text"):
-                s = shingles(text.as_py(), n)
-                if not len(s):
-                    continue
-                counted, _ = _split(s, np.uint64(limit), hot)
-                key = int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "big", signed=True)
-                grams.append(_signed(counted))
-                keys.append(np.full(len(counted), key, np.int64))
-            if grams:
-                columns = [pa.array(np.concatenate(grams)), pa.array(np.concatenate(keys))]
-                yield pa.RecordBatch.from_arrays(columns, names=["gram", "k8"])
+            sets = [shingles(text.as_py(), n) for text in batch.column("text")]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(sets)))], names=["gram"])
 
     return run
 
@@ -162,44 +158,92 @@ def _hot_grams(rows: DataFrame, n: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     share = min(1.0, SAMPLE_DOCS / total)
     sample = rows.where(F.pmod(F.xxhash64("sig"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    grams = sample.mapInArrow(_gram_rows(n, (1 << 64) - 1, np.empty(0, np.uint64)), "gram bigint, k8 bigint")
+    grams = sample.mapInArrow(_all_grams(n), "gram bigint")
     least = max(10, int(SAMPLE_SHARE * share * total))
     common = grams.groupBy("gram").count().where(F.col("count") >= least).orderBy(F.desc("count"), "gram").limit(HOT_GRAMS)
     return np.array([r["gram"] for r in common.collect()], np.int64).view(np.uint64)
 
 
-def _candidates(grams: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """(gram, k8): the prefix n-grams that more than one document holds."""
+def _candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """(gram, k8, band, short): the prefix n-grams that other classes may hold.
+
+    ``short``: the n-gram is also in the prefix that a set needs as the shorter one of a pair.
+    """
+    grams = classes.select("k8", F.explode("low").alias("gram"))
     held = grams.withColumn("df", F.count("*").over(Window.partitionBy("gram"))).where("df > 1")
-    held = held.groupBy("k8").agg(F.sort_array(F.collect_set(F.struct("df", "gram"))).alias("held"))
-    one = info.where("n > 0").groupBy("k8").agg(F.max("n").alias("n"), F.max("n_low").alias("n_low"), F.max("extra").alias("extra"))
-    d = one.join(held.withColumnRenamed("k8", "h8"), F.col("k8") == F.col("h8"), "left")
+    held = held.groupBy(F.col("k8").alias("h8")).agg(F.sort_array(F.collect_set(F.struct("df", "gram"))).alias("held"))
+    sizes = classes.select("k8", "n", F.size("low").alias("n_low"), "extra")
+    d = sizes.join(held, F.col("k8") == F.col("h8"), "left")
     length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
+    as_short = F.col("n") - F.ceil(F.col("n") * (2 * percent) / F.lit(100 + percent)) + 1
     alone = F.col("n_low") - F.coalesce(F.size("held"), F.lit(0))  # these come first and have no partner
     take = F.greatest(length - alone, F.lit(0)).cast("int")
     none = F.array().cast("array<bigint>")
     prefix = F.coalesce(F.transform(F.slice("held", F.lit(1), take), lambda x: x["gram"]), none)
-    return d.select("k8", F.explode(F.concat(prefix, F.coalesce("extra", none))).alias("gram")).distinct()
+    d = d.select("k8", _band(F.col("n"), percent).alias("band"), (as_short - alone).alias("shorts"), F.concat(prefix, "extra").alias("grams"))
+    d = d.select("k8", "band", "shorts", F.posexplode("grams").alias("pos", "gram"))
+    return d.select("gram", "k8", "band", (F.col("pos") < F.col("shorts")).alias("short"))
 
 
 def _clusters(candidates: DataFrame) -> DataFrame:
-    """(k8, cluster): components of the classes that share prefix n-grams."""
-    star = candidates.groupBy("gram").agg(F.min("k8").alias("m"), F.max("k8").alias("x")).where("m < x").select("gram", "m")
-    edges = candidates.join(star, "gram").where("k8 <> m").select("k8", "m")
+    """(k8, cluster): components of the classes that share prefix n-grams in reach of their sizes."""
+    below = candidates.select("gram", "k8", (F.col("band") - 1).alias("band"), F.lit(False).alias("short"))
+    near = candidates.unionByName(below)
+    star = near.groupBy("gram", "band").agg(
+        F.min(F.when(F.col("short"), F.col("k8"))).alias("m"), F.min("k8").alias("a"), F.max("k8").alias("z")
+    )
+    star = star.where("m is not null and a < z").select("gram", "band", "m")
+    edges = near.join(star, ["gram", "band"]).where("k8 <> m").select("k8", "m")
     return components(edges, "k8", "m").select(F.col("node").alias("k8"), F.col("root").alias("cluster"))
 
 
+def _blocks(member: DataFrame, block_grams: int) -> DataFrame:
+    """(cluster, band, split, nb, above, below): blocks of a band and of its neighbours; one block for small clusters."""
+    bands = member.groupBy("cluster", "band").agg(F.sum("n").alias("grams"))
+    split = F.sum("grams").over(Window.partitionBy("cluster")) > block_grams
+    bands = bands.withColumn("split", split)
+    nb = F.when(F.col("split"), F.ceil(F.col("grams") / F.lit(float(block_grams)))).otherwise(F.lit(1)).cast("int")
+    bands = bands.withColumn("nb", nb)
+    order = Window.partitionBy("cluster").orderBy("band")
+
+    def beside(move, step: int) -> Column:
+        found = F.col("split") & (move("band").over(order) == F.col("band") + step)
+        return F.when(found, move("nb").over(order)).otherwise(F.lit(0))
+
+    return bands.select("cluster", "band", "split", "nb", beside(F.lead, 1).alias("above"), beside(F.lag, -1).alias("below"))
+
+
+def _meetings(sets: DataFrame) -> DataFrame:
+    """Every set once per pair of blocks that it belongs to; ``at`` names the pair."""
+    place = F.when(F.col("split"), F.col("band")).otherwise(F.lit(0))
+    block = F.pmod(F.xxhash64("k"), F.col("nb").cast("long")).cast("int")
+    sets = sets.withColumns({"place": place, "block": block})
+    pair = "array<struct<p1:int,b1:int,p2:int,b2:int>>"
+
+    def pairs(count: str, build) -> Column:
+        listed = F.transform(F.sequence(F.lit(0), F.col(count) - 1), build)
+        return F.when(F.col(count) > 0, listed.cast(pair)).otherwise(F.array().cast(pair))
+
+    p, b = F.col("place"), F.col("block")
+    own = pairs("nb", lambda j: F.struct(p, F.least(b, j), p, F.greatest(b, j)))
+    above = pairs("above", lambda j: F.struct(p, b, p + 1, j))
+    below = pairs("below", lambda j: F.struct(p - 1, j, p, b))
+    return sets.withColumn("at", F.explode(F.concat(own, above, below)))
+
+
 class Trie:
-    """Compressed trie over sorted rank lists, its nodes in preorder arrays.
+    """Compressed trie over sorted rank lists, its nodes in arrays level by level.
 
     A node holds the ranks between its parent's depth and its own; its leaves are
-    the sets first..last in sorted order.
+    the sets first..last in sorted order.  Long nodes are cut at depths that double, so
+    that a subtree can be left before its whole path has been compared.
     """
 
     def __init__(self, ranks: list[np.ndarray], sizes: np.ndarray):
         self.order = sorted(range(len(ranks)), key=lambda i: ranks[i].astype(">u4").tobytes())
         sets = [ranks[i] for i in self.order]
         lengths = np.array([len(r) for r in sets])
+        # branching nodes by a stack over the common prefixes of neighbours
         depth, first, last, parent, leaf = [0], [0], [len(sets) - 1], [-1], [False]
 
         def node(d: int, f: int, is_leaf: bool) -> int:
@@ -222,54 +266,67 @@ class Trie:
             if depth[open_nodes[-1]] < common:
                 open_nodes.append(node(common, first[done], False))
             parent[done] = open_nodes[-1]
-        pre = sorted(range(len(depth)), key=lambda v: (first[v], depth[v], leaf[v]))
-        place = {v: k for k, v in enumerate(pre)}
-        self.parent = [place.get(parent[v], -1) for v in pre]
-        self.leaf = [leaf[v] for v in pre]
-        self.first = [first[v] for v in pre]
-        self.last = [last[v] for v in pre]
-        count = len(pre)
-        self.after = list(range(1, count + 1))  # the next node outside the subtree
-        for k in range(count - 1, 0, -1):
-            up = self.parent[k]
-            self.after[up] = max(self.after[up], self.after[k])
-        parts, bounds, ends = [], [0], []
-        for k, v in enumerate(pre):
-            above = depth[pre[self.parent[k]]] if k else 0
-            parts.append(sets[first[v]][above : depth[v]])
-            bounds.append(bounds[-1] + depth[v] - above)
-            ends.append(sets[first[v]][depth[v] - 1] + 1 if depth[v] else 0)
-        self.ranks = np.concatenate(parts) if parts else np.empty(0, np.int64)
-        self.bounds, self.ends = np.array(bounds), np.array(ends, np.int64)
+        below: list[list[int]] = [[] for _ in depth]
+        for v in range(1, len(depth)):
+            below[parent[v]].append(v)
+        # level by level: (upper depth, lower depth, node); children of a row are consecutive
+        rows, child, level = [(0, 0, 0)], [], 0
+        while level < len(rows):
+            _, low, v = rows[level]
+            start = len(rows)
+            if low < depth[v]:
+                rows.append((low, min(depth[v], max(8, 2 * low)), v))
+            else:
+                rows.extend((low, min(depth[c], max(8, 2 * low)), c) for c in below[v])
+            child.append((start, len(rows)))
+            level += 1
+        self.child = np.array(child, np.int64)
+        top, low, of = (np.array(c, np.int64) for c in zip(*rows))
+        first, last, depth = (np.array(c, np.int64) for c in (first, last, depth))
+        self.leaf = np.array(leaf)[of] & (low == depth[of])
+        self.first, self.last = first[of], last[of]
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        self.ranks = np.concatenate(sets)
+        self.start, self.length = offsets[self.first] + top, low - top
+        self.ends = np.zeros(len(rows), np.int64)  # one more than the last rank held
+        full = low > 0
+        self.ends[full] = self.ranks[offsets[self.first[full]] + low[full] - 1] + 1
         in_order = sizes[self.order]
-        self.least_size = np.array([in_order[f : t + 1].min() for f, t in zip(self.first, self.last)])
-        self.longest = np.array([lengths[f : t + 1].max() - depth[v] for v, f, t in zip(pre, self.first, self.last)])
-
-    def partners(self, ranks: np.ndarray, size: int, place: int, universe: int, percent: int) -> Iterator[tuple[int, int]]:
-        """(place, overlap) of the sets after ``place`` in sorted order that may still link."""
-        held = np.zeros(universe + 1, np.int64)
-        held[ranks + 1] = 1
-        upto = np.cumsum(held)  # ranks held below r
-        hits = np.concatenate([[0], np.cumsum(held[self.ranks + 1])])
-        shared = (hits[self.bounds[1:]] - hits[self.bounds[:-1]]).tolist()
-        rest = np.minimum(len(ranks) - upto[self.ends], self.longest)
-        need = -(-percent * (size + self.least_size) // (100 + percent))
-        slack = (need - rest).tolist()  # least overlap that keeps a subtree alive
-        overlap = [0] * len(shared)
-        parent, after, last, leaf = self.parent, self.after, self.last, self.leaf
-        k, count = 0, len(shared)
-        while k < count:
-            o = (overlap[parent[k]] if k else 0) + shared[k]
-            if last[k] <= place or o < slack[k]:
-                k = after[k]
-                continue
-            overlap[k] = o
-            if leaf[k]:
-                yield self.first[k], o
-            k += 1
-
-
-def trie_join(keys: list[bytes], sets: list[np.ndarray], weights: list[int], blocks: list[int], percent: int, across: bool):
+        spans = [(f, t + 1) for f, t in zip(self.first.tolist(), self.last.tolist())]
+        self.least_size = np.array([in_order[f:t].min() if t - f > 1 else in_order[f] for f, t in spans])
+        self.longest = np.array([lengths[f:t].max() if t - f > 1 else lengths[f] for f, t in spans]) - low
+
+    def partners(self, ranks: np.ndarray, size: int, place: int, held: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, overlaps) of the sets after ``place`` in sorted order that may still link.
+
+        ``held`` is a working array of False for every rank; it is left as it was found.
+        """
+        held[ranks] = True
+        nodes, overlap = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        while len(nodes):
+            length = self.length[nodes]
+            ends = np.cumsum(length)
+            at = np.repeat(self.start[nodes] - ends + length, length) + np.arange(ends[-1])
+            hits = np.concatenate([[0], np.cumsum(held[self.ranks[at]])])
+            overlap = overlap + hits[ends] - hits[ends - length]
+            rest = np.minimum(len(ranks) - np.searchsorted(ranks, self.ends[nodes]), self.longest[nodes])
+            need = -(-percent * (size + self.least_size[nodes]) // (100 + percent))
+            alive = overlap + rest >= need
+            nodes, overlap = nodes[alive], overlap[alive]
+            leaf = self.leaf[nodes]
+            if leaf.any():
+                yield self.first[nodes[leaf]], overlap[leaf]
+            lo, hi = self.child[nodes].T
+            count = hi - lo
+            overlap = np.repeat(overlap, count)
+            ends = np.cumsum(count)
+            nodes = np.repeat(lo - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+            after = self.last[nodes] > place
+            nodes, overlap = nodes[after], overlap[after]
+        held[ranks] = False
+
+
+def trie_join(keys: list[bytes], sets: list[np.ndarray], weights: list[int], blocks: list[str], percent: int, across: bool):
     """Roots and weighted link counts of the sets; ``across`` counts only pairs of different blocks."""
     sizes = np.array([len(s) for s in sets])
     found, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -284,8 +341,11 @@ def trie_join(keys: list[bytes], sets: list[np.ndarray], weights: list[int], blo
         ranks.append(np.sort(r[r >= 0]))
         at += size
     trie = Trie(ranks, sizes)
+    order, weight = np.array(trie.order), np.array(weights, np.int64)
+    block = np.unique(np.array(blocks), return_inverse=True)[1]
     root = list(range(len(sets)))
-    links = [0] * len(sets)
+    links = np.zeros(len(sets), np.int64)
+    held = np.zeros(len(by_count), bool)
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -294,19 +354,22 @@ def trie_join(keys: list[bytes], sets: list[np.ndarray], weights: list[int], blo
         return x
 
     for place, i in enumerate(trie.order):
-        for other, o in trie.partners(ranks[i], int(sizes[i]), place, len(by_count), percent):
-            j = trie.order[other]
-            if across and blocks[i] == blocks[j]:
-                continue
-            if 100 * o >= percent * (sizes[i] + sizes[j] - o):
-                links[i] += weights[j]
-                links[j] += weights[i]
+        for places, overlaps in trie.partners(ranks[i], int(sizes[i]), place, held, percent):
+            others = order[places]
+            linked = 100 * overlaps >= percent * (sizes[i] + sizes[others] - overlaps)
+            linked &= places > place
+            if across:
+                linked &= block[others] != block[i]
+            others = others[linked]
+            links[i] += weight[others].sum()
+            links[others] += weight[i]
+            for j in others.tolist():
                 a, b = find(i), find(j)
                 if a != b:
                     if keys[a] > keys[b]:
                         a, b = b, a
                     root[b] = a
-    return [keys[find(i)] for i in range(len(sets))], links
+    return [keys[find(i)] for i in range(len(sets))], links.tolist()
 
 
 def _joined_group(percent: int):
@@ -314,14 +377,15 @@ def _joined_group(percent: int):
 
     def run(group: pa.Table) -> pa.Table:
         rows = {}  # repeated rows of one document come more than once
-        columns = [group.column(c) for c in ("k", "w", "block", "grams")]
-        for k, w, block, grams in zip(*columns):
-            rows.setdefault(k.as_py(), (w.as_py(), block.as_py(), grams.values.to_numpy().view(np.uint64)))
+        columns = [group.column(c) for c in ("k", "w", "place", "block", "grams")]
+        for k, w, place, block, grams in zip(*columns):
+            rows.setdefault(k.as_py(), (w.as_py(), f"{place}:{block}", grams.values.to_numpy().view(np.uint64)))
         keys = list(rows)
         weights, blocks, sets = zip(*rows.values())
-        across = group.column("b1")[0].as_py() != group.column("b2")[0].as_py()  # one block of the two may be empty
+        at = group.column("at")[0].as_py()
+        across = (at["p1"], at["b1"]) != (at["p2"], at["b2"])  # one block of the two may be empty
         roots, links = trie_join(keys, list(sets), list(weights), list(blocks), percent, across)
-        split = group.column("nb")[0].as_py() > 1
+        split = group.column("split")[0].as_py()
         return pa.table([keys, roots, links, [split] * len(keys)], schema=schema)
 
     return run
@@ -329,7 +393,7 @@ def _joined_group(percent: int):
 
 def _grams_of(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = ["cluster", "nb", "k", "w"]
+        keep = ["cluster", "band", "split", "nb", "above", "below", "k", "w"]
         for batch in batches:
             sets = [_signed(shingles(t.as_py(), n)) for t in batch.column("text")]
             ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
@@ -351,35 +415,31 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, b
     hot = _hot_grams(rows.select("text", "sig"), n)
     limit = int(_counted_fraction(percent) * ((1 << 64) - 1))
     id_type = rows.schema["id"].dataType.simpleString()
-    base = rows.mapInArrow(
-        _set_rows(n, percent, limit, hot), f"id {id_type}, sig bigint, k binary, k8 bigint, n int, n_low int, extra array<bigint>"
-    ).checkpoint()
-    grams = rows.select("text").mapInArrow(_gram_rows(n, limit, hot), "gram bigint, k8 bigint")
-    clusters = _clusters(_candidates(grams, base, percent).checkpoint())
-
-    member = base.join(clusters, "k8").groupBy("k").agg(
-        F.first("cluster").alias("cluster"),
-        F.first("n").alias("n"),
-        F.count("*").alias("w"),
-        F.min(F.struct("id", "sig")).alias("rep"),
-    )
-    blocks = member.groupBy("cluster").agg(
-        F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(float(block_grams)))).cast("int").alias("nb")
-    )
-    member = member.join(blocks, "cluster").select(
-        "cluster", "nb", "k", "w", F.col("rep.id").alias("m_id"), F.col("rep.sig").alias("m_sig")
+    hashed = rows.mapInArrow(
+        _set_rows(n, percent, limit, hot),
+        f"id {id_type}, sig bigint, k binary, k8 bigint, n int, low array<bigint>, extra array<bigint>",
     )
+    base = stored(hashed)
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "sig"))  # null ids last
+    one = [F.first(c).alias(c) for c in ("k8", "n", "low", "extra")]
+    classes = stored(base.where("n > 0").groupBy("k").agg(*one, F.count("*").alias("w"), first.alias("keeper")))
+    base = base.select("id", "sig", "k", "n")
+    clusters = _clusters(stored(_candidates(classes, percent)))
+
+    member = classes.select("k", "k8", "n", "w", "keeper").join(clusters, "k8")
+    member = member.withColumn("band", _band(F.col("n"), percent))
+    member = member.join(_blocks(member, block_grams), ["cluster", "band"])
+    carried = ["cluster", "band", "split", "nb", "above", "below", "k", "w"]
+    member = member.select(*carried, F.col("keeper.id").alias("m_id"), F.col("keeper.sig").alias("m_sig"))
     same = rows["id"].eqNullSafe(member["m_id"]) & (rows["sig"] == member["m_sig"])
-    sets = (
-        rows.join(member, same)
-        .select("cluster", "nb", "k", "w", "text")
-        .mapInArrow(_grams_of(n), "cluster bigint, nb int, k binary, w bigint, grams array<bigint>")
+    sets = rows.join(member, same).select(*carried, "text")
+    sets = sets.mapInArrow(
+        _grams_of(n),
+        "cluster bigint, band int, split boolean, nb int, above int, below int, k binary, w bigint, grams array<bigint>",
     )
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("k"), F.col("nb").cast("long")).cast("int"))
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    sets = sets.withColumns({"b1": F.least("block", "other"), "b2": F.greatest("block", "other")})
     found = (
-        sets.groupBy("cluster", "b1", "b2")
+        _meetings(sets)
+        .groupBy("cluster", "at")
         .applyInArrow(_joined_group(percent), "k binary, root binary, links bigint, split boolean")
         .checkpoint()
     )
@@ -391,9 +451,6 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, b
             "k", F.coalesce("s_root", "root").alias("root"), "links"
         )
     per_class = per_class.select(F.col("k").alias("c_k"), "root", "links")
-    # null ids last
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "sig"))
-    classes = base.where("n > 0").groupBy("k").agg(first.alias("keeper"), F.count("*").alias("w"))
     classes = classes.join(per_class, F.col("k") == F.col("c_k"), "left").select(
         "k", "keeper", F.coalesce("root", "k").alias("root"), (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
@@ -407,7 +464,7 @@ def jaccard_components(
     text_col: str = "text",
     n: int = 5,
     percent: int = 80,
-    block_grams: int = 2_000_000,
+    block_grams: int = 500_000,
 ) -> DataFrame:
     """Per input row: id, n_shingles, component_id (smallest id of its component), n_links."""
     base, classes = _linked(docs, id_col, text_col, n, percent, block_grams)
@@ -426,7 +483,7 @@ def representatives(
     text_col: str = "text",
     n: int = 5,
     percent: int = 80,
-    block_grams: int = 2_000_000,
+    block_grams: int = 500_000,
 ) -> DataFrame:
     """The input rows that stay, one per component (the smallest id), with all their columns."""
     base, classes = _linked(docs, id_col, text_col, n, percent, block_grams)
