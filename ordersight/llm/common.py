@@ -41,13 +41,24 @@ def checkpoint_dir(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def scratch(spark: SparkSession) -> str:
+    """A new folder name under ``spark.checkpoint.dir``."""
+    checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written once as Parquet under ``spark.checkpoint.dir`` and read again.
 
     For tables that several steps read: computed a single time, and executors that are
     lost cost nothing of it.
     """
-    checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    path = path or scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def released(spark: SparkSession, path: str) -> None:
+    """Remove a table that ``stored`` wrote, once nothing reads it any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordersight.llm.common import SPACE_CHARS, col, packed, stored
+from ordersight.llm.common import SPACE_CHARS, col, packed, released, scratch, stored
 from ordersight.llm.components import components
 
 #: Documents sampled to find n-grams so common that they are put last; a hint for speed only.
@@ -419,14 +419,21 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, b
         _set_rows(n, percent, limit, hot),
         f"id {id_type}, sig bigint, k binary, k8 bigint, n int, low array<bigint>, extra array<bigint>",
     )
-    base = stored(hashed)
+    spark = docs.sparkSession
+    wide, sets_of, near = scratch(spark), scratch(spark), scratch(spark)  # released as soon as the next table stands
+    base = stored(hashed, wide)
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "sig"))  # null ids last
     one = [F.first(c).alias(c) for c in ("k8", "n", "low", "extra")]
-    classes = stored(base.where("n > 0").groupBy("k").agg(*one, F.count("*").alias("w"), first.alias("keeper")))
-    base = base.select("id", "sig", "k", "n")
-    clusters = _clusters(stored(_candidates(classes, percent)))
-
-    member = classes.select("k", "k8", "n", "w", "keeper").join(clusters, "k8")
+    classes = stored(base.where("n > 0").groupBy("k").agg(*one, F.count("*").alias("w"), first.alias("keeper")), sets_of)
+    base = stored(base.select("id", "sig", "k", "n"))
+    released(spark, wide)
+    candidates = stored(_candidates(classes, percent), near)
+    classes = stored(classes.select("k", "k8", "n", "w", "keeper"))
+    released(spark, sets_of)
+    clusters = _clusters(candidates)
+    released(spark, near)
+
+    member = classes.join(clusters, "k8")
     member = member.withColumn("band", _band(F.col("n"), percent))
     member = member.join(_blocks(member, block_grams), ["cluster", "band"])
     carried = ["cluster", "band", "split", "nb", "above", "below", "k", "w"]
