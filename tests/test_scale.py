@@ -62,3 +62,31 @@ def test_registered_first_order_queries_do_not_build_the_whole_mart(spark):
     release_workspaces(spark)
     for name in ("retention_timing", "repeat_purchase", "dq_granularity"):
         assert "l_extendedprice" not in plan_text(QUERIES[name](spark, SF001)), name
+
+
+def test_keys_are_dealt_before_they_are_collected(spark, monkeypatch):
+    """Map tasks send keys on; each reducer holds a bounded number, and rows without a key spread out."""
+    from ordersight.plans import quality
+
+    monkeypatch.setattr(quality, "KEYS_A_TASK", 10)
+    df = spark.range(100).selectExpr("if(id < 60, id div 2, null) AS a", "cast(id % 2 AS string) AS b")
+    counts = quality._key_counts(df, ["a", "b"], 100)
+    assert tuple(counts.first()) == (100, 40, 60)
+    assert tuple(quality._key_counts(df, ["a"], 100).first()) == (100, 40, 30)
+    assert tuple(quality._key_counts(df.where("a < 0"), ["a"], 0).first()) == (0, 0, 0)
+    physical = plan_text(counts).split("\n\n")[0]
+    below = physical[physical.index("Exchange", physical.index("Exchange") + 1) :]
+    assert "Aggregate" not in below  # nothing is collected before the rows are dealt by key
+    parts = counts.sparkSession.createDataFrame([(None,)] * 40, "a int")
+    assert tuple(quality._key_counts(parts, ["a"], 40).first()) == (40, 40, 0)
+
+
+def test_key_uniqueness_deals_every_table(spark):
+    from ordersight.plans import quality
+
+    raw = workspace(spark, _stored_tables(spark), "parquet")
+    found = quality.dq_key_uniqueness(raw.raw, raw.facts)
+    assert plan_text(found).split("\n\n(1)")[0].count("Exchange") >= 12
+    rows = {r.table_name: (r.all_rows, r.null_keys, r.unique_keys, r.duplicate_rows) for r in found.collect()}
+    assert rows["mart_order_fact"] == (3, 0, 3, 0) and rows["raw_order_items"] == (3, 0, 3, 0)
+    release_workspaces(spark)
