@@ -58,8 +58,8 @@ MULTIPLIERS = np.array(
 )
 
 
-#: Paragraphs that are hashed together, so that short texts share the array operations.
-TOGETHER = 1 << 12
+#: Words that are hashed together, so that short texts share the array operations.
+TOGETHER = 1 << 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -113,22 +113,75 @@ def _content(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def _each(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions ``start`` to ``start + size - 1`` of every range, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])
+
+
+def _anchors_of(s: np.ndarray, starts: np.ndarray, sizes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """``_anchors`` of many texts at once, text i holding ``sizes[i]`` values of ``s`` from ``starts[i]``.
+
+    Returns the texts' numbers and the positions inside them.
+    """
+    bits = np.array([max(1, (n - 1).bit_length()) for n in sizes.tolist()], np.uint64)
+    low = np.repeat(bits, sizes)
+    keys = ((s[_each(starts, sizes)] >> low) << low) | _each(np.zeros_like(sizes), sizes).astype(np.uint64)
+    # every text fills whole blocks, so that no window reaches into another text
+    blocks = -(-sizes // span)
+    first = (np.cumsum(blocks) - blocks) * span
+    padded = np.full(int(blocks.sum()) * span, np.iinfo(np.uint64).max, np.uint64)
+    padded[_each(first, sizes)] = keys
+    grid = padded.reshape(-1, span)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    windows = np.maximum(sizes - span + 1, 1)
+    at = _each(first, windows)
+    least = np.minimum(back[at], ahead[at + span - 1])
+    owner = np.repeat(np.arange(len(sizes)), windows)
+    new = np.concatenate([[True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])])
+    least, owner = least[new], owner[new]
+    return owner, (least & ((np.uint64(1) << bits[owner]) - np.uint64(1))).astype(np.int64)
+
+
+def _paragraphs_of(digests: list[bytes], words: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``paragraphs`` of many texts at once, given their words' digests: (text numbers, positions, shingles)."""
+    h = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64)
+    counts = np.array([len(d) // 8 for d in digests])
+    size = len(h) - SHINGLE + 1
+    s = h[:size]
+    for k in range(1, SHINGLE):  # the shingles across two texts are left out below
+        s = _mix(s * np.uint64(0x9E3779B97F4A7C15) + h[k : k + size])
+    starts, sizes, width = np.cumsum(counts) - counts, counts - SHINGLE + 1, words - SHINGLE + 1
+    owner, at = _anchors_of(s, starts, sizes, span)
+    inside = at + width <= sizes[owner]
+    owner, at = owner[inside], at[inside]
+    return owner, at, s[(starts[owner] + at)[:, None] + np.arange(width)]
+
+
 def _batches_of_paragraphs(texts: Iterator, words: int, span: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
-    """(text numbers, paragraphs of each, their positions, their shingles), some ``TOGETHER`` paragraphs at a time."""
-    numbers, places, sets, held = [], [], [], 0
+    """(text numbers, paragraphs of each, their positions, their shingles), the texts of some ``TOGETHER`` words at a time."""
+    import xxhash
+
+    def found() -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        owner, at, shingles = _paragraphs_of(digests, words, span)
+        own, sizes = np.unique(owner, return_counts=True)
+        return [numbers[i] for i in own.tolist()], sizes, at, shingles
+
+    numbers, digests, held = [], [], 0
     for number, text in enumerate(texts):
-        at, shingles = paragraphs(text.as_py(), words, span)
-        if not len(at):
+        tokens = text.as_py().encode().lower().split()
+        if len(tokens) < words:
             continue
         numbers.append(number)
-        places.append(at)
-        sets.append(shingles)
-        held += len(at)
+        # joined digests spare a Python number per word
+        digests.append(b"".join(map(xxhash.xxh3_64_digest, tokens)))
+        held += len(tokens)
         if held >= TOGETHER:
-            yield numbers, np.array([len(a) for a in places]), np.concatenate(places), np.concatenate(sets)
-            numbers, places, sets, held = [], [], [], 0
+            yield found()
+            numbers, digests, held = [], [], 0
     if numbers:
-        yield numbers, np.array([len(a) for a in places]), np.concatenate(places), np.concatenate(sets)
+        yield found()
 
 
 def _band_rows(words: int, span: int, bands: int):

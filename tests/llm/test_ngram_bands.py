@@ -88,3 +88,30 @@ def test_bands_hold_for_every_size(spark):
         for n, b in band.items():
             least = -(-n * percent // 100)  # the smallest size that may link with n
             assert 0 <= b - band[least] <= 1
+
+
+def test_components_end_with_the_first_round_that_leaves_stars(spark, monkeypatch):
+    from ordersight.llm import components as c
+
+    rounds = []
+    star = c._large_star
+    monkeypatch.setattr(c, "_large_star", lambda e: rounds.append(1) or star(e))
+
+    def found(edges):
+        rounds.clear()
+        rows = c.components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()
+        return {r.node: r.root for r in rows}, len(rows)
+
+    assert found([(2, 1), (3, 1), (1, 1), (5, 4), (4, 5)]) == ({1: 1, 2: 1, 3: 1, 4: 4, 5: 4}, 5)
+    assert len(rounds) == 1
+    path = [(k, k + 1) for k in range(1, 40)] + [(k * 7 % 30 + 100, k * 11 % 30 + 100) for k in range(1, 12)]
+    got, n = found(path)
+    want = {}
+    for a, b in path:
+        if a == b:
+            continue
+        x, y = want.get(a, a), want.get(b, b)
+        want |= {a: x, b: y}
+        want = {k: min(x, y) if v in (x, y) else v for k, v in want.items()}
+    assert got == want and n == len(want)
+    assert found([]) == ({}, 0)

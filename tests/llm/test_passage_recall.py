@@ -38,3 +38,37 @@ def test_recall_of_near_equal_passages(spark, length, changed):
     print(f"near-equal passages of {length} words, {changed} changed: recall {recall:.3f} of {len(later)}")
     assert not marked - later  # clean documents and first occurrences stay whole
     assert recall >= 0.9
+
+
+def test_paragraphs_of_many_texts_are_those_of_each():
+    """Texts share the array operations, never a window or a shingle."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from ordersight.llm import passages
+
+    r = random.Random(3)
+    texts = ["", "a " * 19, "b " * 20, "x " * 53, "é " * 300, "a " * 24 + "d"]
+    texts += [" ".join(r.choice("abc") * r.choice((1, 2)) for _ in range(n)) for n in range(15, 130)]
+    for words, span in ((20, 30), (5, 1), (8, 3), (20, 7)):
+        got = []
+        batches = list(passages._batches_of_paragraphs(pa.array(texts), words, span))
+        assert len(batches) == 1  # together, however few paragraphs a text has
+        for numbers, sizes, at, shingles in batches:
+            got += [(int(k), int(p), s.tolist()) for k, p, s in zip(np.repeat(numbers, sizes), at, shingles)]
+        want = []
+        for k, text in enumerate(texts):
+            at, shingles = passages.paragraphs(text, words, span)
+            want += [(k, int(p), s.tolist()) for p, s in zip(at, shingles)]
+        assert got == want
+    assert list(passages._batches_of_paragraphs(pa.array(["", "a b"]), 20, 30)) == []
+    calls = []
+    one = passages._anchors_of
+    passages._anchors_of = lambda *a: calls.append(1) or one(*a)
+    try:
+        list(passages._batches_of_paragraphs(pa.array(texts), 20, 30))
+    finally:
+        passages._anchors_of = one
+    assert len(calls) == 1
